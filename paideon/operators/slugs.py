@@ -43,7 +43,7 @@ def _assign(items: DataFrame, blocked: DataFrame) -> DataFrame:
     wants = ranked.select("base", F.col("rank").cast("long").alias("at"), F.lit(0).alias("kind"), "seq",
                           F.lit(0).cast("long").alias("skips"))
     merged = ordered_scan(
-        marks.unionByName(wants), ["base"], ["at", "kind", "seq"], F.floor(F.col("at") / CHUNK),
+        stage(marks.unionByName(wants), "slug-wants"), ["base"], ["at", "kind", "seq"], F.floor(F.col("at") / CHUNK),
         sums={"skipped": F.col("skips")},
     )
     slot = F.col("at") + F.col("skipped")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ("learning",)
+_MODULES = ("learning", "loading")
 
 
 def all_queries():

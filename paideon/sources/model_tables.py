@@ -232,7 +232,11 @@ def with_views(body: str, engine: str, extra: dict[str, str] | None = None) -> s
     visit(body)
     if not order:
         return body
-    return "with " + ", ".join(f"{n} as ({texts[n]})" for n in order) + " " + body
+    heads = ", ".join(f"{n} as ({texts[n]})" for n in order)
+    body = body.strip()
+    if body.lower().startswith("with "):
+        return f"with {heads}, {body[5:]}"
+    return f"with {heads} {body}"
 
 
 class ModelTables:
