@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ("learning", "loading")
+_MODULES = ("learning", "loading", "text_documents")
 
 
 def all_queries():

@@ -22,10 +22,12 @@ class Query:
         return self.build(ModelTables(tune(spark), folder))
 
     def oracle(self) -> str | None:
-        return with_views(self.sql, "duckdb") if self.sql else None
+        return with_views(self.sql, "duckdb", CHECK_VIEWS) if self.sql else None
 
 
 QUERIES: dict[str, Query] = {}
+# Steps shared by several checking SQL texts.
+CHECK_VIEWS: dict[str, str] = {}
 
 
 def query(name: str, sql: str | None = None):
