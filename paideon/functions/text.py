@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # --- Fixed values: patterns and word lists that decide results ---------------
 NUMBERED_HEADING = (
@@ -111,13 +112,13 @@ def title_from_file_name(name: Column) -> Column:
     return F.when(words == "", F.lit("Cours importé")).otherwise(title_case(words))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def nfc(text: pd.Series) -> pd.Series:
     """Canonical composition; Spark SQL has no Unicode normal forms."""
     return text.map(lambda t: unicodedata.normalize("NFC", t), na_action="ignore")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def ascii_fold(text: pd.Series) -> pd.Series:
     """Compatibility decomposition with everything outside ASCII dropped."""
     return text.map(
@@ -135,5 +136,11 @@ def clean_spaces(text: Column) -> Column:
 
 
 def normalize_text(text: Column) -> Column:
-    """Odd spaces, invisible marks, ligatures, NFC, single blanks, stripped ends."""
-    return strip(F.regexp_replace(nfc(clean_spaces(text)), r"[ \t]+", " "))
+    """Odd spaces, invisible marks, ligatures, NFC, single blanks, stripped ends.
+
+    Text without any character from U+0300 on is in NFC already, so only the rest
+    is sent to Python.
+    """
+    cleaned = clean_spaces(text)
+    composed = F.coalesce(nfc(F.when(cleaned.rlike(r"[^\x{0}-\x{2FF}]"), cleaned)), cleaned)
+    return strip(F.regexp_replace(composed, r"[ \t]+", " "))

@@ -107,7 +107,8 @@ def ordered_list_flag(lines: DataFrame) -> DataFrame:
     page = Window.partitionBy(*_PAGE).orderBy("line_no")
     seen = F.when(F.col("text") != "", F.struct(tx.first_number(F.col("text")).alias("n")))
     before = F.last("_seen", ignorenulls=True).over(page.rowsBetween(Window.unboundedPreceding, -1))["n"]
-    after = F.first("_seen", ignorenulls=True).over(page.rowsBetween(1, Window.unboundedFollowing))["n"]
+    back = Window.partitionBy(*_PAGE).orderBy(F.col("line_no").desc())
+    after = F.last("_seen", ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, -1))["n"]
     number = F.col("_seen")["n"]
     return (
         lines.withColumn("_seen", seen).withColumns({"_before": before, "_after": after})
