@@ -204,6 +204,61 @@ VIEWS: dict[str, str | tuple[str, str]] = {
     "layout_pages": """
         select distinct doc_id, page_no, cast(612 as double) as width, cast(792 as double) as height
         from page_lines""",
+    # Positioning calls and text calls that draw `fragments`: size in the matrix on
+    # visible line 1, an empty text matrix on line 0 (repaired) and from line 3 on
+    # (set by the Td before it).
+    "draw_calls": (
+        """select doc_id, page_no, line_no * 2 as seq, 'Td' as kind, '' as text,
+             array(1D, 0D, 0D, 1D, 0D, 0D) as tm, array(1D, 0D, 0D, 1D, 0D, 0D) as cm,
+             array(72D, cast(737 - 17 * line_no as double)) as operands, '' as font_name, 1D as font_size
+           from page_lines where line_no > 0
+           union all select f.doc_id, f.page_no, f.seq * 2 + 1, 'text', f.text,
+             case when f.seq = 1 then array(f.font_size, 0D, 0D, f.font_size, f.x, f.y)
+               when f.seq = 2 then array(1D, 0D, 0D, 1D, f.x / 2, f.y / 2) else array(1D, 0D, 0D, 1D, 0D, 0D) end,
+             case when f.seq = 2 then array(2D, 0D, 0D, 2D, 0D, 0D) else array(1D, 0D, 0D, 1D, 0D, 0D) end,
+             cast(null as array<double>), '/ABCDEF+' || f.font_name,
+             case when f.seq = 1 then 1D when f.seq = 2 then f.font_size / 2 else f.font_size end from fragments f""",
+        "select 1",
+    ),
+    # One page per order: its lines as rows of three cells under a header row.
+    "table_rows": """
+        select l_orderkey as doc_id, row_number() over (partition by l_orderkey
+            order by l_shipdate, l_partkey, l_suppkey, l_extendedprice, l_linenumber) as row_no,
+          l_returnflag || l_linestatus || '-' || cast(l_partkey as string) as c0,
+          cast(cast(l_quantity as bigint) as string) as c1,
+          cast(cast(l_extendedprice as bigint) as string) as c2, false as bold from lineitem
+        union all select o_orderkey, 0, 'Article', 'Quantite', 'Prix', true from orders
+          where o_orderpriority <> '1-URGENT'""",
+    "table_fragments": """
+        select doc_id, 0 as page_no, row_no * 3 as seq, c0 as text, cast(72 as double) as x,
+          cast(700 - 20 * row_no as double) as y, cast(11 as double) as font_size, 'Helvetica' as font_name, bold,
+          false as italic, false as mono from table_rows
+        union all select doc_id, 0, row_no * 3 + 1, c1, cast(200 as double), cast(700 - 20 * row_no as double),
+          cast(11 as double), 'Helvetica', bold, false, false from table_rows
+        union all select doc_id, 0, row_no * 3 + 2, c2, cast(330 as double), cast(700 - 20 * row_no as double),
+          cast(11 as double), 'Helvetica', bold, false, false from table_rows""",
+    "table_pages": """
+        select o_orderkey as doc_id, 0 as page_no, cast(612 as double) as width, cast(792 as double) as height
+        from orders""",
+    # Document words in two columns of five words a row, forty rows to the page.
+    "column_fragments": (
+        """select doc_id, cast(floor(k / 80) as int) as page_no, k % 80 as seq, text,
+             cast(case when k % 2 = 0 then 72 else 380 end as double) as x,
+             cast(740 - 17 * floor(k % 80 / 2) as double) as y, 11D as font_size, 'Helvetica' as font_name,
+             false as bold, false as italic, false as mono
+           from (select doc_id, k, array_join(slice(w, k * 5 + 1, 5), ' ') as text
+             from (select doc_id, split(regexp_replace(text, '[ ' || chr(10) || ']+', ' '), ' ') as w from documents) d
+             lateral view explode(sequence(0, cast(floor((size(w) - 1) / 5) as int))) s as k) f
+           where trim(text) <> ''""",
+        """select doc_id, cast(floor(k / 80) as int) as page_no, cast(k % 80 as int) as seq, text,
+             cast(case when k % 2 = 0 then 72 else 380 end as double) as x,
+             cast(740 - 17 * floor(k % 80 / 2) as double) as y, 11::double as font_size
+           from (select doc_id, k, array_to_string(w[k * 5 + 1 : k * 5 + 5], ' ') as text
+             from (select doc_id, w, unnest(generate_series(0, cast(floor((len(w) - 1) / 5) as int))) as k
+               from (select doc_id, string_split(regexp_replace(text, '[ ' || chr(10) || ']+', ' ', 'g'), ' ') as w
+                 from documents) d) e) f
+           where trim(text) <> ''""",
+    ),
     "imported_documents": """
         select doc_id as document_id, doc_id % (select count(*) from part) as lesson_id,
           source || '_' || cast(doc_id as string) || '-cours.pdf' as source_file, n_chars as page_count,
