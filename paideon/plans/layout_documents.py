@@ -54,11 +54,11 @@ CHECK_VIEWS.update({
           or (select count(*) from xc_margin r where r.doc_id = m.doc_id and r.edge = m.edge and r.band = m.band
             and r.form = m.form) >= greatest(3, floor(b.pages * 0.5))""",
     "xc_leading": """
-        select doc_id, median(gap) as leading from (select doc_id, font_size,
+        select doc_id, median(gap) as gap_median from (select doc_id, font_size,
             y - lead(y) over (partition by doc_id, page_no order by line_no) as gap from xc_lines) g
         where gap > 0 and gap < 6 * greatest(font_size, 1) group by 1""",
     "xc_content": f"""
-        select l.*, coalesce(d.leading, 0) as leading, regexp_matches(l.text, '{_ITEM}') as is_item,
+        select l.*, coalesce(d.gap_median, 0) as gap_median, regexp_matches(l.text, '{_ITEM}') as is_item,
           lag(l.page_no) over w as p_page, lag(l.y) over w as p_y, lag(l.font_size) over w as p_size,
           lag(l.bold) over w as p_bold, lag(l.text) over w as p_text
         from xc_lines l left join xc_leading d on d.doc_id = l.doc_id
@@ -69,7 +69,7 @@ CHECK_VIEWS.update({
         select *, sum(case when p_page is null or is_item or bold <> p_bold
             or abs(font_size - p_size) > greatest(font_size, p_size, 1) * 0.2
             or case when p_page = page_no
-              then p_y - y > greatest(leading, greatest(font_size, p_size, 1) * 1.15) * 1.5
+              then p_y - y > greatest(gap_median, greatest(font_size, p_size, 1) * 1.15) * 1.5
               else regexp_matches(p_text, '[.!?:»…]$') end then 1 else 0 end)
             over (partition by doc_id order by page_no, line_no) as par_no
         from xc_content""",
@@ -87,7 +87,7 @@ CHECK_VIEWS.update({
         select p.*, b.body_size, (case when r >= 1.35 then 45 when r >= 1.15 then 35 when r >= 1.05 then 20
               when r < 0.9 then -15 else 0 end)
           + (case when bold_ratio > 0.6 then 20 else 0 end)
-          + (case when len(words) > 0 and len(list_filter(words, w -> regexp_matches(w, '^\\p{{Lu}}'))) / len(words) >= 0.6
+          + (case when len(words) > 0 and len(list_filter(words, lambda w: regexp_matches(w, '^\\p{{Lu}}'))) / len(words) >= 0.6
               then 10 else 0 end)
           + (case when regexp_matches(text, '{_NUMBERED}') then 25 else 0 end)
           + (case when not regexp_matches(text, '[.!?…:;]$') then 10 else 0 end)
@@ -97,7 +97,7 @@ CHECK_VIEWS.update({
           + (case when lower(regexp_extract_all(text, '[A-Za-zÀ-ÿ'']+')[-1]) in {_list(_DANGLING)} then -25 else 0 end)
             as score
         from (select q.*, q.font_size / b.body_size as r,
-            list_filter(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+'), w -> length(w) > 2) as words
+            list_filter(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+'), lambda w: length(w) > 2) as words
           from xc_par q join xc_body b on b.doc_id = q.doc_id) p join xc_body b on b.doc_id = p.doc_id""",
     "xc_type": """
         select *, case
@@ -285,7 +285,7 @@ def accepted_tables(t):
     return tables.select("doc_id", F.size("rows").cast("long").alias("rows"), F.col("headers").isNotNull().alias("headed"))
 
 
-@query("median_leading", "select doc_id, leading from xc_leading")
+@query("median_leading", 'select doc_id, gap_median as "leading" from xc_leading')
 def median_leading(t):
     return par.median_leading(_lines(t))
 
