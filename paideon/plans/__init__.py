@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ("learning", "loading", "text_documents", "layout_documents")
+_MODULES = ("learning", "loading", "text_documents", "layout_documents", "streams")
 
 
 def all_queries():
