@@ -106,11 +106,16 @@ def build_lines(rows: DataFrame) -> DataFrame:
     }).filter(F.col("text") != "").drop("_parts")
 
 
+def visual_lines(measured: DataFrame, layout: DataFrame) -> DataFrame:
+    """Lines of fragments (with width) in the reading order of their page layout."""
+    return build_lines(group_rows(reading_order(measured, layout)))
+
+
 def lines_of(fragments: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(lines, page layouts) of fragments, every page step keyed by page."""
     measured = with_width(fragments)
     layout = column_layout(measured)
-    return build_lines(group_rows(reading_order(measured, layout))), layout
+    return visual_lines(measured, layout), layout
 
 
 def body_size(lines: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from paideon.functions import text as tx
 from paideon.functions.scan import ordered_scan, spread_facts
 from paideon.functions.values import weighted_median
 from paideon.operators.fragments import PAGE
+from paideon.session import stage
 
 # --- Fixed values ------------------------------------------------------------
 GAP_FACTOR, SIZE_CHANGE, INDENT, OWN_LEADING, MAX_GAP = 1.5, 0.20, 0.8, 1.15, 6
@@ -135,7 +136,7 @@ def measures(paragraphs: DataFrame) -> DataFrame:
 
 def group_paragraphs(lines: DataFrame, leading: DataFrame) -> DataFrame:
     """Paragraphs of whole documents; a page break alone does not end one."""
-    broken = hard_breaks(lines, leading)
+    broken = stage(hard_breaks(lines, leading), "breaks")
     runs = ordered_scan(broken, ["doc_id"], _ORDER, F.col("chunk"),
                         lasts={"_run": F.when(F.col("hard"), F.struct(*_ORDER))})
     item = F.struct(*_ORDER, "x", "y", "font_size", "text", tx.normalize_text(F.col("text")).alias("clean"),

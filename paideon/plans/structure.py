@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from paideon.functions.values import round_tenth
 from paideon.operators.blocks import blocks as build_blocks, elements as number_elements
 from paideon.operators.classify import classify, merge_overlines
-from paideon.operators.fragments import with_chunk
-from paideon.operators.lines import body_size, lines_of
+from paideon.operators.columns import column_layout
+from paideon.operators.fragments import with_chunk, with_width
+from paideon.operators.lines import body_size, visual_lines
 from paideon.operators.margins import margin_bands, margin_candidates, margin_marks
 from paideon.operators.paragraphs import group_paragraphs, median_leading
 from paideon.operators.report import anomalies, quality_report
@@ -50,14 +51,15 @@ def marked_lines(fragments: DataFrame, pages: DataFrame) -> tuple[DataFrame, Dat
     Margins come before tables, because boilerplate breaks a run of table rows.
     """
     sheets = with_chunk(pages)
-    raw, layout = lines_of(fragments)
-    lines, layout = stage(raw, "lines"), stage(layout, "layout")
+    measured = with_width(fragments)
+    layout = stage(column_layout(measured), "layout")
+    lines = stage(visual_lines(measured, layout), "lines")
     candidates = margin_candidates(lines, sheets)
     bands = margin_bands(candidates, sheets)
     runs = table_runs(margin_marks(candidates, bands, body_size(lines)))
     runs = stage(runs, "runs")
-    tables = accept_tables(runs)
-    return sheets, layout, mark_tables(runs, tables), bands, tables
+    tables = stage(accept_tables(runs), "tables")
+    return sheets, layout, stage(mark_tables(runs, tables), "marked"), bands, tables
 
 
 def classified_paragraphs(lines: DataFrame) -> DataFrame:
@@ -69,10 +71,10 @@ def structure_documents(fragments: DataFrame, pages: DataFrame) -> Structure:
     sheets, layout, lines, bands, tables = marked_lines(fragments, pages)
     paragraphs = stage(classified_paragraphs(lines), "paragraphs")
     elements = stage(number_elements(stage(merge_overlines(paragraphs), "merged")), "elements")
-    built = build_blocks(elements, tables)
+    built = stage(build_blocks(elements, tables), "blocks")
     headings = elements.filter("kind is null").select("doc_id", "heading_no", "text", "font_size", "confidence",
                                                       "page_start", "page_end")
-    sections = section_tree(headings, built)
+    sections = stage(section_tree(headings, built), "sections")
     return Structure(sheets, layout, lines, bands, tables, paragraphs, elements, built, sections)
 
 
