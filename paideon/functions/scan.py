@@ -77,12 +77,15 @@ def ordered_scan(
     )
 
 
-def spread_facts(rows: DataFrame, facts: DataFrame, key: str, chunk: str, how: str = "left") -> DataFrame:
+def spread_facts(
+    rows: DataFrame, facts: DataFrame, key: str, chunk: str, how: str = "left", places: DataFrame | None = None
+) -> DataFrame:
     """Join one small row per `key` to all its rows without one task per key.
 
     The facts are first copied to the chunks that exist for their key, then the
-    big side joins on (key, chunk).
+    big side joins on (key, chunk). `places` lists the same chunks more cheaply
+    than `rows` when given.
     """
-    places = rows.select(key, chunk).distinct()
+    places = (rows if places is None else places).select(key, chunk).distinct()
     by_chunk = places.join(facts, key)
     return rows.join(by_chunk, [key, chunk], how)

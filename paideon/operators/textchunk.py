@@ -62,7 +62,7 @@ def page_counts(rows: DataFrame) -> DataFrame:
     return rows.select("doc_id", "page_no").distinct().groupBy("doc_id").agg(F.count(F.lit(1)).alias("pages"))
 
 
-def boilerplate_forms(marked: DataFrame) -> DataFrame:
+def boilerplate_forms(marked: DataFrame, counts: DataFrame | None = None) -> DataFrame:
     """Per document the exact and digit forms that recur in margins.
 
     A form is counted once per page. Pages have at most four margin lines and a
@@ -80,10 +80,11 @@ def boilerplate_forms(marked: DataFrame) -> DataFrame:
         .filter(F.col("n") >= MIN_PAGES)
     )
     enough = F.greatest(F.lit(MIN_PAGES), F.floor(F.col("pages") * PAGE_SHARE))
-    return counted.join(page_counts(marked), "doc_id").filter(F.col("n") >= enough).select("doc_id", "kind", "form", "n")
+    counts = page_counts(marked) if counts is None else counts
+    return counted.join(counts, "doc_id").filter(F.col("n") >= enough).select("doc_id", "kind", "form", "n")
 
 
-def boilerplate_flag(marked: DataFrame, forms: DataFrame) -> DataFrame:
+def boilerplate_flag(marked: DataFrame, forms: DataFrame, places: DataFrame | None = None) -> DataFrame:
     """Mark margin lines whose exact form recurs, or whose page-number form does."""
     kept = forms.groupBy("doc_id").agg(
         F.collect_set(F.when(F.col("kind") == "exact", F.col("form"))).alias("_exact"),
@@ -93,7 +94,7 @@ def boilerplate_flag(marked: DataFrame, forms: DataFrame) -> DataFrame:
     hit = F.array_contains("_exact", tx.norm_exact(text)) | (
         tx.is_page_number(text) & F.array_contains("_digits", tx.norm_digits(text))
     )
-    return spread_facts(marked, kept, "doc_id", "chunk").withColumn(
+    return spread_facts(marked, kept, "doc_id", "chunk", places=places).withColumn(
         "boilerplate", F.col("in_margin") & F.coalesce(hit, F.lit(False))
     ).drop("_exact", "_digits")
 
@@ -145,8 +146,10 @@ def is_heading(text: Column, isolated: Column) -> Column:
 
 def classify_lines(lines: DataFrame) -> DataFrame:
     """All page-level decisions: margin, boilerplate, list, isolation, heading."""
-    marked = margin_flag(with_chunk(lines))
-    flagged = boilerplate_flag(marked, boilerplate_forms(marked))
+    plain = with_chunk(lines)
+    # One shuffle by chunk serves every page window, the join and the scans below.
+    marked = margin_flag(plain.repartition("doc_id", "chunk"))
+    flagged = boilerplate_flag(marked, boilerplate_forms(marked, page_counts(plain)), plain)
     listed = isolation(ordered_list_flag(flagged))
     return listed.withColumn(
         "heading", ~F.col("boilerplate") & ~F.col("in_list") & is_heading(F.col("text"), F.col("isolated"))
