@@ -85,6 +85,11 @@ def lesson_summaries(t):
     return cat.lesson_summary(cat.published(t.lessons))
 
 
+@query("lessons_in_course_order", "select course_id, position, lesson_id from lessons")
+def lessons_in_course_order(t):
+    return t.lessons.select("course_id", "position", "lesson_id").orderBy("course_id", "position", "lesson_id")
+
+
 @query("promote_staff", """
   select user_id, case when role = 'ADMIN' then 'SUPER_ADMIN' else role end as role from users""")
 def promote_staff(t):

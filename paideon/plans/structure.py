@@ -13,6 +13,7 @@ from paideon.operators.classify import classify, merge_overlines
 from paideon.operators.columns import column_layout
 from paideon.operators.fragments import with_chunk, with_width
 from paideon.operators.lines import body_size, visual_lines
+from paideon.operators.merge import replace_children
 from paideon.operators.margins import margin_bands, margin_candidates, margin_marks
 from paideon.operators.paragraphs import group_paragraphs, median_leading
 from paideon.operators.report import anomalies, quality_report
@@ -95,15 +96,25 @@ def document_tables(result: Structure) -> tuple[DataFrame, DataFrame]:
     return sections, blocks
 
 
-def write_document_tree(files: DataFrame, result: Structure, path: str, buckets: int = 256) -> None:
-    """Write documents, sections and blocks; a re-run replaces the buckets it touches."""
+def write_document_tree(
+    files: DataFrame, result: Structure, path: str, previous: str | None = None, buckets: int = 256
+) -> None:
+    """Write documents, sections and blocks of the imported files under `path`.
+
+    With `previous`, the tables written there before are carried over except for
+    the documents of this batch, whose whole tree is replaced. The old folder is
+    left as it is, so a failed or repeated run loses nothing.
+    """
     sections, blocks = document_tables(result)
     report = result.report().select("doc_id", "pages", F.to_json(F.struct("*")).alias("report"))
     for name, rows in (("documents", files.join(report, "doc_id", "left")), ("sections", sections), ("blocks", blocks)):
+        if previous is not None:
+            stored = files.sparkSession.read.schema(rows.schema).parquet(f"{previous}/{name}").select(*rows.columns)
+            rows = replace_children(stored, files, rows, "doc_id")
         (
             rows.withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(buckets)))
-            .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket")
-            .parquet(f"{path}/{name}")
+            .repartition("bucket", F.pmod(F.xxhash64("doc_id", *([] if name == "documents" else ["heading_no"])), F.lit(16)))
+            .write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/{name}")
         )
 
 

@@ -47,11 +47,14 @@ def local_session(cores: int | str = 8, app: str = "paideon", memory: str = "16g
 
 
 def stage_root(spark: SparkSession) -> str:
-    """Shared folder of the cluster, or a private temporary one when none is set."""
+    """Shared folder of the cluster; a private temporary one only in local mode."""
     global _local_stage_root
-    shared = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    shared = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if shared:
         return shared.rstrip("/")
+    if not context.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
     if _local_stage_root is None:
         _local_stage_root = tempfile.mkdtemp(prefix="paideon-stage-")
         atexit.register(shutil.rmtree, _local_stage_root, ignore_errors=True)

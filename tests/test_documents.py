@@ -81,12 +81,19 @@ def test_anomalies(result):
     assert ("no_headings", "NO_HEADINGS") in kinds and ("two_columns", "MULTI_COLUMN") in kinds
 
 
-def test_write_is_repeatable(spark, result, tmp_path):
+def test_write_replaces_only_its_documents(spark, result, tmp_path):
     files = spark.createDataFrame([(d, f"{d}.pdf") for d in DOCUMENTS], "doc_id string, source_file string")
-    for _ in range(2):
-        st.write_document_tree(files, result, str(tmp_path), buckets=2)
-    assert spark.read.parquet(f"{tmp_path}/documents").count() == len(DOCUMENTS)
-    assert spark.read.parquet(f"{tmp_path}/blocks").count() == result.blocks.count()
+    one, two, three = (str(tmp_path / n) for n in ("one", "two", "three"))
+    st.write_document_tree(files, result, one, buckets=2)
+    st.write_document_tree(files, result, two, previous=one, buckets=2)
+    gone = spark.createDataFrame([("lists", "lists.pdf")], "doc_id string, source_file string")
+    empty = st.Structure(*[getattr(result, n).filter("doc_id = 'none'") for n in st.Structure.__dataclass_fields__])
+    st.write_document_tree(gone, empty, three, previous=two, buckets=2)
+    n = result.blocks.count()
+    assert [spark.read.parquet(f"{p}/blocks").count() for p in (one, two)] == [n, n]
+    left = spark.read.parquet(f"{three}/blocks")
+    assert left.count() == n - result.blocks.filter("doc_id = 'lists'").count()
+    assert spark.read.parquet(f"{three}/documents").count() == len(DOCUMENTS)
 
 
 def test_broken_document_keeps_its_course(spark):
