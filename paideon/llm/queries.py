@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from paideon.llm import bestfit, exact_dedup
+from paideon.llm import bestfit, decontaminate, exact_dedup, hyperminhash, toxicity
 from paideon.session import tune
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -41,6 +41,61 @@ def op2_exact_dedup(spark, folder):
     return exact_dedup.flags(table(spark, folder, "documents"))
 
 
+@query("op4_hyperminhash", r"""
+    with recursive d as materialized (select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''),
+        'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w from documents),
+    s as materialized (select distinct doc_id, unnest(case when len(w) = 0 then [] when len(w) < 2 then [w[1]]
+        else list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) end) as g from d),
+    n as (select doc_id, count(*) as c from s group by 1),
+    l as materialized (select a.doc_id as a, b.doc_id as b from s a join s b on a.g = b.g and a.doc_id < b.doc_id
+      join n x on x.doc_id = a.doc_id join n y on y.doc_id = b.doc_id
+      group by 1, 2, x.c, y.c having 100 * count(*) >= 80 * (x.c + y.c - count(*))),
+    e as materialized (select a, b from l union all select b, a from l),
+    r as (select doc_id as id, doc_id as root from d union select e.b, r.root from r join e on e.a = r.id),
+    c as (select id, min(root) as component_id from r group by 1)
+    select d.doc_id, coalesce(n.c, 0) as n_shingles, component_id, d.doc_id = component_id as kept
+    from d left join n on n.doc_id = d.doc_id join c on c.id = d.doc_id""")
+def op4_hyperminhash(spark, folder):
+    return hyperminhash.groups(table(spark, folder, "documents"))
+
+
 @query("op6_best_fit_packing")
 def op6_best_fit_packing(spark, folder):
     return bestfit.pack(table(spark, folder, "documents"), vocabulary())
+
+
+@query("op7_toxicity")
+def op7_toxicity(spark, folder):
+    return toxicity.flags(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+_WORDS = (r"list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', "
+          r"'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')")
+
+
+@query("op8_decontamination", f"""
+    with d as (select doc_id, {_WORDS} as w from documents),
+    b as (select item_id, {_WORDS} as w from benchmark),
+    bw as (select distinct item_id, least(len(w), 13) as n,
+        array_to_string(w[i:i + least(len(w), 13) - 1], ' ') as k
+      from (select *, unnest(range(1, len(w) - least(len(w), 13) + 2)) as i from b where len(w) > 0)),
+    p as (select doc_id, w, unnest(range(1, len(w) + 1)) as i from d),
+    h as (select doc_id, i, n, array_to_string(w[i:i + n - 1], ' ') as k
+      from p cross join (select distinct n from bw) where i + n - 1 <= len(w)),
+    x as (select h.* from h where k in (select k from bw)),
+    c as (select doc_id, count(distinct j) as n_hit from (select doc_id, unnest(range(i, i + n)) as j from x) group by 1),
+    t as (select doc_id, count(*) as n_items, string_agg(s, ',' order by s) as items
+      from (select distinct doc_id, cast(item_id as varchar) as s from x join bw using (k)) group by 1)
+    select doc_id, len(w) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items,
+      sha256(coalesce(items, '')) as items_sha256,
+      coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(w) as contaminated
+    from d left join c using (doc_id) left join t using (doc_id)""")
+def op8_decontamination(spark, folder):
+    return decontaminate.report(table(spark, folder, "documents"), table(spark, folder, "benchmark")).drop("text_hash")
+
+
+@query("pipeline")
+def pipeline(spark, folder):
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, folder)
