@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from paideon.llm import bestfit, decontaminate, exact_dedup, hyperminhash, toxicity
+from paideon.llm import bestfit, decontaminate, exact_dedup, hyperminhash, langid, simple8b, toxicity
 from paideon.session import tune
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -59,6 +59,16 @@ def op4_hyperminhash(spark, folder):
     return hyperminhash.groups(table(spark, folder, "documents"))
 
 
+@query("op5_simple8b")
+def op5_simple8b(spark, folder):
+    return simple8b.round_trip(table(spark, folder, "documents"), vocabulary())
+
+
+@query("op3_language")
+def op3_language(spark, folder):
+    return langid.predictions(table(spark, folder, "documents"))
+
+
 @query("op6_best_fit_packing")
 def op6_best_fit_packing(spark, folder):
     return bestfit.pack(table(spark, folder, "documents"), vocabulary())
