@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from paideon.llm import bestfit, decontaminate, exact_dedup, hyperminhash, langid, simple8b, toxicity
+from paideon.llm import bestfit, debruijn, decontaminate, exact_dedup, hyperminhash, langid, simple8b, toxicity
 from paideon.session import tune
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -109,3 +109,20 @@ def pipeline(spark, folder):
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, folder)
+
+
+@query("op10_debruijn", r"""
+    with d as (select doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w
+      from documents),
+    p as materialized (select doc_id, i, md5(array_to_string(w[i:i + 12], ' ')) as h
+      from (select doc_id, w, unnest(range(1, len(w) - 11)) as i from d where len(w) >= 13)),
+    f as (select h, min(doc_id) as first from p group by 1),
+    g as (select distinct doc_id, unnest(range(i, i + 13)) as j from p join f using (h) where first < doc_id),
+    x as (select doc_id, list(j) as js, count(*) as n from g group by 1)
+    select d.doc_id, len(w) as n_words, coalesce(n, 0) as n_removed,
+      sha256(coalesce(array_to_string(case when n is null then w
+        else (select list(y.w order by y.j) from (select unnest(d.w) as w, unnest(range(1, len(d.w) + 1)) as j) y
+              where not list_contains(x.js, y.j)) end, ' '), '')) as kept_sha256
+    from d left join x on x.doc_id = d.doc_id""")
+def op10_debruijn(spark, folder):
+    return debruijn.without_repeats(table(spark, folder, "documents"))

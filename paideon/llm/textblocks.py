@@ -146,3 +146,13 @@ def window_hashes(words: Words, size: int, seed: int = 1) -> tuple[np.ndarray, n
     row = words.rows
     starts = np.flatnonzero(row[:n] == row[size - 1:])
     return mix(total[starts]), starts
+
+
+def sequence_hashes(words: Words, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hash of the word sequence [begin, end) for each pair of word indices."""
+    n = len(words.hashes)
+    size = max(n + 1, 1 << 20)
+    up, down = _power_table("word up", _BASE, size), _power_table("word down", _BASE_INVERSE, size)
+    sums = np.zeros(n + 1, np.uint64)
+    np.cumsum(words.hashes * up[:n], out=sums[1:])
+    return mix((sums[end] - sums[begin]) * down[begin] + (end - begin).astype(np.uint64))
