@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from paideon.llm import bestfit, debruijn, decontaminate, exact_dedup, hyperminhash, langid, simple8b, toxicity
+from paideon.llm import bestfit, debruijn, decontaminate, exact_dedup, hyperminhash, langid, licenses, quotes, simple8b, toxicity
 from paideon.session import tune
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -126,3 +126,55 @@ def pipeline(spark, folder):
     from d left join x on x.doc_id = d.doc_id""")
 def op10_debruijn(spark, folder):
     return debruijn.without_repeats(table(spark, folder, "documents"))
+
+
+@query("op1_quotation_linking", r"""
+    with recursive m as (select row_number() over () as k, * from conversations),
+    l as (select k, conv_id, turn, unnest(range(1, len(a) + 1)) as n, a from (
+      select k, conv_id, turn, regexp_split_to_array(coalesce(text, ''), '\r\n|\n|\r') as a from m)),
+    r as (select k, conv_id, turn, n, length(regexp_replace(regexp_extract(a[n], '^((?:[ \t]*>)+)', 1), '[^>]', '', 'g')) as level,
+        regexp_replace(a[n], '^((?:[ \t]*>)+)[ \t]?', '') as content from l),
+    t as (select *, trim(regexp_replace(translate(content, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[\x20\x09-\x0D]+', ' ', 'g')) as norm from r),
+    o as (select *, case when lag(level) over w = level and lag(norm) over w <> '' and norm <> '' then 0 else 1 end as opens
+      from t window w as (partition by k order by n)),
+    g as (select *, sum(opens) over (partition by k order by n) as place from o),
+    p as materialized (select k, conv_id, turn, level, place, string_agg(content, chr(10) order by n) as body,
+        string_agg(norm, ' ' order by n) as norm from g where norm <> '' group by 1, 2, 3, 4, 5),
+    f as (select conv_id, norm, min(turn) as origin from p where level = 0 group by 1, 2),
+    q as (select p.k, p.conv_id, p.turn, p.level, f.origin from p join f using (conv_id, norm) where p.level > 0 and origin < p.turn),
+    e as (select k, conv_id, turn, count(*) as n_linked, max(origin) filter (level = least_level) as reply_to from (
+      select *, min(level) over (partition by k) as least_level from q) group by 1, 2, 3),
+    u as (select conv_id, turn, max(reply_to) as up from e group by 1, 2),
+    c as (select conv_id, turn, up, 1 as depth from u union all
+      select c.conv_id, c.turn, u.up, depth + 1 from c join u on u.conv_id = c.conv_id and u.turn = c.up),
+    z as (select conv_id, turn, max(depth) as depth, min(up) as root from c group by 1, 2),
+    b as (select k, coalesce(string_agg(body, chr(10) || chr(10) order by place) filter (level = 0), '') as body,
+        count(*) filter (level > 0) as n_quotes from p group by 1)
+    select m.conv_id, m.turn, m.role, coalesce(b.body, '') as body, e.reply_to, coalesce(z.root, m.turn) as thread_root,
+      coalesce(z.depth, 0) as depth, coalesce(n_quotes, 0) as n_quotes, coalesce(n_linked, 0) as n_linked
+    from m left join b using (k) left join e using (k) left join z on z.conv_id = m.conv_id and z.turn = m.turn""")
+def op1_quotation_linking(spark, folder):
+    return quotes.reply_threads(table(spark, folder, "conversations"))
+
+
+def _license_sql() -> str:
+    values = ", ".join("('{}', '{}')".format(n, t.replace("'", "''")) for n, t in licenses.TEMPLATES)
+    shingles = "list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))"
+    return f"""
+    with d as (select doc_id, {_WORDS} as w from documents),
+    t as (select name, list_distinct({shingles}) as g from (select name, {_WORDS} as w from (values {values}) v(name, text)) x),
+    c as (select name, g, cast(pow(2, ceil(log2(len(g)))) as bigint) as c from t),
+    ts as (select name, c, len(g) as n, unnest(g) as s from c),
+    p as (select doc_id, unnest({shingles}) as s, unnest(range(0, len(w) - 4)) as i from d where len(w) >= 5),
+    h as (select distinct doc_id, name, n, s, unnest([i // c, greatest(i // c - 1, 0)]) as window_no from p join ts using (s)),
+    k as (select doc_id, name, count(distinct s) / max(n) as share from h group by doc_id, name, window_no),
+    m as (select doc_id, name, max(share) as share from k where share >= 0.8 group by 1, 2),
+    r as (select doc_id, count(*) as n, string_agg(name, ',' order by name) as names, max(share) as share from m group by 1)
+    select d.doc_id, len(w) as n_words, coalesce(n, 0) as n_licenses, coalesce(names, '') as licenses,
+      coalesce(share, 0.0) as containment from d left join r using (doc_id)"""
+
+
+@query("op9_license_scan", _license_sql())
+def op9_license_scan(spark, folder):
+    return licenses.report(table(spark, folder, "documents"))
