@@ -46,6 +46,9 @@ LIGATURES = {
     "\ufb00": "ff", "\ufb01": "fi", "\ufb02": "fl", "\ufb03": "ffi",
     "\ufb04": "ffl", "\ufb05": "st", "\ufb06": "st",
 }
+# Every decimal digit of Unicode and the ASCII digit of its value, in the same order.
+DIGITS = "".join(chr(c) for c in range(0x110000) if unicodedata.category(chr(c)) == "Nd")
+DIGIT_VALUES = "".join(str(unicodedata.digit(c)) for c in DIGITS)
 SOFT_HYPHEN = "\u00ad"
 HYPHENS = "-\u2010\u2011"
 # -----------------------------------------------------------------------------
@@ -86,9 +89,14 @@ def is_list_item(text: Column) -> Column:
     return text.rlike(BULLET) | text.rlike(ORDERED_ITEM)
 
 
+def whole_number(digits: Column) -> Column:
+    """Value of a run of decimal digits of any script; NULL beyond 38 digits."""
+    return F.translate(digits, DIGITS, DIGIT_VALUES).try_cast("decimal(38,0)")
+
+
 def first_number(text: Column) -> Column:
     """Number of an `n.` or `n)` line, NULL for any other line."""
-    return F.when(text.rlike(ORDERED_LINE), F.regexp_extract(text, ORDERED_LINE, 1).cast("int"))
+    return F.when(text.rlike(ORDERED_LINE), whole_number(F.regexp_extract(text, ORDERED_LINE, 1)).cast("int"))
 
 
 def title_case(text: Column) -> Column:

@@ -26,16 +26,6 @@ def keyed_questions(quiz_questions: DataFrame, key: DataFrame) -> DataFrame:
     ).select("quiz_id", "question_no", "correct_option_id", "explanation")
 
 
-def _marked(attempts: DataFrame, answers: DataFrame, questions: DataFrame) -> DataFrame:
-    """Counting answers of each attempt against the quiz: known, right or unknown."""
-    asked = questions.withColumn("known", F.lit(True))
-    return (
-        last_answer(answers)
-        .join(attempts.select("attempt_id", "quiz_id"), "attempt_id")
-        .join(asked, ["quiz_id", "question_no"], "left")
-    )
-
-
 def unknown_answers(attempts: DataFrame, answers: DataFrame, quiz_questions: DataFrame) -> DataFrame:
     """Answers whose question is not part of the attempt's quiz."""
     given = answers.select("attempt_id", "question_no").distinct()
@@ -44,38 +34,60 @@ def unknown_answers(attempts: DataFrame, answers: DataFrame, quiz_questions: Dat
     )
 
 
-def check_attempts(
-    attempts: DataFrame, answers: DataFrame, quizzes: DataFrame, quiz_questions: DataFrame, key: DataFrame
-) -> DataFrame:
-    """Every attempt with score and result, or the reason it is rejected."""
-    questions = keyed_questions(quiz_questions, key)
-    sizes = questions.groupBy("quiz_id").agg(
-        F.count(F.lit(1)).alias("total"), F.count("correct_option_id").alias("keyed")
-    )
-    quiz = published(quizzes).select("quiz_id", "skill_id", "pass_threshold").join(sizes, "quiz_id", "left")
-    right = F.col("known") & (F.col("selected_option_id") == F.col("correct_option_id"))
-    marks = _marked(attempts, answers, questions).groupBy("attempt_id").agg(
-        F.count_if(F.col("known").isNull()).alias("unknown"),
-        F.count_if(F.coalesce(right, F.lit(False))).alias("correct_count"),
-    )
-    total = F.coalesce("total", F.lit(0))
-    score = F.when(total > 0, round_half_even(100 * F.col("correct_count") / total)).otherwise(F.lit(0).cast("long"))
+def quiz_sheets(quizzes: DataFrame, quiz_questions: DataFrame, key: DataFrame) -> DataFrame:
+    """One row per published quiz with its questions and their correct options."""
+    question = F.struct("question_no", "correct_option_id", "explanation")
+    questions = keyed_questions(quiz_questions, key).groupBy("quiz_id").agg(F.collect_list(question).alias("questions"))
+    return published(quizzes).select("quiz_id", "skill_id", "pass_threshold").join(questions, "quiz_id", "left")
+
+
+def answer_lists(attempts: DataFrame, answers: DataFrame) -> DataFrame:
+    """Attempts with the list of their counting answers, NULL where nothing was answered.
+
+    Answers are dealt by attempt once; the last one per question and the list are both
+    taken from that.
+    """
+    given = last_answer(answers.repartition("attempt_id")).groupBy("attempt_id").agg(
+        F.collect_list(F.struct("question_no", "selected_option_id")).alias("given"))
+    return attempts.join(given, "attempt_id", "left")
+
+
+def marked(listed: DataFrame, sheets: DataFrame) -> DataFrame:
+    """Attempts beside their quiz sheet, with score and result or the reason of rejection.
+
+    Every row is decided on its own, so this serves tables and streams alike.
+    """
+    none = F.array().cast(sheets.schema["questions"].dataType)
+    rows = listed.join(sheets, "quiz_id", "left").withColumn("questions", F.coalesce("questions", none))
+    asked = F.transform("questions", lambda q: q["question_no"])
+    keys = F.filter("questions", lambda q: q["correct_option_id"].isNotNull())
+    right = F.array_intersect(
+        F.transform(keys, lambda q: F.struct(
+            q["question_no"].alias("question_no"), q["correct_option_id"].alias("selected_option_id"))), "given")
+    total = F.size("questions")
     reason = (
-        F.when(F.col("correct_count").isNull(), "NO_ANSWER")
+        F.when(F.coalesce(F.size("given"), F.lit(0)) <= 0, "NO_ANSWER")
         .when(F.col("pass_threshold").isNull(), "QUIZ_NOT_FOUND")
-        .when(F.col("unknown") > 0, "UNKNOWN_QUESTION")
-        .when(F.coalesce("keyed", F.lit(0)) < total, "NO_SINGLE_KEY")
+        .when(F.size(F.array_except(F.transform("given", lambda g: g["question_no"]), asked)) > 0, "UNKNOWN_QUESTION")
+        .when(F.size(keys) < total, "NO_SINGLE_KEY")
     )
+    score = F.when(total > 0, round_half_even(100 * F.col("correct_count") / total)).otherwise(F.lit(0).cast("long"))
     return (
-        attempts.join(marks, "attempt_id", "left").join(quiz, "quiz_id", "left")
-        .withColumns({"reason": reason, "total_questions": total})
+        rows.withColumns({"reason": reason, "correct_count": F.size(right).cast("long"), "total_questions": total.cast("long")})
         .withColumn("score", F.when(F.col("reason").isNull(), score))
         .withColumn("passed", F.col("score") >= F.col("pass_threshold"))
-        .select("attempt_id", "user_id", "quiz_id", "skill_id", "started_at", "correct_count",
-                "total_questions", "score", "passed", "reason")
     )
 
 
+def check_attempts(
+    attempts: DataFrame, answers: DataFrame, quizzes: DataFrame, quiz_questions: DataFrame, key: DataFrame
+) -> DataFrame:
+    """Every attempt with score and result, or the reason it is rejected."""
+    return marked(answer_lists(attempts, answers), quiz_sheets(quizzes, quiz_questions, key)).select(
+        "attempt_id", "user_id", "quiz_id", "skill_id", "started_at", "correct_count", "total_questions", "score", "passed",
+        "reason")
+
+
 def grade_attempts(
     attempts: DataFrame, answers: DataFrame, quizzes: DataFrame, quiz_questions: DataFrame, key: DataFrame
 ) -> tuple[DataFrame, DataFrame]:
@@ -91,13 +103,15 @@ def unknown_question_lists(attempts: DataFrame, answers: DataFrame, quiz_questio
     return nest(unknown_answers(attempts, answers, quiz_questions), ["attempt_id"], ["question_no"], [], "unknown")
 
 
-def attempt_answers(graded: DataFrame, answers: DataFrame, quiz_questions: DataFrame, key: DataFrame) -> DataFrame:
+def attempt_answers(
+    attempts: DataFrame, answers: DataFrame, quizzes: DataFrame, quiz_questions: DataFrame, key: DataFrame
+) -> DataFrame:
     """One row per question of each graded attempt, unanswered ones included."""
-    asked = graded.select("attempt_id", "quiz_id").join(keyed_questions(quiz_questions, key), "quiz_id")
+    graded = marked(answer_lists(attempts, answers), quiz_sheets(quizzes, quiz_questions, key)).filter("reason is null")
+    rows = graded.select("attempt_id", F.map_from_entries("given").alias("given"), F.inline("questions"))
+    picked = rows.withColumn("selected_option_id", F.try_element_at("given", F.col("question_no"))).drop("given")
     right = F.col("selected_option_id") == F.col("correct_option_id")
-    return asked.join(last_answer(answers), ["attempt_id", "question_no"], "left").withColumn(
-        "is_correct", F.coalesce(right, F.lit(False))
-    )
+    return picked.withColumn("is_correct", F.coalesce(right, F.lit(False)))
 
 
 def bump_mastery(mastery: DataFrame, graded: DataFrame) -> DataFrame:

@@ -34,7 +34,7 @@ def quality_report(
     typed = paragraphs.groupBy("doc_id").agg(
         n.alias("paragraphs"), F.count_if(F.col("type") == "HEADING").alias("headings"),
         F.avg("confidence").alias("average_confidence"))
-    kinds = blocks.filter("part = 0").groupBy("doc_id").agg(
+    kinds = blocks.groupBy("doc_id").agg(
         n.alias("blocks"), *[F.count_if(F.col("kind") == kind).alias(name) for name, kind in BLOCK_COUNTERS.items()])
     nodes = sections.groupBy("doc_id").agg(
         F.count_if(F.col("level") == 1).alias("sections"), F.count_if(F.col("level") > 1).alias("subsections"))
@@ -68,11 +68,8 @@ def anomalies(report: DataFrame, paragraphs: DataFrame, blocks: DataFrame) -> Da
     start = F.substring("text", 1, 70)
     headings = paragraphs.filter((F.col("type") == "HEADING") & (F.col("confidence") < AMBIGUOUS))
     unknown = paragraphs.filter("type = 'UNKNOWN'")
-    bare = blocks.filter("kind = 'TABLE' and headers is null and rows is not null and part = 0")
-    # A block longer than one part is oversized by far; its parts are added up.
-    sizes = blocks.groupBy("doc_id", "element_no").agg(
-        F.sum(F.length("text")).alias("size"), F.min("page_start").alias("page_start"))
-    oversized = sizes.filter(F.col("size") > OVERSIZED)
+    bare = blocks.filter("kind = 'TABLE' and headers is null and rows is not null")
+    oversized = blocks.withColumn("size", F.length("text")).filter(F.col("size") > OVERSIZED)
     found = (
         headings.select(*_row("AMBIGUOUS_HEADING", F.format_string(MSG_HEADING, start), F.col("page_start"), F.col("confidence")))
         .unionByName(unknown.select(*_row("UNKNOWN_ELEMENT", F.format_string(MSG_UNKNOWN, start), F.col("page_start"),

@@ -53,26 +53,29 @@ def _assign(items: DataFrame, blocked: DataFrame) -> DataFrame:
     )
 
 
-def assign_slugs(existing: DataFrame, titles: DataFrame, max_rounds: int = 50) -> DataFrame:
+def assign_slugs(existing: DataFrame, titles: DataFrame) -> DataFrame:
     """Ids for (seq, title) rows as if they were created one by one in `seq` order.
 
     Items are ranked inside their base and skip ids already stored. Two bases can
     still want one id ("x" twice and a literal "x 2"); the earlier item keeps it,
     the slot is blocked for the other base and the ranking is redone until no id
-    is wanted twice. The number of rounds is the depth of such chains, not the
-    number of rows; the earliest clash of a family is settled in each round.
+    is wanted twice. A loss is final as soon as nothing before it in either base can
+    still move, so all such losses are settled in one round, and rounds follow the
+    depth of chains of clashes only.
     """
     items = stage(titles.select("seq", "title", slug_base(F.col("title"), F.col("seq")).alias("base")), "slug-items")
     bases = items.select("base").distinct()
     blocked = _slots(existing.select("id"), bases)
-    family = F.regexp_replace("base", r"(-\d+)+$", "")
-    for _ in range(max_rounds):
+    while True:
         given = stage(_assign(items, blocked), "slug-round")
-        clashing = given.groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.min("seq").alias("winner")).filter("n > 1")
-        lost = given.join(clashing, "id").filter(F.col("seq") > F.col("winner")).withColumn("family", family)
-        first = lost.groupBy("family").agg(F.min_by(F.struct("base", "slot"), "seq").alias("loss"))
-        losses = stage(first.select("loss.base", "loss.slot"), "slug-losses")
+        clashing = given.groupBy("id").agg(
+            F.count(F.lit(1)).alias("n"), F.min(F.struct("seq", F.col("base").alias("winner_base"))).alias("winner")).filter("n > 1")
+        lost = given.join(clashing, "id").filter(F.col("seq") > F.col("winner.seq"))
+        first = lost.groupBy("base").agg(F.min_by(F.struct("slot", "seq", "winner"), "seq").alias("l")).select("base", "l.*")
+        moving = first.select(F.col("base").alias("winner_base"), F.col("seq").alias("moves_from"))
+        settled = first.withColumn("winner_base", F.col("winner.winner_base")).join(moving, "winner_base", "left").filter(
+            F.col("moves_from").isNull() | (F.col("moves_from") > F.col("winner.seq")))
+        losses = stage(settled.select("base", "slot"), "slug-losses")
         if losses.isEmpty():
             return items.join(given.select("seq", "id"), "seq")
         blocked = stage(blocked.unionByName(losses).distinct(), "slug-blocked")
-    raise RuntimeError("ids still clash after the allowed number of rounds")

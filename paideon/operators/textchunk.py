@@ -27,8 +27,6 @@ WARN_SOME_EMPTY = "%d page(s) sur %d sans texte extractible, ignorée(s)."
 # -----------------------------------------------------------------------------
 
 CHUNK_PAGES = 32
-# Characters per part of a section body; only longer documents are ever cut.
-PART_CHARS = 64 * 1024 * 1024
 
 _PAGE = ["doc_id", "chunk", "page_no"]
 
@@ -163,55 +161,37 @@ def assign_sections(classified: DataFrame) -> DataFrame:
     paragraph; a page break does not.
     """
     live = classified.filter(~F.col("boilerplate"))
-    page = Window.partitionBy(*_PAGE).orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
-    gap = F.col("heading") | (F.col("text") == "")
-    sized = live.withColumns({
-        "_gap": gap, "_above": F.coalesce(F.sum(F.length("text") + 2).over(page), F.lit(0)),
-    })
     scanned = ordered_scan(
-        sized, ["doc_id"], ["page_no", "line_no"], F.col("chunk"),
-        sums={"section_no": F.col("heading").cast("int"), "paragraph_no": F.col("_gap").cast("int"),
-              "_chars": F.length("text") + 2},
+        live.withColumn("_gap", F.col("heading") | (F.col("text") == "")), ["doc_id"], ["page_no", "line_no"], F.col("chunk"),
+        sums={"section_no": F.col("heading").cast("int"), "paragraph_no": F.col("_gap").cast("int")},
         lasts={"_title": F.when(F.col("heading"), F.col("text"))},
         prevs={"_gap_above": F.col("_gap")},
     )
-    page_start = F.col("_chars") - F.length("text") - 2 - F.col("_above")
     return scanned.withColumns({
-        "part": F.floor(page_start / PART_CHARS),
         "starts_paragraph": F.coalesce("_gap_above", F.lit(True)),
         "title": F.coalesce("_title", F.lit(FIRST_TITLE)),
-    }).select("doc_id", "page_no", "line_no", "text", "heading", "first_visible", "section_no", "paragraph_no",
-              "starts_paragraph", "title", "part")
+    }).select("doc_id", "page_no", "line_no", "text", "heading", "section_no", "paragraph_no", "starts_paragraph", "title")
 
 
 def paragraphs(sectioned: DataFrame) -> DataFrame:
     """Paragraph texts: lines joined by a space."""
     content = sectioned.filter(~F.col("heading") & (F.col("text") != ""))
     listed = F.array_sort(F.collect_list(F.struct("page_no", "line_no", "text")))
-    return content.groupBy("doc_id", "section_no", "paragraph_no", "part").agg(
+    return content.groupBy("doc_id", "section_no", "paragraph_no").agg(
         F.array_join(F.transform(listed, lambda e: e["text"]), " ").alias("text")
     )
 
 
 def section_bodies(sectioned: DataFrame) -> DataFrame:
-    """Sections with text: lines joined by a space, paragraphs by a blank line.
-
-    One row per section, except that the text of documents beyond PART_CHARS comes
-    in parts cut at page starts; joined in part order they give the whole body.
-    """
-    useful = sectioned.filter(F.col("text") != "")
-    piece = F.when(~F.col("heading"), F.struct("page_no", "line_no", "starts_paragraph", "text"))
-    # A part of a section holds its heading or begins with the first line of a page.
-    named = F.when(F.col("heading") | F.col("first_visible"), F.col("title"))
-    grouped = useful.groupBy("doc_id", "section_no", "part").agg(
-        F.max(named).alias("title"), F.max("heading").alias("_own_heading"),
-        F.array_sort(F.collect_list(piece)).alias("_pieces"),
+    """Sections with text, one row each: lines joined by a space, paragraphs by a blank line."""
+    content = sectioned.filter(~F.col("heading") & (F.col("text") != ""))
+    grouped = content.groupBy("doc_id", "section_no").agg(
+        F.any_value("title").alias("title"),
+        F.array_sort(F.collect_list(F.struct("page_no", "line_no", "starts_paragraph", "text"))).alias("_pieces"),
     )
     spelled = F.array_join(F.transform("_pieces", lambda e: F.concat(
         F.when(e["starts_paragraph"], F.lit("\n\n")).otherwise(F.lit(" ")), e["text"])), "")
-    opening = F.col("_own_heading") | ((F.col("section_no") == 0) & (F.col("part") == 0))
-    body = F.when(opening, F.regexp_replace(spelled, r"^\s+", "")).otherwise(spelled)
-    return grouped.filter(F.size("_pieces") > 0).select("doc_id", "section_no", "part", "title", body.alias("body"))
+    return grouped.select("doc_id", "section_no", "title", F.regexp_replace(spelled, r"^\s+", "").alias("body"))
 
 
 def chunk_pages(lines: DataFrame) -> DataFrame:
@@ -225,7 +205,7 @@ def import_summary(files: DataFrame, pages: DataFrame, bodies: DataFrame) -> Dat
         F.count(F.lit(1)).alias("page_count"), F.count_if(tx.strip(F.col("text")) == "").alias("empty_pages")
     )
     first = bodies.groupBy("doc_id").agg(
-        F.min_by(F.substring("body", 1, SUMMARY_LENGTH), F.struct("section_no", "part")).alias("summary")
+        F.min_by(F.substring("body", 1, SUMMARY_LENGTH), "section_no").alias("summary")
     )
     warning = F.when(F.col("empty_pages") == F.col("page_count"), F.lit(WARN_ALL_EMPTY)).when(
         F.col("empty_pages") > 0, F.format_string(WARN_SOME_EMPTY, "empty_pages", "page_count")

@@ -128,7 +128,7 @@ def sort_paths(sections: DataFrame) -> DataFrame:
 
 def block_totals(sections: DataFrame, blocks: DataFrame) -> DataFrame:
     """Number of blocks in the whole subtree of every section."""
-    own = blocks.filter("part = 0").groupBy("doc_id", "heading_no").agg(F.count(F.lit(1)).alias("own"))
+    own = blocks.groupBy("doc_id", "heading_no").agg(F.count(F.lit(1)).alias("own"))
     up = sections.select("doc_id", "heading_no", "parent_no")
     rising = up.join(own, ["doc_id", "heading_no"], "left").select(
         "doc_id", "heading_no", "parent_no", F.coalesce("own", F.lit(0)).alias("n"))

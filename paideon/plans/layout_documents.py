@@ -434,7 +434,7 @@ def document_preview(t):
   left join xc_heading s on s.doc_id = b.doc_id and s.heading_no = b.heading_no""")
 def corpus_blocks(t):
     files = t.imported_documents.withColumnRenamed("document_id", "doc_id")
-    return st.corpus_blocks(files, _structure(t)).drop("element_no", "part")
+    return st.corpus_blocks(files, _structure(t)).drop("element_no")
 
 
 @query("import_outcome", """

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from paideon.functions.nesting import newest_first, page
+from paideon.functions.nesting import page
 from paideon.operators import audits, catalogue as cat, eligibility as elig, grading, progress as prog
 from paideon.plans.registry import joined, micros, query
 
@@ -232,7 +232,7 @@ def lesson_document(t):
   select p.user_id, p.lesson_id, l.title as lesson_title, l.course_id, p.status, epoch_us(p.updated_at) as updated_us
   from user_lesson_progress p join lessons l on l.lesson_id = p.lesson_id""")
 def user_progress(t):
-    rows = newest_first(prog.user_progress(t.user_lesson_progress, t.lessons), "updated_at", "user_id", "lesson_id")
+    rows = prog.user_progress(t.user_lesson_progress, t.lessons)
     return rows.select("user_id", "lesson_id", "lesson_title", "course_id", "status",
                        micros("updated_at").alias("updated_us"))
 
@@ -241,24 +241,25 @@ def user_progress(t):
   select m.user_id, m.skill_id, s.name as skill_name, s.school_id, cast(m.mastery_level as bigint) as mastery_level
   from user_skills m join skills s on s.skill_id = m.skill_id""")
 def user_skills(t):
-    rows = prog.user_skills(t.user_skills, t.skills).orderBy("skill_name", "user_id")
+    rows = prog.user_skills(t.user_skills, t.skills)
     return rows.select("user_id", "skill_id", "skill_name", "school_id",
                        F.col("mastery_level").cast("long").alias("mastery_level"))
 
 
 @query("quiz_history", """
-  select a.user_id, a.attempt_id, z.title as quiz_title, a.score, a.passed from quiz_attempts a
+  select a.user_id, a.attempt_id, z.title as quiz_title, a.score, a.passed, epoch_us(a.started_at) as started_us
+  from quiz_attempts a
   join quizzes z on z.quiz_id = a.quiz_id""")
 def quiz_history(t):
-    rows = newest_first(prog.quiz_history(t.quiz_attempts, t.quizzes), "started_at", "attempt_id")
-    return rows.select("user_id", "attempt_id", "quiz_title", "score", "passed")
+    rows = prog.quiz_history(t.quiz_attempts, t.quizzes)
+    return rows.select("user_id", "attempt_id", "quiz_title", "score", "passed", micros("started_at").alias("started_us"))
 
 
 @query("lab_history", """
   select r.user_id, r.result_id, l.title as lab_title, r.completed, epoch_us(r.submitted_at) as submitted_us
   from lab_results r join labs l on l.lab_id = r.lab_id""")
 def lab_history(t):
-    rows = newest_first(prog.lab_history(t.lab_results, t.labs), "submitted_at", "result_id")
+    rows = prog.lab_history(t.lab_results, t.labs)
     return rows.select("user_id", "result_id", "lab_title", "completed", micros("submitted_at").alias("submitted_us"))
 
 
@@ -501,7 +502,7 @@ def unknown_question_lists(t):
     from submitted_answers group by 1, 2) l on l.attempt_id = c.attempt_id and l.question_no = q.question_no
   where c.reason is null""")
 def attempt_answers(t):
-    rows = grading.attempt_answers(_graded(t)[0], t.submitted_answers, t.quiz_questions, t.answer_key)
+    rows = grading.attempt_answers(t.submitted_attempts, t.submitted_answers, t.quizzes, t.quiz_questions, t.answer_key)
     return rows.select("attempt_id", "question_no", "selected_option_id", "correct_option_id", "explanation",
                        "is_correct")
 
@@ -567,13 +568,6 @@ _ELIGIBILITY = """
    join ({w}) w on w.quiz_id = b.quiz_id
    join (select course_id, count(*) as quiz_count from ({w}) w group by 1) n on n.course_id = w.course_id
    group by 1, 2, 4) e"""
-_FINALS = """select z.quiz_id, z.course_id, z.title as quiz_title from final_quizzes z
-  join courses c on c.course_id = z.course_id where c.status = 'PUBLISHED'"""
-_MODULE = """select z.quiz_id, c.course_id, z.title as quiz_title from quizzes z
-  left join lessons l on l.lesson_id = z.lesson_id and l.status = 'PUBLISHED'
-  join courses c on c.course_id = coalesce(z.course_id, l.course_id)
-  where c.status = 'PUBLISHED' and z.kind <> 'PRACTICE' and z.status = 'PUBLISHED'"""
-
 
 @query("course_certificate_eligibility", f"""
   select user_id, course_id, tried, quiz_count, all_attempted, average_score,
@@ -584,26 +578,25 @@ def course_certificate_eligibility(t):
 
 @query("issue_certificates", f"""
   select e.user_id, e.course_id, cast(round_even(average_score, 0) as bigint) as average_score
-  from {_ELIGIBILITY.format(w=_FINALS)} left join {_CERTIFICATES} c
+  from {_ELIGIBILITY.format(w=_COURSE_QUIZZES)} left join {_CERTIFICATES} c
     on c.user_id = e.user_id and c.course_id = e.course_id
   where all_attempted and average_score >= 80 and c.user_id is null""")
 def issue_certificates(t):
-    rows = elig.course_certificate_eligibility(t.courses, t.lessons, t.final_quizzes, t.quiz_attempts)
+    rows = elig.course_certificate_eligibility(t.courses, t.lessons, t.quizzes, t.quiz_attempts)
     return elig.issue_certificates(t.sql(f"select * from {_CERTIFICATES} c"), rows)
 
 
 @query("certificate_refusals", f"""
   select e.user_id, e.course_id, case when not all_attempted then
     'Tous les quiz du cours doivent être tentés au moins une fois (reste : ' || (
-      select string_agg(w.quiz_title, ', ' order by w.quiz_title, w.quiz_id) from ({_MODULE}) w
+      select string_agg(w.quiz_title, ', ' order by w.quiz_title, w.quiz_id) from ({_COURSE_QUIZZES}) w
       where w.course_id = e.course_id and not exists (select 1 from quiz_attempts a
         where a.user_id = e.user_id and a.quiz_id = w.quiz_id)) || ').'
     else 'Moyenne actuelle : ' || cast(average_score as varchar) || ' (seuil requis : 80).' end as reason
-  from {_ELIGIBILITY.format(w=_MODULE)} where not (all_attempted and average_score >= 80)""")
+  from {_ELIGIBILITY.format(w=_COURSE_QUIZZES)} where not (all_attempted and average_score >= 80)""")
 def certificate_refusals(t):
-    module = t.quizzes.filter("kind <> 'PRACTICE'")
-    rows = elig.course_certificate_eligibility(t.courses, t.lessons, module, t.quiz_attempts)
-    wanted = cat.course_quizzes(t.courses, t.lessons, module)
+    rows = elig.course_certificate_eligibility(t.courses, t.lessons, t.quizzes, t.quiz_attempts)
+    wanted = cat.course_quizzes(t.courses, t.lessons, t.quizzes)
     return elig.certificate_refusals(rows, wanted, t.quiz_attempts).select("user_id", "course_id", "reason")
 
 

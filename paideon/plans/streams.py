@@ -8,20 +8,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from paideon.operators import eligibility as elig
-from paideon.plans.learning import _CHECKED, _ELIGIBILITY, _FINALS
+from paideon.plans.learning import _CHECKED, _COURSE_QUIZZES, _ELIGIBILITY
 from paideon.plans.registry import micros, query
 from paideon.session import stage_root
 from paideon.streaming import learner_streams as ls
 
-FILES = 4
 
-
-def as_stream(rows: DataFrame, files: int = FILES) -> DataFrame:
-    """Write rows as several files and read them back as a stream, one file at a time."""
+def as_stream(rows: DataFrame, files_per_batch: int | None = None) -> DataFrame:
+    """Write rows as they are partitioned and read them back as a stream, at the caller's rate."""
     spark = rows.sparkSession
     path = f"{stage_root(spark)}/stream-{uuid.uuid4().hex}"
-    rows.repartition(files).write.parquet(path)
-    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    rows.write.parquet(path)
+    stream = spark.readStream.schema(rows.schema)
+    return (stream.option("maxFilesPerTrigger", files_per_batch) if files_per_batch else stream).parquet(path)
 
 
 def run(writer, spark) -> None:
@@ -81,9 +80,9 @@ def stream_progress(t):
 
 @query("stream_certificates", f"""
   select user_id, course_id, cast(round_even(average_score, 0) as bigint) as average_score
-  from {_ELIGIBILITY.format(w=_FINALS)} where all_attempted and average_score >= 80""")
+  from {_ELIGIBILITY.format(w=_COURSE_QUIZZES)} where all_attempted and average_score >= 80""")
 def stream_certificates(t):
-    rows = elig.course_certificate_eligibility(t.courses, t.lessons, t.final_quizzes, t.quiz_attempts)
+    rows = elig.course_certificate_eligibility(t.courses, t.lessons, t.quizzes, t.quiz_attempts)
     # Every eligible pair arrives twice, in different batches.
     twice = rows.unionByName(rows)
     spark = t.spark

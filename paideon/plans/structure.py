@@ -91,7 +91,7 @@ def document_tables(result: Structure) -> tuple[DataFrame, DataFrame]:
         F.transform("lines", lambda l: F.struct(
             l["page_no"].alias("page"), round_tenth(l["y"]).alias("y"), round_tenth(l["x"]).alias("x"))).alias("lines"))
     blocks = block_positions(result.blocks).select(
-        "doc_id", "heading_no", "position", "part", "kind", "text", items.alias("items"), "confidence",
+        "doc_id", "heading_no", "position", "kind", "text", items.alias("items"), "confidence",
         "page_start", "page_end", F.to_json(origin).alias("source"))
     return sections, blocks
 
@@ -121,7 +121,7 @@ def write_document_tree(
 def preview(result: Structure) -> DataFrame:
     """Blocks in reading order with their first characters; nothing is written."""
     paths = sort_paths(result.sections).select("doc_id", "heading_no", "path", "title", "level")
-    return block_positions(result.blocks).filter("part = 0").join(paths, ["doc_id", "heading_no"]).select(
+    return block_positions(result.blocks).join(paths, ["doc_id", "heading_no"]).select(
         "doc_id", "path", "title", "level", "position", "kind", F.substring("text", 1, PREVIEW_CHARS).alias("text"))
 
 
@@ -130,7 +130,7 @@ def corpus_blocks(files: DataFrame, result: Structure) -> DataFrame:
     titles = result.sections.select("doc_id", "heading_no", F.col("title").alias("section_title"))
     return (
         result.blocks.join(titles, ["doc_id", "heading_no"]).join(files.select("doc_id", "source_file"), "doc_id")
-        .select("doc_id", "source_file", "section_title", "element_no", "part", "kind", "text", "page_start", "page_end")
+        .select("doc_id", "source_file", "section_title", "element_no", "kind", "text", "page_start", "page_end")
     )
 
 

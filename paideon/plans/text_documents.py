@@ -145,12 +145,12 @@ def line_sections(t):
   select doc_id, section_no, paragraph_no, string_agg(text, ' ' order by page_no, line_no) as text
   from chk_section where not heading and text <> '' group by 1, 2, 3""")
 def text_paragraphs(t):
-    return tc.paragraphs(tc.assign_sections(_classified(t))).drop("part")
+    return tc.paragraphs(tc.assign_sections(_classified(t)))
 
 
 @query("section_bodies", "select doc_id, section_no, title, body from chk_body")
 def section_bodies(t):
-    return tc.chunk_pages(tc.page_lines(t.document_pages)).drop("part")
+    return tc.chunk_pages(tc.page_lines(t.document_pages))
 
 
 @query("import_summary", """

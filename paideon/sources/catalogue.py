@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paideon.functions.text import PERCENT
+from paideon.functions.text import PERCENT, whole_number
 from paideon.operators.merge import (
     drop_retired, edges_insert_absent, explode_children, insert_once, replace_children, upsert, upsert_glossary,
 )
@@ -160,7 +160,7 @@ def infer_requirement(text: Column) -> Column:
     found = number != ""
     return F.struct(
         F.when(found, "MIN_SCORE").otherwise("EVIDENCE").alias("requirement_type"),
-        F.when(found, number.cast("int")).alias("min_score"),
+        F.when(found, whole_number(number).try_cast("bigint")).alias("min_score"),
     )
 
 

@@ -11,65 +11,30 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
-from paideon.functions.values import round_half_even
 from paideon.operators.catalogue import published
 from paideon.operators.eligibility import issue_certificates
-from paideon.operators.grading import complete_lessons, keyed_questions
+from paideon.operators.grading import complete_lessons, marked, quiz_sheets
 from paideon.operators.progress import MAX_MASTERY
 
-# Quizzes beyond this size do not fit in one row; their attempts are marked
-# BATCH_ONLY and graded by the batch operator.
-SHEET_QUESTIONS = 10_000
 
+def _counting(answers: Column) -> Column:
+    """The last answer of each question in an event's answer list, NULL when there is none."""
+    def last(question: Column) -> Column:
+        own = F.filter(answers, lambda a: a["question_no"] == question)
+        return F.struct(question.alias("question_no"), F.element_at(own, -1)["selected_option_id"].alias("selected_option_id"))
 
-def quiz_sheets(quizzes: DataFrame, quiz_questions: DataFrame, key: DataFrame) -> DataFrame:
-    """One row per published quiz with its questions and their correct options."""
-    sizes = quiz_questions.groupBy("quiz_id").agg(F.count(F.lit(1)).alias("total"))
-    small = sizes.filter(F.col("total") <= SHEET_QUESTIONS).select("quiz_id")
-    questions = (
-        keyed_questions(quiz_questions, key).join(small, "quiz_id", "left_semi").groupBy("quiz_id")
-        .agg(F.collect_list(F.struct("question_no", "correct_option_id")).alias("questions"))
-    )
-    return (
-        published(quizzes).select("quiz_id", "skill_id", "pass_threshold")
-        .join(sizes, "quiz_id", "left").join(questions, "quiz_id", "left")
-        .withColumn("total", F.coalesce("total", F.lit(0)))
-    )
-
-
-def _answer_of(question: Column) -> Column:
-    """Option of the last answer to a question in the event's answer list."""
-    own = F.filter("answers", lambda a: a["question_no"] == question)
-    return F.try_element_at(own, F.lit(-1))["selected_option_id"]
+    asked = F.array_distinct(F.transform(answers, lambda a: a["question_no"]))
+    return F.when(F.size(answers) > 0, F.transform(asked, last))
 
 
 def stream_grade(events: DataFrame, sheets: DataFrame) -> DataFrame:
     """Attempt events (with their answers) graded by a join with the static sheets.
 
-    Stateless: each event is decided on its own, so it works on a stream and on a
-    table alike. Rejected attempts carry a reason and no score.
+    Rejected attempts carry a reason and no score.
     """
-    none = F.array().cast(sheets.schema["questions"].dataType)
-    joined = events.join(sheets, "quiz_id", "left").withColumn("_q", F.coalesce("questions", none))
-    known = F.transform("_q", lambda q: q["question_no"])
-    unknown = F.exists("answers", lambda a: ~F.array_contains(known, a["question_no"]))
-    right = F.size(F.filter("_q", lambda q: _answer_of(q["question_no"]) == q["correct_option_id"]))
-    no_key = F.exists("_q", lambda q: q["correct_option_id"].isNull())
-    reason = (
-        F.when(F.coalesce(F.size("answers"), F.lit(0)) <= 0, "NO_ANSWER")
-        .when(F.col("pass_threshold").isNull(), "QUIZ_NOT_FOUND")
-        .when(F.col("total") > SHEET_QUESTIONS, "BATCH_ONLY")
-        .when(unknown, "UNKNOWN_QUESTION")
-        .when(no_key, "NO_SINGLE_KEY")
-    )
-    score = F.when(F.col("total") > 0, round_half_even(100 * F.col("correct_count") / F.col("total"))).otherwise(
-        F.lit(0).cast("long"))
-    return (
-        joined.withColumns({"reason": reason, "correct_count": right})
-        .withColumn("score", F.when(F.col("reason").isNull(), score))
-        .withColumn("passed", F.col("score") >= F.col("pass_threshold"))
-        .select("attempt_id", "user_id", "quiz_id", "skill_id", "started_at", "score", "passed", "reason")
-    )
+    listed = events.withColumn("given", _counting(F.col("answers"))).drop("answers")
+    return marked(listed, sheets).select(
+        "attempt_id", "user_id", "quiz_id", "skill_id", "started_at", "score", "passed", "reason")
 
 
 def stream_mastery(graded: DataFrame) -> DataFrame:

@@ -35,39 +35,37 @@ def sections(result):
 
 
 def test_nested_levels(sections):
-    assert [(s[1], s[2]) for s in sections["nested_headings"]] == [(1, None), (2, 1), (3, 2), (2, 1), (1, None)]
+    assert [(s[1], s[2]) for s in sections["deep_numbers"]] == [(1, None), (2, 1), (3, 2), (2, 1), (1, None)]
 
 
 def test_titles(sections):
-    assert [s[0] for s in sections["numbered_course"]] == ["1. Intelligence artificielle", "2. Machine Learning"]
-    assert [s[0] for s in sections["repeated_numbered_headings"]] == ["Exercice 1", "Exercice 2", "Exercice 3"]
-    assert sections["no_headings"] == [("Introduction", 1, None, 0)]
-    assert [s[0] for s in sections["lists"]] == ["Langages de programmation"]
+    assert [s[0] for s in sections["two_numbers"]] == ["1. Choisir la terre", "2. Semer les graines"]
+    assert [s[0] for s in sections["same_titles"]] == ["Exercice 1", "Exercice 2", "Exercice 3"]
+    assert sections["only_text"] == [("Introduction", 1, None, 0)]
+    assert [s[0] for s in sections["steps"]] == ["Pain au levain"]
 
 
 def test_boilerplate_is_removed(preview, result):
-    assert not any("Universite" in text for _, text in preview["headers_footers"])
+    assert not any("Atelier" in text for _, text in preview["margins"])
     report = {r.doc_id: r for r in result.report().collect()}
-    assert report["headers_footers"].boilerplate_removed == 9
-    assert report["two_columns"].multi_column_pages == 1
-    assert report["formulas"].formulas == 1 and report["code"].code_blocks == 1
+    assert report["margins"].boilerplate_removed == 9
+    assert report["columns"].multi_column_pages == 1
+    assert report["one_formula"].formulas == 1 and report["program"].code_blocks == 1
 
 
 def test_columns_are_read_one_after_the_other(preview):
-    whole = preview["two_columns"][0][1]
-    assert whole.startswith("La donnee est la matiere premiere de tout systeme d'apprentissage")
+    assert preview["columns"][0][1].startswith("Une colonie d'abeilles vit toute l'année dans la ruche autour")
 
 
 def test_table(result):
-    row = result.tables.filter("doc_id = 'tables'").first()
-    assert row.headers == ["Algorithme", "Usage"]
-    assert row.rows == [["KNN", "Classification"], ["KMeans", "Clustering"]]
+    row = result.tables.filter("doc_id = 'price_table'").first()
+    assert row.headers == ["Produit", "Unité"]
+    assert row.rows == [["Poires Williams", "Cageot de bois"], ["Noix sèches", "Sac de toile"]]
 
 
 def test_hyphens_and_fragments(preview):
-    assert preview["hyphenation"][0][1] == (
-        "L'intelligence artificielle progresse vite. Le porte-parole a confirme cette avancee.")
-    assert preview["multi_fragment_line"][0][1].startswith("Le terme important est defini ici.")
+    assert preview["broken_words"][0][1] == "L'agriculture de montagne reste rare. Le garde-manger reste frais en été."
+    assert preview["pieces_of_a_line"][0][1].startswith("Le mot rouet désigne un outil.")
 
 
 def test_invariants(result):
@@ -78,7 +76,7 @@ def test_invariants(result):
 
 def test_anomalies(result):
     kinds = {(r.doc_id, r.kind) for r in result.anomalies().collect()}
-    assert ("no_headings", "NO_HEADINGS") in kinds and ("two_columns", "MULTI_COLUMN") in kinds
+    assert ("only_text", "NO_HEADINGS") in kinds and ("columns", "MULTI_COLUMN") in kinds
 
 
 def test_write_replaces_only_its_documents(spark, result, tmp_path):
@@ -86,13 +84,13 @@ def test_write_replaces_only_its_documents(spark, result, tmp_path):
     one, two, three = (str(tmp_path / n) for n in ("one", "two", "three"))
     st.write_document_tree(files, result, one, buckets=2)
     st.write_document_tree(files, result, two, previous=one, buckets=2)
-    gone = spark.createDataFrame([("lists", "lists.pdf")], "doc_id string, source_file string")
+    gone = spark.createDataFrame([("steps", "steps.pdf")], "doc_id string, source_file string")
     empty = st.Structure(*[getattr(result, n).filter("doc_id = 'none'") for n in st.Structure.__dataclass_fields__])
     st.write_document_tree(gone, empty, three, previous=two, buckets=2)
     n = result.blocks.count()
     assert [spark.read.parquet(f"{p}/blocks").count() for p in (one, two)] == [n, n]
     left = spark.read.parquet(f"{three}/blocks")
-    assert left.count() == n - result.blocks.filter("doc_id = 'lists'").count()
+    assert left.count() == n - result.blocks.filter("doc_id = 'steps'").count()
     assert spark.read.parquet(f"{three}/documents").count() == len(DOCUMENTS)
 
 
@@ -113,22 +111,27 @@ def test_flat_sections(spark):
     got = {}
     for r in tc.chunk_pages(tc.page_lines(pages)).orderBy("doc_id", "section_no").collect():
         got.setdefault(r.doc_id, []).append(r.title)
-    assert got["numbered_course"] == ["1. Intelligence artificielle", "2. Machine Learning"]
-    assert got["headers_footers"] == ["1. Chapitre 1", "2. Chapitre 2", "3. Chapitre 3"]
-    assert got["repeated_numbered_headings"] == ["Exercice 1", "Exercice 2", "Exercice 3"]
-    assert got["lists"] == ["Langages de programmation"]
+    assert got["two_numbers"] == ["1. Choisir la terre", "2. Semer les graines"]
+    assert got["margins"] == ["1. Saison 1", "2. Saison 2", "3. Saison 3"]
+    assert got["same_titles"] == ["Exercice 1", "Exercice 2", "Exercice 3"]
+    assert got["steps"] == ["Pain au levain"]
 
 
-def test_parts_of_a_long_body_join_to_the_whole(spark, monkeypatch):
-    text = "\n".join(["Titre Un"] + [f"ligne numero {i} du texte." for i in range(8)])
-    rows = [("d", p, text.replace("Titre Un", "suite du texte." if p else "Titre Un") + "\n") for p in range(70)]
+def test_long_documents_do_not_depend_on_the_chunk_size(spark, monkeypatch):
+    rows = [("d", p, ("Titre Un\n" if p == 0 else "") + "\n".join(f"ligne {p} numero {i} du texte." for i in range(8)) + "\n")
+            for p in range(70)]
     pages = spark.createDataFrame(rows, "doc_id string, page_no int, text string")
     whole = tc.chunk_pages(tc.page_lines(pages)).collect()
-    monkeypatch.setattr(tc, "PART_CHARS", 2000)
-    parts = tc.chunk_pages(tc.page_lines(pages)).orderBy("part").collect()
-    assert len(whole) == 1 and len(parts) > 3
-    assert "".join(p.body for p in parts) == whole[0].body
-    assert {p.title for p in parts} == {"Titre Un"}
+    monkeypatch.setattr(tc, "CHUNK_PAGES", 3)
+    assert tc.chunk_pages(tc.page_lines(pages)).collect() == whole and len(whole) == 1
+    assert whole[0].title == "Titre Un" and whole[0].body.count("ligne") == 560
+
+
+def test_digits_of_other_scripts_and_long_numbers(spark):
+    rows = [("d", 0, "Titre\n٣. x\n٤. y\n5. z\n\n9. seul\n")]
+    lines = tc.page_lines(spark.createDataFrame(rows, "doc_id string, page_no int, text string"))
+    got = {r.text: r.in_list for r in tc.classify_lines(lines).collect()}
+    assert got["٣. x"] and got["٤. y"] and got["5. z"] and not got["9. seul"]
 
 
 def test_draw_calls(spark):

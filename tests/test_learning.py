@@ -122,6 +122,9 @@ def test_edges_keep_their_position_and_skip_retired(spark):
 def test_requirement_text(spark):
     rows = spark.createDataFrame([("Quiz ≥ 75 %",), ("Socle commun",)], "t string").select(src.infer_requirement(F.col("t")).alias("r")).collect()
     assert [tuple(r.r) for r in rows] == [("MIN_SCORE", 75), ("EVIDENCE", None)]
+    odd = spark.createDataFrame([("٣ %",), ("99999999999 %",), ("9" * 40 + " %",)], "t string")
+    got = [tuple(r.r) for r in odd.select(src.infer_requirement(F.col("t")).alias("r")).collect()]
+    assert got == [("MIN_SCORE", 3), ("MIN_SCORE", 99999999999), ("MIN_SCORE", None)]
 
 
 def test_catalogue_file(spark, tmp_path):
@@ -157,3 +160,9 @@ def test_slugs_equal_one_by_one_assignment(spark):
     got = assign_slugs(spark.createDataFrame([(s,) for s in stored], "id string"),
                        spark.createDataFrame(titles, "seq bigint, title string"))
     assert {r.seq: r.id for r in got.collect()} == slugs_one_by_one(stored, titles)
+
+
+def test_many_clashes_of_one_family_settle_together(spark):
+    titles = [(i, "page") for i in range(60)] + [(60 + i, f"page {i}") for i in range(2, 60)]
+    got = assign_slugs(spark.createDataFrame([], "id string"), spark.createDataFrame(titles, "seq bigint, title string"))
+    assert {r.seq: r.id for r in got.collect()} == slugs_one_by_one([], titles)
