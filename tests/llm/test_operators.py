@@ -1,0 +1,412 @@
+"""Operators against plain versions on small tables with nulls, empty and long texts, ties, repeats and clashing columns."""
+
+import hashlib
+import itertools
+import re
+import zlib
+
+import numpy as np
+import public_tokenizers
+import pyarrow as pa
+import pytest
+from tokenizers import Tokenizer
+
+from paideon.llm import (bestfit, debruijn, decontaminate, exact_dedup, hyperminhash, langid, licenses, quotes, simple8b, textblocks,
+                         toxicity)
+
+PATH = public_tokenizers.path("word_bpe_49k.json")
+SPACE = re.compile(r"[^\x20\x09-\x0D]+")
+ALNUM = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def lower(text):
+    return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text)
+
+
+def salad(seed, n, vocabulary=400):
+    rng = np.random.default_rng(seed)
+    return " ".join(f"w{i}" for i in rng.integers(0, vocabulary, n))
+
+
+def documents():
+    base, passage = salad(1, 120), salad(2, 40)
+    words = base.split()
+    near = [" ".join(words[:k] + [f"x{k}"] + words[k + 1:]) for k in range(0, 120, 9)]
+    far = [" ".join(words[:k] + [f"y{j}" for j in range(k, k + 12)] + words[k + 12:]) for k in range(0, 100, 20)]
+    texts = [None, "", "  \n\t ", "one", "one two", "One  two", "one two", "É", base, base, *near, *far, base.upper(),
+             salad(3, 60) + " " + passage, passage + " " + salad(4, 60), salad(5, 30) + " " + passage + "\n" + salad(6, 30) + " " + passage,
+             "a " * 60, "a " * 40, salad(7, 20_000), salad(7, 20_000)[:50_000], passage, "x" * 100_000, "\x00 odd \x1c sep", "...", base]
+    rows = [(i, t, "en" if i % 3 else None, "s", len(t or "")) for i, t in enumerate(texts)]
+    return rows + [rows[8]]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.createDataFrame(documents(), SCHEMA).repartition(3)
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def rows_of(df):
+    return sorted((tuple(r) for r in df.collect()), key=repr)
+
+
+# --- 2
+
+
+def test_exact_dedup(docs):
+    got = {}
+    for r in exact_dedup.flags(docs, 2).collect():
+        got.setdefault(r.doc_id, set()).add(tuple(r))
+    same = {}
+    for i, t, *_ in documents():
+        same.setdefault(t or "", []).append(i)
+    for text, ids in same.items():
+        for i in ids:
+            digest = hashlib.sha256(text.encode()).hexdigest()
+            assert got[i] == {(i, max(ids), len(ids), i == max(ids), digest)}
+
+
+def test_misra_gries_keeps_heavy_values():
+    values = [b"h"] * 400 + [b"%d" % i for i in range(500)]
+    np.random.default_rng(1).shuffle(values)
+    batches = [pa.RecordBatch.from_arrays([pa.array(values[i:i + 90], pa.binary())], ["digest"]) for i in range(0, 900, 90)]
+    (out,) = exact_dedup._summary(3)(iter(batches))
+    found = dict(zip(out.column(0).to_pylist(), out.column(1).to_pylist()))
+    assert b"h" in found and found[b"h"] >= 400 - 900 / 4 and len(found) <= 3
+
+
+def test_distinct_documents_keep_columns(spark, docs):
+    clash = docs.selectExpr("*", "1 as digest", "2 as keep_id", "3 as group_size")
+    kept = exact_dedup.distinct_documents(clash, 2)
+    assert kept.columns == clash.columns
+    last = {t or "": i for i, t, *_ in sorted(documents(), key=lambda r: r[0])}
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(last.values())
+
+
+def test_null_ids_and_empty(spark, empty):
+    rows = spark.createDataFrame([(None, "a"), (None, "a"), (None, "b"), (4, "b")], "doc_id long, text string")
+    got = rows_of(exact_dedup.flags(rows).select("doc_id", "keep_id", "kept"))
+    assert got == sorted([(None, None, True)] * 2 + [(None, 4, False), (4, 4, True)], key=repr)
+    assert exact_dedup.distinct_documents(rows).count() == 2
+    assert exact_dedup.flags(empty).count() == exact_dedup.distinct_documents(empty).count() == 0
+
+
+# --- 4
+
+
+def shingles(text, size):
+    words = SPACE.findall(lower(text or ""))
+    if not words:
+        return set()
+    return {tuple(words[i:i + size]) for i in range(len(words) - size + 1)} or {tuple(words)}
+
+
+def plain_groups(rows, size):
+    sets = {}
+    for i, t, *_ in rows:
+        sets.setdefault(i, shingles(t, size))
+    root = {i: i for i in sets}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a, b in itertools.combinations(sets, 2):
+        shared = len(sets[a] & sets[b])
+        if shared and 100 * shared >= 80 * len(sets[a] | sets[b]):
+            x, y = sorted((find(a), find(b)))
+            root[y] = x
+    return {i: (len(sets[i]), find(i)) for i in sets}
+
+
+@pytest.mark.parametrize("size,limit,block", [(2, 16, 1024), (5, 2, 6)])
+def test_near_groups(docs, monkeypatch, size, limit, block):
+    monkeypatch.setattr(hyperminhash, "PAIR_LIMIT", limit)
+    monkeypatch.setattr(hyperminhash, "BLOCK", block)
+    want = plain_groups(documents(), size)
+    for r in hyperminhash.groups(docs, size).collect():
+        assert (r.n_shingles, r.component_id) == want[r.doc_id], r
+        assert r.kept == (r.doc_id == r.component_id)
+
+
+def test_estimate_follows_jaccard():
+    rng = np.random.default_rng(4)
+    for size in (40, 3000):
+        for share in (0.5, 0.8, 0.95):
+            both = rng.integers(0, 1 << 63, int(size * share), dtype=np.uint64)
+            rest = [rng.integers(0, 1 << 63, size - len(both), dtype=np.uint64) for _ in range(2)]
+            sets = [np.unique(np.concatenate([both, r])) for r in rest]
+            table = hyperminhash.registers(np.concatenate(sets), np.array([0, len(sets[0]), len(sets[0]) + len(sets[1])]))
+            true = len(both) / (2 * size - len(both))
+            assert abs(hyperminhash.estimate(table[0], table[1]) - true) < 0.15
+
+
+def test_first_of_groups(docs, empty):
+    kept = hyperminhash.first_of_groups(docs, 5)
+    want = plain_groups(documents(), 5)
+    assert sorted({r.doc_id for r in kept.collect()}) == sorted(i for i, (_, c) in want.items() if i == c)
+    assert kept.columns == docs.columns and hyperminhash.groups(empty).count() == 0
+
+
+# --- 5, 6
+
+
+@pytest.mark.parametrize("top", [1, 100, 49408, 1 << 40, (1 << 64) - 1])
+@pytest.mark.parametrize("n", [0, 1, 1023, 1024, 1025, 9000])
+def test_simple8b_round_trip(top, n):
+    rng = np.random.default_rng(n)
+    ids = rng.integers(0, top, n, dtype=np.uint64, endpoint=True)
+    ids[rng.random(n) < 0.5] %= np.uint64(50)
+    payload = simple8b.segment(ids, np.array([n]))
+    back, lengths = simple8b.read_segment(payload)
+    assert (back == ids).all() and lengths.tolist() == [n]
+    for block in range(-(-n // simple8b.BLOCK_IDS)):
+        part = ids[block * simple8b.BLOCK_IDS:(block + 1) * simple8b.BLOCK_IDS]
+        assert (simple8b.read_block(payload, block) == part).all()
+
+
+def plain_ids(text, end):
+    tokenizer = Tokenizer.from_file(PATH)
+    return np.array([*tokenizer.encode(text or "", add_special_tokens=False).ids, end], np.uint32)
+
+
+def test_token_files(docs, empty, monkeypatch):
+    got = sorted(tuple(r) for r in simple8b.round_trip(docs, PATH).collect())
+    start, want = 0, []
+    for i, t, *_ in sorted(documents(), key=lambda r: r[0]):
+        ids = plain_ids(t, 2)
+        want.append((i, start, len(ids), zlib.crc32(ids.tobytes())))
+        start += len(ids)
+    assert got == want
+    assert simple8b.round_trip(empty, PATH).count() == 0
+
+
+def test_pieces_as_the_library():
+    from paideon.llm.tokens import encoder
+
+    texts = ["J̌ Á ΣΑΣ. İ <|endoftext|>. a<|startoftext|>b", "\x1c a\x1cb c,d. 3.,4. it's. IT'S ...,. x..", "ß É, 12.   a"]
+    assert encoder(PATH).encode(texts) == [plain_ids(t, 0)[:-1].tobytes() for t in texts]
+
+
+def check_packing(rows, want_pieces, capacity):
+    assert sorted((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in rows) == sorted(want_pieces)
+    bins = {}
+    for r in rows:
+        bins.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for parts in bins.values():
+        at = 0
+        for offset, length in sorted(parts):
+            assert offset == at
+            at += length
+        assert at <= capacity
+    return len(bins)
+
+
+def test_packing(docs, empty):
+    pieces = []
+    for i, t, *_ in documents():
+        ids = plain_ids(t, 0)
+        for k, at in enumerate(range(0, len(ids), 2048)):
+            part = ids[at:at + 2048]
+            pieces.append((i, k, at, len(part), zlib.crc32(part.tobytes())))
+    rows = bestfit.pack(docs, PATH, partition_pieces=8).collect()
+    used = check_packing(rows, pieces, 2048)
+    assert used <= bestfit.lower_bound(np.array([p[3] for p in pieces]), 2048) + 1
+    assert bestfit.pack(empty, PATH).count() == 0
+
+
+def test_bounds_never_exceed_packings():
+    rng = np.random.default_rng(8)
+    for _ in range(60):
+        lengths = rng.integers(1, 101, rng.integers(1, 40))
+        bins, offsets = bestfit.best_fit_decreasing(lengths, 100)
+        assert -(-lengths.sum() // 100) <= bestfit.lower_bound(lengths, 100) <= bins.max() + 1
+        assert np.bincount(bins, weights=lengths).max() <= 100
+    assert bestfit.lower_bound(np.array([51] * 7), 100) == 7
+
+
+# --- 8
+
+
+ITEMS = [(0, salad(2, 40)), (1, None), (2, "..."), (3, "one two"), (4, salad(2, 40)), (5, salad(9, 13)), (None, salad(1, 20)), (6, "É")]
+
+
+def plain_report(rows, items):
+    windows = {}
+    for item, text in items:
+        w = ALNUM.findall(lower(text or ""))
+        n = min(len(w), 13)
+        for i in range(len(w) - n + 1 if n else 0):
+            windows.setdefault(tuple(w[i:i + n]), set()).add(item)
+    out = []
+    for i, text, *_ in rows:
+        w = ALNUM.findall(lower(text or ""))
+        hit, found = set(), set()
+        for a in range(len(w)):
+            for n in range(1, 14):
+                if a + n <= len(w) and tuple(w[a:a + n]) in windows:
+                    hit.update(range(a, a + n))
+                    found |= windows[tuple(w[a:a + n])]
+        names = sorted(str(x) for x in found if x is not None)
+        out.append((i, len(w), len(hit), len(names), hashlib.sha256(",".join(names).encode()).hexdigest(), 0 < len(hit) and 20 * len(hit) >= len(w)))
+    return out
+
+
+@pytest.mark.parametrize("most", [200_000, 0])
+def test_decontamination(spark, docs, empty, most):
+    bench = spark.createDataFrame(ITEMS, "item_id long, text string")
+    got = rows_of(decontaminate.report(docs, bench, broadcast_windows=most).drop("text_hash"))
+    assert got == sorted(plain_report(documents(), ITEMS), key=repr)
+    if most:
+        none = spark.createDataFrame([], "item_id long, text string")
+        assert {r.n_hit for r in decontaminate.report(docs, none).collect()} == {0}
+        assert decontaminate.report(empty, bench).count() == 0
+        clean = decontaminate.clean_documents(docs.selectExpr("*", "1 as n_hit", "2 as text_hash"), bench)
+        assert sorted(r.doc_id for r in clean.collect()) == sorted(r[0] for r in got if not r[5])
+
+
+def test_spans_cut(spark, docs):
+    bench = spark.createDataFrame([(0, salad(2, 40))], "item_id long, text string")
+    texts = {r.doc_id: r.text for r in decontaminate.without_spans(docs, bench).collect()}
+    passage = next(i for i, t, *_ in documents() if t == salad(2, 40))
+    assert texts[passage] == "" and texts[8] == salad(1, 120)
+
+
+# --- 10
+
+
+def plain_repeats(rows):
+    first = {}
+    words = [(i, SPACE.findall(t or "")) for i, t, *_ in rows]
+    for i, w in words:
+        for a in range(len(w) - 12):
+            key = tuple(w[a:a + 13])
+            first[key] = min(first.get(key, i), i)
+    out = []
+    for i, w in words:
+        gone = set()
+        for a in range(len(w) - 12):
+            if first[tuple(w[a:a + 13])] < i:
+                gone.update(range(a, a + 13))
+        kept = " ".join(x for k, x in enumerate(w) if k not in gone)
+        out.append((i, len(w), len(gone), hashlib.sha256(kept.encode()).hexdigest()))
+    return sorted(out, key=repr)
+
+
+def test_repeats(docs, empty):
+    assert rows_of(debruijn.without_repeats(docs)) == plain_repeats(documents())
+    assert debruijn.without_repeats(empty).count() == 0
+
+
+def test_several_texts_under_one_id(spark):
+    rows = [(1, salad(2, 40)), (2, salad(2, 40)), (2, salad(11, 50)), (None, salad(2, 40))]
+    got = rows_of(debruijn.without_repeats(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "n_words"))
+    assert got == sorted([(1, 40), (2, 40), (2, 50), (None, 40)], key=repr)
+
+
+def test_words_and_blocks(monkeypatch):
+    monkeypatch.setattr(textblocks, "BLOCK_BYTES", 16)
+    texts = ["alpha beta gamma delta epsilon zeta", "", "x" * 70 + " y", "beta alpha"]
+    column = pa.array(texts)
+    words = textblocks.words_of(column, 0, len(texts))
+    flat = [w for t in texts for w in t.split()]
+    assert words.counts.tolist() == [len(t.split()) for t in texts]
+    by_word = {}
+    for w, h in zip(flat, words.hashes.tolist()):
+        assert by_word.setdefault(w, h) == h
+    assert len(set(by_word.values())) == len(by_word)
+
+
+# --- 3, 7
+
+
+def test_language(spark, empty):
+    vocabulary = {"aa": "the and with from that this which", "bb": "und der die nicht mit sich auch", "cc": "les des pour dans avec qui une"}
+    rng = np.random.default_rng(2)
+    rows = [(i, " ".join(rng.choice(vocabulary[lang].split(), 30)), lang if i % 11 else None)
+            for i, lang in enumerate(rng.choice(list(vocabulary), 300))]
+    truth = {i: next(k for k, v in vocabulary.items() if t.split()[0] in v.split()) for i, t, _ in rows}
+    rows += [(900, None, "aa"), (901, "12 ... 3", "bb"), (902, "", None), (None, "und der die", "bb"), (903, "nicht " * 5000, None)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string").selectExpr("*", "'z' as score", "1 as lang_pred")
+    got = {r.doc_id: r for r in langid.predictions(frame).collect()}
+    assert all(got[i].lang_pred == lang for i, lang in truth.items())
+    assert got[900].lang_pred == got[901].lang_pred == got[902].lang_pred == "und" and got[903].lang_pred == "bb"
+    assert all(0 <= r.score <= 1 and r.held_out == (i is not None and zlib.crc32(str(i).encode()) % 3 == 1) for i, r in got.items())
+    assert langid.predictions(empty).count() == 0
+    assert {r.lang_pred for r in langid.predictions(frame.withColumn("lang", frame.lang.substr(9, 1)).filter("lang is null")).collect()} <= {"und", ""}
+
+
+def test_toxicity(spark, empty):
+    rng = np.random.default_rng(3)
+    clean = [f"{a}{b}" for a in ("lo", "ti", "ra", "men") for b in ("sta", "ren", "dor", "vi", "qua")]
+    rows, labels = [], []
+    for i in range(700):
+        toxic = int(rng.random() < 0.3)
+        words = list(rng.choice(clean, int(rng.integers(5, 120))))
+        if toxic:
+            for _ in range(2):
+                words[int(rng.integers(0, len(words)))] = "blargh" + str(rng.choice(list("aeiou")))
+        rows.append((i, " ".join(words)))
+        labels.append((i, 1, toxic))
+    rows += [(9000, None), (9001, ""), (9002, "lo sta blarghzz men"), (None, "tiren")]
+    labels += [(5, 1, 1 - labels[5][2]), (None, 0, 1), (8000, 0, 1), (7, 0, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as toxic", "2 as score")
+    table = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r for r in toxicity.flags(docs, table).collect()}
+    held = [(got[i].predicted, t) for i, _, t in labels[:700] if got[i].held_out and i != 5]
+    assert len(held) > 80 and np.mean([p == t for p, t in held]) > 0.97
+    assert got[9000].predicted == got[9001].predicted == 0 and got[9002].predicted == 1
+    assert all(0 <= r.score <= 1 for r in got.values())
+    assert toxicity.flags(empty, table.limit(0)).count() == 0
+    model = toxicity.fit(docs, table)
+    left = toxicity.clean_documents(docs, model)
+    assert left.columns == docs.columns and {r.doc_id for r in left.collect()} == {i for i, r in got.items() if not r.predicted}
+
+
+# --- 1, 9
+
+
+def test_quotes(spark):
+    rows = [(1, 0, "user", "Hello there.\nSecond line\n\nAnother point"), (1, 1, "assistant", "> hello   THERE.\n> Second line\n\nMy answer"),
+            (1, 2, "user", ">> Hello there.\n>> second line\n> My answer\nThanks"), (1, 3, "user", "> unknown\nplain"), (1, 3, "user", None),
+            (2, 0, "user", "> Hello there.\n> Second line"), (1, 4, "assistant", "> Another point\r\n> \r\n> Thanks\r\nDone"),
+            (None, 1, "user", "> My answer\nx"), (1, None, None, "> My answer\ny")]
+    got = quotes.reply_threads(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").selectExpr("*", "1 as depth"))
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted([
+        (1, 0, "user", "Hello there.\nSecond line\n\nAnother point", None, 0, 0, 0, 0), (1, 1, "assistant", "My answer", 0, 0, 1, 1, 1),
+        (1, 2, "user", "Thanks", 1, 0, 2, 2, 2), (1, 3, "user", "plain", None, 3, 0, 1, 0), (1, 3, "user", "", None, 3, 0, 0, 0),
+        (2, 0, "user", "", None, 0, 0, 1, 0), (1, 4, "assistant", "Done", 2, 0, 3, 2, 2), (None, 1, "user", "x", None, 1, 0, 1, 0),
+        (1, None, None, "y", None, None, 0, 1, 0)], key=repr)
+    none = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
+    assert quotes.reply_threads(none).count() == 0
+
+
+def test_quotes_in_a_long_thread(spark):
+    rows = [(7, 0, "u", "m0")] + [(7, i, "u", f"> m{i - 1}\nm{i}") for i in range(1, 40)]
+    got = quotes.reply_threads(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    assert {(r.turn, r.depth, r.thread_root) for r in got} == {(i, i, 0) for i in range(40)}
+
+
+def test_licenses(spark, empty):
+    gpl = dict(licenses.TEMPLATES)["gpl-notice"]
+    changed = gpl.replace("either", "surely").replace("Foundation,", "Institute")
+    rows = [(0, None), (1, ""), (2, "mit license"), (3, salad(1, 300) + "\nReleased under the MIT License.\n" + salad(2, 50)),
+            (4, salad(3, 77) + " " + gpl + " " + salad(4, 500)), (5, salad(5, 20) + changed), (6, gpl[:120]),
+            (7, "RELEASED UNDER THE MIT LICENSE " * 500), (8, salad(6, 30_000) + " Licensed under CC BY-NC 4.0."), (3, "x")]
+    got = {}
+    for r in licenses.report(spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as licenses")).collect():
+        got.setdefault(r.doc_id, []).append(r)
+    assert [got[i][0].licenses for i in (0, 1, 2, 6)] == [""] * 4 and len(got[3]) == 2
+    assert {r.licenses for r in got[3]} == {"mit-line", ""}
+    assert "gpl-notice" in got[4][0].licenses and got[4][0].containment == 1.0
+    assert got[7][0].licenses == "mit-line" and got[8][0].licenses == "cc-by-nc-4.0-line"
+    shingle = lambda t: {tuple(w[i:i + 5]) for w in [ALNUM.findall(lower(t))] for i in range(len(w) - 4)}
+    share = len(shingle(gpl) & shingle(changed)) / len(shingle(gpl))
+    assert ("gpl-notice" in got[5][0].licenses) == (share >= 0.8)
+    assert licenses.report(empty).count() == 0
