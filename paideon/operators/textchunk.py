@@ -142,12 +142,15 @@ def is_heading(text: Column, isolated: Column) -> Column:
     return (text != "") & (F.length(text) <= MAX_HEADING) & decided
 
 
-def classify_lines(lines: DataFrame) -> DataFrame:
-    """All page-level decisions: margin, boilerplate, list, isolation, heading."""
-    plain = with_chunk(lines)
+def classify_lines(lines: DataFrame, pages: DataFrame | None = None) -> DataFrame:
+    """All page-level decisions: margin, boilerplate, list, isolation, heading.
+
+    `pages` lists the same pages as the lines do and saves splitting them again to count them.
+    """
     # One shuffle by chunk serves every page window, the join and the scans below.
-    marked = margin_flag(plain.repartition("doc_id", "chunk"))
-    flagged = boilerplate_flag(marked, boilerplate_forms(marked, page_counts(plain)), plain)
+    marked = margin_flag(with_chunk(lines).repartition("doc_id", "chunk"))
+    sheets = with_chunk(lines if pages is None else pages)
+    flagged = boilerplate_flag(marked, boilerplate_forms(marked, page_counts(sheets)), sheets)
     listed = isolation(ordered_list_flag(flagged))
     return listed.withColumn(
         "heading", ~F.col("boilerplate") & ~F.col("in_list") & is_heading(F.col("text"), F.col("isolated"))
@@ -194,9 +197,9 @@ def section_bodies(sectioned: DataFrame) -> DataFrame:
     return grouped.select("doc_id", "section_no", "title", F.regexp_replace(spelled, r"^\s+", "").alias("body"))
 
 
-def chunk_pages(lines: DataFrame) -> DataFrame:
+def chunk_pages(lines: DataFrame, pages: DataFrame | None = None) -> DataFrame:
     """Lines to section bodies, the whole chain."""
-    return section_bodies(assign_sections(classify_lines(lines)))
+    return section_bodies(assign_sections(classify_lines(lines, pages)))
 
 
 def import_summary(files: DataFrame, pages: DataFrame, bodies: DataFrame) -> DataFrame:

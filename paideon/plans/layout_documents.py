@@ -309,13 +309,13 @@ def heading_scores(t):
 
 
 @query("formula_lines", """
-  select doc_id, page_no, line_no from page_lines where length(text) between 1 and 80
+  select doc_id, page_no, line_no from formula_source where length(text) between 1 and 80
     and regexp_matches(text, '[=≈≠≤≥±×÷∑∏∫√∈∉⊂⊃∪∩→←⇒⇔∂∇∞]|[⁰-⁹²³¹]|\\^\\s*\\d')
     and length(regexp_replace(text, '[^\\p{L}]', '', 'g')) / length(text) < 0.5""")
 def formula_lines(t):
     from paideon.operators.classify import formula_confidence
 
-    rows = t.page_lines.withColumn("line_count", F.lit(1))
+    rows = t.formula_source.withColumn("line_count", F.lit(1))
     return rows.filter(formula_confidence(F.col("text")).isNotNull()).select("doc_id", "page_no", "line_no")
 
 
@@ -438,9 +438,13 @@ def corpus_blocks(t):
 
 
 @query("import_outcome", """
-  select doc_id, lang = 'en' as create_course, true as has_tree, true as imported from documents""")
+  select doc_id, lang = 'en' as create_course, doc_id % 7 <> 3 as has_tree, lang = 'en' or doc_id % 7 <> 3 as imported
+  from documents""")
 def import_outcome(t):
+    # Every seventh document has a fragment without position.
+    lost = (F.col("doc_id") % 7 == 3) & (F.col("seq") == 0)
+    fragments = t.fragments.withColumn("x", F.when(~lost, F.col("x")))
     files = t.documents.select("doc_id", (F.col("lang") == "en").alias("create_course"))
-    imported, failed, _ = st.import_documents(files, t.fragments, t.layout_pages)
+    imported, failed = st.route_documents(files, fragments)
     return imported.select("doc_id", "create_course", "has_tree", F.lit(True).alias("imported")).unionByName(
         failed.select("doc_id", "create_course", F.lit(False).alias("has_tree"), F.lit(False).alias("imported")))

@@ -533,30 +533,60 @@ def complete_lessons(t):
 
 
 @query("submit_labs", """
-  select result_id, lab_id, case when l.id is null then 'LAB_NOT_FOUND'
-    when r.score < 0 or r.score > 100 then 'SCORE_OUT_OF_RANGE' end as reason
-  from lab_results r left join (select lab_id as id from labs where status = 'PUBLISHED') l on l.id = r.lab_id""")
+  with c as (select r.*, case when l.id is null then 'LAB_NOT_FOUND'
+      when r.score < 0 or r.score > 100 then 'SCORE_OUT_OF_RANGE' end as reason
+    from lab_results r left join (select lab_id as id from labs where status = 'PUBLISHED') l on l.id = r.lab_id)
+  select result_id, lab_id, completed, 'stored' as outcome from lab_results
+  union all select result_id + 1000000000, lab_id, true, 'stored' from c where reason is null
+  union all select result_id + 1000000000, lab_id, completed, reason from c where reason is not null""")
 def submit_labs(t):
-    return grading.check_labs(t.lab_results, t.labs).select("result_id", "lab_id", "reason")
+    again = t.lab_results.withColumn("result_id", F.col("result_id") + 1_000_000_000)
+    stored, rejects = grading.submit_labs(t.lab_results, again, t.labs)
+    columns = ["result_id", "lab_id", "completed"]
+    return stored.select(*columns, F.lit("stored").alias("outcome")).unionByName(
+        rejects.select(*columns, F.col("reason").alias("outcome")))
 
 
 @query("append_evidence", """
-  select evidence_id, skill_id from evidence_skills union select event_id, (event_id * 3) % 25 from events""")
+  with e as (select evidence_id, skill_id from evidence_skills union all
+      select case when event_id % 2 = 0 then event_id else event_id + 1000000000 end, (event_id * 3) % 25 from events)
+  select distinct 'edge' as part, evidence_id, skill_id, cast(null as bigint) as copies from e
+  union all select 'violation', evidence_id, skill_id, count(*) from e group by 2, 3 having count(*) > 1
+  union all select 'evidence', evidence_id, null, null from portfolio_evidence
+  union all select 'evidence', event_id + 1000000000, null, null from events where event_id % 2 = 1""")
 def append_evidence(t):
-    new = t.sql("select event_id as evidence_id, (event_id * 3) % 25 as skill_id from events")
-    empty = t.portfolio_evidence.filter("false")
-    return grading.append_evidence(t.portfolio_evidence, t.evidence_skills, empty, new)[1]
+    # Even events give further skills to stored evidence, odd ones are new evidence.
+    edges = t.sql("""select case when event_id % 2 = 0 then event_id else event_id + 1000000000 end as evidence_id,
+        (event_id * 3) % 25 as skill_id from events""")
+    new = t.portfolio_evidence.filter("evidence_id % 2 = 1").withColumn("evidence_id", F.col("evidence_id") + 1_000_000_000)
+    evidence, pairs, broken = grading.append_evidence(t.portfolio_evidence, t.evidence_skills, new, edges)
+    none = F.lit(None).cast("long")
+    return (pairs.select(F.lit("edge").alias("part"), "evidence_id", "skill_id", none.alias("copies"))
+            .unionByName(broken.select(F.lit("violation").alias("part"), "evidence_id", "skill_id", "copies"))
+            .unionByName(evidence.select(F.lit("evidence").alias("part"), "evidence_id", none.alias("skill_id"), none.alias("copies"))))
 
 
 @query("upsert_profiles", """
-  select user_id, goal_id from user_goals where user_id not in (select c_custkey from customer where c_acctbal > 5000)
-  union all select c_custkey, c_mktsegment from customer where c_acctbal > 5000""")
+  select 'goal' as part, user_id, goal_id as value from user_goals
+    where user_id not in (select c_custkey from customer where c_acctbal > 5000)
+  union all select 'goal', c_custkey, c_mktsegment from customer where c_acctbal > 5000
+  union all select 'skill', user_id, cast(skill_id as varchar) from user_profile_skills
+    where user_id not in (select c_custkey from customer where c_acctbal > 5000)
+  union all select 'skill', c_custkey, cast(c_nationkey as varchar) from customer where c_acctbal > 5000
+  union all select 'profile', user_id, profile_type_id || '/' || weekly_hours || '/' || onboarding_done from user_profiles
+    where user_id not in (select c_custkey from customer where c_acctbal > 5000)
+  union all select 'profile', c_custkey, c_mktsegment || '/' || c_nationkey || '/true' from customer where c_acctbal > 5000""")
 def upsert_profiles(t):
     saves = t.sql("""select c_custkey as user_id, c_mktsegment as profile_type_id, c_nationkey as weekly_hours,
         c_custkey as seq from customer where c_acctbal > 5000""")
     goals = t.sql("select c_custkey as user_id, c_mktsegment as goal_id from customer where c_acctbal > 5000")
-    return grading.upsert_profiles(t.user_profiles, t.user_goals, t.user_profile_skills, saves, goals,
-                                   t.user_profile_skills.filter("false"), "seq")[1]
+    skills = t.sql("select c_custkey as user_id, cast(c_nationkey as bigint) as skill_id from customer where c_acctbal > 5000")
+    merged, kept_goals, kept_skills = grading.upsert_profiles(
+        t.user_profiles, t.user_goals, t.user_profile_skills, saves, goals, skills, "seq")
+    profile = F.concat_ws("/", "profile_type_id", "weekly_hours", "onboarding_done")
+    return (kept_goals.select(F.lit("goal").alias("part"), "user_id", F.col("goal_id").alias("value"))
+            .unionByName(kept_skills.select(F.lit("skill").alias("part"), "user_id", F.col("skill_id").cast("string").alias("value")))
+            .unionByName(merged.select(F.lit("profile").alias("part"), "user_id", profile.alias("value"))))
 
 
 # --- eligibility -------------------------------------------------------------------
@@ -691,11 +721,15 @@ def message_violations(t):
 @query("ri_violations", """
   select cast(event_id as varchar) as key, 'user_id' as rule from events
   where user_id is not null and user_id not in (select c_custkey from customer)
-  union all select cast(l_orderkey as varchar), 'l_suppkey' from lineitem
-  where l_suppkey not in (select s_suppkey from supplier)""")
+  union all select cast(attempt_id as varchar), 'quiz_id' from submitted_attempts
+  where quiz_id is not null and quiz_id not in (select quiz_id from quizzes where status = 'PUBLISHED')
+  union all select cast(n.attempt_id as varchar), 'question_no' from submitted_answers n
+  where n.question_no is not null and n.question_no not in (select question_no from quiz_questions)""")
 def ri_violations(t):
-    return audits.ri_violations(t.events, t.customer, "user_id", "c_custkey", "event_id").unionByName(
-        audits.ri_violations(t.lineitem, t.supplier, "l_suppkey", "s_suppkey", "l_orderkey"))
+    live = t.quizzes.filter("status = 'PUBLISHED'")
+    return (audits.ri_violations(t.events, t.customer, "user_id", "c_custkey", "event_id")
+            .unionByName(audits.ri_violations(t.submitted_attempts, live, "quiz_id", "quiz_id", "attempt_id"))
+            .unionByName(audits.ri_violations(t.submitted_answers, t.quiz_questions, "question_no", "question_no", "attempt_id")))
 
 
 @query("quiz_violations", """
@@ -736,10 +770,21 @@ def requirement_violations(t):
 
 
 @query("ambiguity_violations", """
-  select cast(l_orderkey as varchar) || '/' || cast(l_linenumber as varchar) as key, 'one answer' as rule,
-    count(*) as copies from lineitem group by l_orderkey, l_linenumber having count(*) > 1""")
+  select cast(attempt_id as varchar) || '/' || cast(question_no as varchar) as key, 'one answer' as rule, count(*) as copies
+    from submitted_answers group by attempt_id, question_no having count(*) > 1
+  union all select cast(skill_id as varchar), 'one practice quiz', count(*) from quizzes
+    where skill_id is not null group by skill_id having count(*) > 1
+  union all select cast(question_id as varchar), 'one right option', count(*) from question_options
+    where is_correct group by question_id having count(*) > 1
+  union all select cast(course_id as varchar), 'one final quiz', count(*) from (select course_id from final_quizzes
+    union all select course_id from final_quizzes where course_id % 6 = 0) f group by course_id having count(*) > 1""")
 def ambiguity_violations(t):
-    return audits.ambiguity_violations(t.lineitem, ["l_orderkey", "l_linenumber"], "one answer")
+    finals = t.final_quizzes.select("course_id")
+    return (audits.ambiguity_violations(t.submitted_answers, ["attempt_id", "question_no"], "one answer")
+            .unionByName(audits.ambiguity_violations(t.quizzes.filter("skill_id is not null"), ["skill_id"], "one practice quiz"))
+            .unionByName(audits.ambiguity_violations(t.question_options.filter("is_correct"), ["question_id"], "one right option"))
+            .unionByName(audits.ambiguity_violations(finals.unionByName(finals.filter("course_id % 6 = 0")), ["course_id"],
+                                                     "one final quiz")))
 
 
 @query("purge_users", """

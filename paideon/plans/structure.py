@@ -143,6 +143,13 @@ def broken_documents(fragments: DataFrame) -> DataFrame:
         "error", F.lit("fragment without usable position or text"))
 
 
+def route_documents(files: DataFrame, fragments: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(imported, failed) of files with doc_id and create_course, before any structuring."""
+    state = files.join(broken_documents(fragments), "doc_id", "left")
+    failed = state.filter("error is not null and not create_course")
+    return state.filter("error is null or create_course").withColumn("has_tree", F.col("error").isNull()), failed
+
+
 def import_documents(
     files: DataFrame, fragments: DataFrame, pages: DataFrame
 ) -> tuple[DataFrame, DataFrame, Structure]:
@@ -151,10 +158,7 @@ def import_documents(
     A broken document with a course keeps its flat sections and gets no tree; a
     reference document has nothing else, so it is reported as failed.
     """
-    broken = broken_documents(fragments)
-    state = files.join(broken, "doc_id", "left")
-    failed = state.filter("error is not null and not create_course")
-    imported = state.filter("error is null or create_course").withColumn("has_tree", F.col("error").isNull())
-    good = broken.select("doc_id")
+    imported, failed = route_documents(files, fragments)
+    good = broken_documents(fragments).select("doc_id")
     result = structure_documents(fragments.join(good, "doc_id", "left_anti"), pages.join(good, "doc_id", "left_anti"))
     return imported, failed, result

@@ -129,17 +129,22 @@ def batch_skills(questions: DataFrame, skill: str = "skill_id") -> DataFrame:
 
 
 def build_practice_quizzes(
-    batch: DataFrame, questions: DataFrame, skills: DataFrame, size: int = PRACTICE_SIZE
+    batch: DataFrame, questions: DataFrame, skills: DataFrame, size: int = PRACTICE_SIZE, stored: DataFrame | None = None
 ) -> tuple[DataFrame, DataFrame]:
     """(quizzes, quiz_questions): per skill of the batch the first questions by id.
 
-    Spark cuts each map task to the first rows per skill before the shuffle.
+    A skill that has a PRACTICE quiz among the stored ones keeps that quiz (the smallest id
+    of several); the others take the id of the skill. Spark cuts each map task to the first rows per skill before the shuffle.
     """
     from pyspark.sql import Window
 
     wanted = skills.join(batch_skills(batch), "skill_id", "left_semi")
+    own = F.col("skill_id")
+    if stored is not None:
+        known = stored.filter("kind = 'PRACTICE'").groupBy("skill_id").agg(F.min("quiz_id").alias("_known"))
+        wanted, own = wanted.join(known, "skill_id", "left"), F.coalesce("_known", "skill_id")
     quizzes = wanted.select(
-        F.col("skill_id").alias("quiz_id"), F.concat(F.lit(PRACTICE_TITLE), "name").alias("title"),
+        own.alias("quiz_id"), F.concat(F.lit(PRACTICE_TITLE), "name").alias("title"),
         F.lit("PRACTICE").alias("kind"), "skill_id", F.lit(PRACTICE_THRESHOLD).alias("pass_threshold"),
         F.lit("PUBLISHED").alias("status"),
     )
@@ -148,9 +153,8 @@ def build_practice_quizzes(
         questions.filter("skill_id is not null").select("skill_id", "question_id").withColumn("rank", rank)
         .filter(F.col("rank") <= size)
     )
-    edges = top.join(wanted, "skill_id", "left_semi").select(
-        F.col("skill_id").alias("quiz_id"), "question_id", (F.col("rank") - 1).alias("position")
-    )
+    edges = top.join(quizzes.select("skill_id", "quiz_id"), "skill_id").select(
+        "quiz_id", "question_id", (F.col("rank") - 1).alias("position"))
     return quizzes, edges
 
 

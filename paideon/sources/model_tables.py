@@ -193,6 +193,17 @@ VIEWS: dict[str, str | tuple[str, str]] = {
              from (select doc_id, page_no, string_split(substring(text, 1, length(text) - 1), chr(10)) as a
                from document_pages) p) l""",
     ),
+    # Lines under numbers: consecutive ones, gaps, and lines without.
+    "numbered_lines": """
+        select doc_id, page_no, line_no, case when text = '' or line_no % 7 = 6 then text
+            when doc_id % 3 = 0 then cast(line_no + 1 as string) || '. ' || text
+            when doc_id % 3 = 1 then cast(line_no * 2 as string) || ') ' || text else text end as text
+        from page_lines""",
+    # Lines with a formula beside lines of the given text.
+    "formula_source": """
+        select doc_id, page_no, line_no, case when line_no % 4 = 1 then 'x' || cast(doc_id as string) || ' = ' ||
+            cast(page_no * 3 as string) || ' + 2²' when line_no % 4 = 2 then text || ' = 4' else text end as text
+        from page_lines""",
     "fragments": """
         select doc_id, page_no, line_no as seq, text, cast(72.0 as double) as x,
           cast(737 - 17 * line_no as double) as y,
