@@ -202,3 +202,73 @@ def slugs(t):
         from part where p_size <> 1""")
     titles = t.sql("select p_partkey as seq, p_name as title from part")
     return assign_slugs(stored, titles).select("seq", "id")
+
+
+# One catalogue over the given tables with every kind of root array.
+_WHOLE = """
+  select to_json(named_struct(
+    'schools', (select collect_list(named_struct('id', cast(r_regionkey as string), 'name', r_name)) from region),
+    'skills', (select collect_list(named_struct('id', cast(n_nationkey as string), 'schoolId', cast(n_regionkey as string),
+       'name', n_name)) from nation),
+    'pathways', (select collect_list(named_struct('id', cast(r_regionkey as string), 'title', r_name,
+       'courses', array('rag', cast(r_regionkey as string), 'ml'))) from region),
+    'courses', (select collect_list(named_struct('id', case when s_suppkey % 10 = 3 then 'rag' else cast(s_suppkey as string) end,
+       'schoolId', cast(s_nationkey % 5 as string), 'title', s_name, 'lessons', array(cast(s_suppkey as string)))) from supplier),
+    'labs', (select collect_list(named_struct('id', cast(n_nationkey as string), 'title', n_name,
+       'skills', array(cast(n_nationkey as string)), 'modes', array('LIBRE', 'LIBRE'))) from nation),
+    'goals', (select collect_list(named_struct('id', cast(r_regionkey as string), 'label', r_name)) from region),
+    'certifications', (select collect_list(named_struct('id', cast(n_nationkey as string), 'title', n_name,
+       'requirements', array('Quiz ' || n_nationkey || ' %', 'Projet'))) from nation),
+    'knowledgeGraph', (select collect_list(named_struct('id', cast(n_nationkey as string), 'title', n_name,
+       'dependsOn', array(cast(n_regionkey as string)), 'usedIn', array(cast(n_nationkey as string), 'gone'),
+       'applications', array(n_name, n_name))) from nation),
+    'lessons', (select collect_list(named_struct('id', cast(p_partkey as string), 'courseId', cast(p_partkey % 5 as string),
+       'title', p_name, 'objectives', array(p_type), 'sections', array(named_struct('title', p_brand, 'body', p_name)))) from part),
+    'questions', (select collect_list(named_struct('id', cast(p_partkey as string), 'skillId', cast(p_partkey % 25 as string),
+       'question', p_name, 'options', array(p_type, p_brand), 'correct', 1)) from part))) as doc"""
+
+
+@query("catalogue_load", """
+  select 'courses' as part, cast(s_suppkey as varchar) as key, s_name || '/PUBLISHED' as value from supplier where s_suppkey % 10 <> 3
+  union all select 'labs', cast(n_nationkey as varchar), n_name || '/ARCHIVED' from nation
+  union all select 'goals', cast(r_regionkey as varchar), r_name from region
+  union all select 'lessons', cast(p_partkey as varchar), p_name || '/0/PUBLISHED' from part
+  union all select 'lesson_objectives', cast(p_partkey as varchar), p_type from part
+  union all select 'lesson_sections', cast(p_partkey as varchar), p_brand || '/' || p_name from part
+  union all select 'pathway_courses', cast(r_regionkey as varchar), cast(r_regionkey as varchar) || '/1' from region
+  union all select 'lab_modes', cast(n_nationkey as varchar), 'LIBRE' from nation
+  union all select 'lab_skills', cast(n_nationkey as varchar), cast(n_nationkey as varchar) from nation
+  union all select 'node_depends_on', cast(n_nationkey as varchar), cast(n_regionkey as varchar) from nation
+  union all select 'node_used_in', cast(n_nationkey as varchar), cast(n_nationkey as varchar) from nation
+    where n_nationkey in (select p_partkey from part)
+  union all select 'node_applications', cast(n_nationkey as varchar), n_name from nation
+  union all select 'node_applications', cast(n_nationkey as varchar), n_name from nation
+  union all select 'certification_requirements', cast(n_nationkey as varchar), 'MIN_SCORE/' || n_nationkey from nation
+  union all select 'certification_requirements', cast(n_nationkey as varchar), 'EVIDENCE' from nation
+  union all select 'question_options', cast(p_partkey as varchar), '0/false' from part
+  union all select 'question_options', cast(p_partkey as varchar), '1/true' from part
+  union all select 'quizzes', cast(n_nationkey as varchar), 'Quiz de pratique — ' || n_name from nation
+    where n_nationkey in (select p_partkey % 25 from part)
+  union all select 'quiz_questions', cast(p_partkey % 25 as varchar), cast(p_partkey as varchar) from (select p_partkey,
+    row_number() over (partition by p_partkey % 25 order by cast(p_partkey as varchar)) as r from part) q where r <= 10""")
+def catalogue_load(t):
+    out = src.load_all({}, src.parse_catalogue(t.sql(_WHOLE), "doc"))
+
+    def rows(name, key, *columns):
+        return out[name].select(F.lit(name).alias("part"), F.col(key).alias("key"),
+                                F.concat_ws("/", *[F.col(c).cast("string") for c in columns]).alias("value"))
+
+    listed = [
+        rows("courses", "id", "title", "status"), rows("labs", "id", "title", "status"), rows("goals", "id", "label"),
+        rows("lessons", "lesson_id", "title", "position", "status"), rows("lesson_objectives", "lesson_id", "label"),
+        rows("lesson_sections", "lesson_id", "title", "body"), rows("pathway_courses", "pathway_id", "course_id", "position"),
+        rows("lab_modes", "lab_id", "mode"), rows("lab_skills", "lab_id", "skill_id"),
+        rows("node_depends_on", "node_id", "depends_on_node_id"), rows("node_used_in", "node_id", "lesson_id"),
+        rows("node_applications", "node_id", "label"),
+        rows("certification_requirements", "certification_id", "requirement_type", "min_score"),
+        rows("question_options", "id", "position", "is_correct"), rows("quizzes", "quiz_id", "title"),
+        rows("quiz_questions", "quiz_id", "question_id")]
+    whole = listed[0]
+    for one in listed[1:]:
+        whole = whole.unionByName(one)
+    return whole

@@ -191,29 +191,100 @@ def knowledge_edges(nodes: DataFrame, lessons: DataFrame, key: str = "id", lesso
     }
 
 
+# Tables that are overwritten by id: columns, and the status every load sets.
+ENTITIES = {
+    "schools": (("name", "short", "color", "description"), None),
+    "skills": (("schoolId", "name", "description"), None),
+    "profiles": (("name", "description"), None),
+    "goals": (("label",), None),
+    "demos": (("title", "description", "component_key"), "PUBLISHED"),
+    "pathways": (("title", "profile", "level", "duration", "color", "description"), "PUBLISHED"),
+    "courses": (("schoolId", "title", "level", "duration", "color", "description"), "PUBLISHED"),
+    "labs": (("schoolId", "title", "level", "duration", "color", "description"), "ARCHIVED"),
+    "questionBanks": (("title", "description"), None),
+    "questions": (("skillId", "domain", "difficulty", "question", "explanation"), "PUBLISHED"),
+    "resources": (("title", "type", "publisher", "year", "level", "description"), "PUBLISHED"),
+    "iso": (("name", "purpose"), None),
+    "jurisdictions": (("name", "focus"), None),
+    "knowledgeGraph": (("title", "stage", "formula", "question"), "PUBLISHED"),
+    "certifications": (("title", "level", "description", "color", "threshold"), "PUBLISHED"),
+}
+# Pairs that are added once: root array, parent key, child array, child key, position column, children left out.
+EDGES = {
+    "pathway_courses": ("pathways", "pathway_id", "courses", "course_id", "position", RETIRED_COURSES),
+    "lab_skills": ("labs", "lab_id", "skills", "skill_id", None, ()),
+    "lab_modes": ("labs", "lab_id", "modes", "mode", None, ()),
+    "resource_tags": ("resources", "resource_id", "tags", "tag", None, ()),
+    "node_depends_on": ("knowledgeGraph", "node_id", "dependsOn", "depends_on_node_id", None, ()),
+    "node_used_in": ("knowledgeGraph", "node_id", "usedIn", "lesson_id", None, ()),
+    "node_demos": ("knowledgeGraph", "node_id", "demos", "demo_id", None, ()),
+    "node_labs": ("knowledgeGraph", "node_id", "labs", "lab_id", None, ()),
+}
+LESSON = ("lesson_id", "courseId", "skillId", "demoId", "title", "level", "duration", "summary", "example", "position", "status")
+
+
 def load_all(stored: dict[str, DataFrame], tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
-    """Merge a catalogue into the stored tables, in the order their keys depend on."""
-    t, out = tables, dict(stored)
-    live_courses = drop_retired(t["courses"], "id", RETIRED_COURSES)
-    out["schools"] = upsert(stored["schools"], t["schools"], "id", ["name", "short", "color", "description"], "seq")
-    out["skills"] = upsert(stored["skills"], t["skills"], "id", ["schoolId", "name", "description"], "seq")
-    out["courses"] = upsert(stored["courses"], live_courses, "id",
-                            ["schoolId", "title", "level", "duration", "color", "description"], "seq")
-    out["pathway_courses"] = edges_insert_absent(
-        stored["pathway_courses"], t["pathways"].withColumnRenamed("id", "pathway_id"),
-        "pathway_id", "courses", "course_id", "position", RETIRED_COURSES)
-    fresh = lessons_to_load(t["lessons"], t["courses"])
-    new_lessons = fresh.join(stored["lessons"].select("lesson_id"), "lesson_id", "left_anti")
-    out["lessons"] = insert_once(stored["lessons"], fresh.select(*stored["lessons"].columns), "lesson_id")
-    out["lesson_objectives"] = stored["lesson_objectives"].unionByName(
-        explode_children(new_lessons, "lesson_id", "objectives", "label"))
-    out["lesson_depths"] = stored["lesson_depths"].unionByName(depth_levels(new_lessons, "lesson_id"))
-    out["question_options"] = replace_children(
-        stored["question_options"], t["questions"], question_options(t["questions"]), "id")
-    out["glossary"] = upsert_glossary(
-        stored["glossary"], t["glossary"].withColumnRenamed("en", "term_en"))
-    out["certification_requirements"] = replace_children(
-        stored["certification_requirements"],
-        t["certifications"].select(F.col("id").alias("certification_id")),
-        requirements_of(t["certifications"]), "certification_id")
+    """Merge a catalogue into the stored tables, in the order their keys depend on.
+
+    A table that is not stored yet starts empty; a second load of the same catalogue changes
+    nothing.
+    """
+    t = tables | {
+        "courses": drop_retired(tables["courses"], "id", RETIRED_COURSES),
+        "questions": tables["questions"].withColumn("difficulty", F.coalesce("difficulty", F.lit(1))),
+        "demos": tables["demos"].withColumn("component_key", F.col("id")),
+    }
+    out = dict(stored)
+
+    def have(name: str, like: DataFrame) -> DataFrame:
+        return stored[name] if name in stored else like.filter(F.lit(False))
+
+    for name, (columns, status) in ENTITIES.items():
+        batch = t[name].withColumn("status", F.lit(status)) if status else t[name]
+        columns = [*columns, "status"] if status else list(columns)
+        out[name] = upsert(have(name, batch.select("id", *columns)), batch, "id", columns, "seq")
+
+    # Lessons and their children are written once and never touched again.
+    listed = lessons_to_load(t["lessons"], tables["courses"]).withColumn("status", F.lit("PUBLISHED"))
+    kept = [*LESSON[1:], "objectives", "sections", "depth"]
+    once = listed.groupBy("lesson_id").agg(F.min_by(F.struct(*kept), "seq").alias("l")).select("lesson_id", "l.*")
+    lessons = have("lessons", once.select(*LESSON))
+    fresh = once.join(lessons.select("lesson_id"), "lesson_id", "left_anti")
+    out["lessons"] = lessons.unionByName(fresh.select(*LESSON), allowMissingColumns=True)
+    children = {
+        "lesson_objectives": explode_children(fresh, "lesson_id", "objectives", "label"),
+        "lesson_sections": fresh.select("lesson_id", F.posexplode("sections").alias("position", "s")).select(
+            "lesson_id", "position", "s.title", "s.body"),
+        "lesson_depths": depth_levels(fresh, "lesson_id"),
+    }
+    for name, rows in children.items():
+        out[name] = have(name, rows).unionByName(rows)
+
+    for name, (root, parent, array, child, position, skip) in EDGES.items():
+        parents = t[root].select(F.col("id").alias(parent), array)
+        if child == "lesson_id":  # uses of lessons that do not exist are left out
+            known = out["lessons"].select("lesson_id")
+            uses = parents.select(parent, F.explode(array).alias("lesson_id")).join(known, "lesson_id", "left_semi")
+            parents = uses.select(parent, F.array("lesson_id").alias(array))
+        like = parents.select(parent, F.lit("").alias(child), *([F.lit(0).alias(position)] if position else []))
+        out[name] = edges_insert_absent(have(name, like), parents, parent, array, child, position, skip)
+
+    def replaced(name: str, root: str, key: str, rows: DataFrame) -> None:
+        out[name] = replace_children(have(name, rows), t[root].select(F.col("id").alias(key)), rows, key)
+
+    replaced("question_options", "questions", "id", question_options(t["questions"]))
+    replaced("certification_requirements", "certifications", "certification_id", requirements_of(t["certifications"]))
+    applications = t["knowledgeGraph"].select(F.col("id").alias("node_id"), F.explode("applications").alias("label"))
+    replaced("node_applications", "knowledgeGraph", "node_id", applications)
+    glossary = t["glossary"].withColumnRenamed("en", "term_en").withColumn("status", F.lit("PUBLISHED"))
+    terms = have("glossary", glossary.select("term", "term_en", "definition", "status"))
+    out["glossary"] = upsert_glossary(terms, glossary).withColumn("status", F.coalesce("status", F.lit("PUBLISHED")))
+
+    questions = out["questions"].select(F.col("id").alias("question_id"), F.col("skillId").alias("skill_id"))
+    batch = t["questions"].select(F.col("skillId").alias("skill_id"))
+    skills = out["skills"].select(F.col("id").alias("skill_id"), "name")
+    quizzes, edges = build_practice_quizzes(batch, questions, skills, stored=stored.get("quizzes"))
+    known = have("quizzes", quizzes)
+    out["quizzes"] = insert_once(known, quizzes.select(*known.columns), "quiz_id")
+    out["quiz_questions"] = replace_children(have("quiz_questions", edges), quizzes, edges, "quiz_id")
     return out

@@ -140,6 +140,24 @@ def test_catalogue_file(spark, tmp_path):
     assert "analytics" not in tables
 
 
+def test_a_second_load_changes_nothing(spark):
+    doc = """{"schools": [{"id": "s", "name": "S"}], "skills": [{"id": "k", "schoolId": "s", "name": "K"}],
+      "courses": [{"id": "c", "schoolId": "s", "title": "T", "lessons": ["l"]}, {"id": "rag", "title": "R"}],
+      "lessons": [{"id": "l", "courseId": "c", "title": "L", "objectives": ["o"]}], "labs": [{"id": "b", "title": "B", "modes": ["m"]}],
+      "questions": [{"id": "q", "skillId": "k", "question": "?", "options": ["x", "y"], "correct": 1}],
+      "glossary": [{"term": "t", "en": "e", "definition": "d"}]}"""
+    tables = src.parse_catalogue(spark.createDataFrame([(doc,)], "d string"), "d")
+    own = spark.createDataFrame([("mine", "Own", "PRACTICE", "k", 70, "PUBLISHED")],
+                                "quiz_id string, title string, kind string, skill_id string, pass_threshold int, status string")
+    one = src.load_all({"quizzes": own}, tables)
+    two = src.load_all(one, tables)
+    for name in ("courses", "labs", "lessons", "lesson_objectives", "lab_modes", "questions", "question_options", "quizzes",
+                 "quiz_questions", "glossary"):
+        assert sorted(map(tuple, one[name].collect())) == sorted(map(tuple, two[name].collect())), name
+    assert [r.quiz_id for r in one["quizzes"].collect()] == ["mine"] and [r.status for r in one["courses"].collect()] == ["PUBLISHED"]
+    assert [tuple(r) for r in one["quiz_questions"].collect()] == [("mine", "q", 0)]
+
+
 def slugs_one_by_one(stored, titles):
     taken, out = set(stored), {}
     for seq, title in titles:
