@@ -10,7 +10,7 @@ slope and bias of the score.
 After training the model is linear below the pooling, so every n-gram is one number: scoring
 is a lookup and three running sums over the bytes of a text.
 
-Defined cases: a null or empty text scores as a text without words; a document without
+Defined cases: a null or empty text scores the share of toxic rows among the labels; a document without
 label is scored like any other; labels that are null, or that contradict each other for one
 id, are not learned from; repeated rows are scored one by one; without labels of both
 classes every score is 0.
@@ -91,7 +91,7 @@ class Grams:
 
 
 def row_scores(data: np.ndarray, offsets: np.ndarray, weights: np.ndarray, bias: float) -> np.ndarray:
-    """Largest segment logit of each row; `weights` has one number per bucket."""
+    """Largest segment logit of each row, NaN without words; `weights` has one number per bucket."""
     grams = Grams(data, offsets)
     total = np.zeros(len(grams.begin))
     for bucket, word in grams.sizes():
@@ -99,7 +99,7 @@ def row_scores(data: np.ndarray, offsets: np.ndarray, weights: np.ndarray, bias:
     word_score = total / np.maximum(grams.gram_counts(), 1)
     segments = len(grams.words_in_segment)
     logit = np.bincount(grams.segment_of_word, word_score, segments) / np.maximum(grams.words_in_segment, 1) + bias
-    out = np.full(len(grams.segments_of_row), bias)
+    out = np.full(len(grams.segments_of_row), np.nan)
     has = grams.segments_of_row > 0
     if has.any():
         begin = np.cumsum(grams.segments_of_row) - grams.segments_of_row
@@ -218,15 +218,28 @@ def train(texts: list[str], labels: np.ndarray, epochs: int = EPOCHS, seed: int
     return (table @ (top[:, 1] - top[:, 0])).astype(np.float64), float(bias[1] - bias[0])
 
 
-def calibrate(logit: np.ndarray, label: np.ndarray) -> tuple[float, float]:
-    """Slope and intercept of a logistic fit by Newton steps, lightly held back."""
+def scored(logit: np.ndarray, model: dict) -> np.ndarray:
+    """Calibrated scores; a text without words gets the share of toxic rows."""
+    return np.where(np.isnan(logit), model["prior"], _sigmoid(model["slope"] * logit + model["intercept"]))
+
+
+def calibrate(logit: np.ndarray, label: np.ndarray, prior: float) -> tuple[float, float]:
+    """Slope and intercept of a logistic fit by Newton steps, lightly held back.
+
+    Rows are weighted so that the toxic ones have the share `prior`.
+    """
+    words = ~np.isnan(logit)
+    logit, label = logit[words], label[words]
+    if len(set(label.tolist())) < 2:
+        return 1.0, 0.0
+    weight = np.where(label == 1, prior / label.mean(), (1 - prior) / (1 - label.mean()))
     centre, scale = float(np.mean(logit)), float(np.std(logit)) or 1.0
     x = np.stack([(logit - centre) / scale, np.ones(len(logit))], 1)
     w = np.array([1.0, 0.0])
     for _ in range(50):
         p = _sigmoid(x @ w)
-        h = (x * (p * (1 - p))[:, None]).T @ x + np.diag([0.05, 1e-6])
-        step = np.linalg.solve(h, x.T @ (p - label) + np.array([0.05 * w[0], 0.0]))
+        h = (x * (weight * p * (1 - p))[:, None]).T @ x + np.diag([0.05, 1e-6])
+        step = np.linalg.solve(h, x.T @ (weight * (p - label)) + np.array([0.05 * w[0], 0.0]))
         w -= np.clip(step, -2, 2)
         if np.abs(step).max() < 1e-8:
             break
@@ -240,6 +253,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, chars: int
                            & F.pmod(crc_of_id(), F.lit(5)).isin(*LEARNED_MODS))
              .groupBy("doc_id").agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("other"))
              .filter("toxic = other").select("doc_id", "toxic"))
+    prior = float(known.agg(F.avg("toxic")).first()[0] or 0.0)
     order = [F.xxhash64("doc_id"), "doc_id"]
     wanted = stage(known.filter("toxic = 1").orderBy(*order).limit(rows)
                    .unionByName(known.filter("toxic = 0").orderBy(*order).limit(2 * rows)), "labelled")
@@ -248,7 +262,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, chars: int
              .orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(3 * rows).select("text", "toxic").collect())
     texts, toxic = [r[0] for r in found], np.array([r[1] for r in found], np.int64)
     if len(set(toxic.tolist())) < 2:
-        return {"weights": np.zeros(BUCKETS, np.float32), "bias": 0.0, "slope": 1.0, "intercept": -30.0}
+        return {"weights": np.zeros(BUCKETS, np.float32), "bias": 0.0, "slope": 1.0, "intercept": -30.0, "prior": 0.0}
     kept = np.arange(len(texts)) % 5 == 0
     if len(set(toxic[kept].tolist())) < 2 or len(set(toxic[~kept].tolist())) < 2:
         kept = np.zeros(len(texts), bool)
@@ -256,8 +270,8 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, chars: int
     judge = np.flatnonzero(kept) if kept.any() else np.arange(len(texts))
     column = pa.array([texts[i] for i in judge], pa.string())
     logit = row_scores(*text_bytes(column, 0, len(judge)), weights, bias)
-    slope, intercept = calibrate(logit, toxic[judge].astype(float))
-    return {"weights": weights.astype(np.float32), "bias": bias, "slope": slope, "intercept": intercept}
+    slope, intercept = calibrate(logit, toxic[judge].astype(float), prior)
+    return {"weights": weights.astype(np.float32), "bias": bias, "slope": slope, "intercept": intercept, "prior": prior}
 
 
 def _score(model: dict):
@@ -267,7 +281,7 @@ def _score(model: dict):
             parts = []
             for a, b in row_groups(batch.column(1), 1 << 20):
                 logit = row_scores(*text_bytes(batch.column(1), a, b), weights, model["bias"])
-                parts.append(_sigmoid(model["slope"] * logit + model["intercept"]))
+                parts.append(scored(logit, model))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(np.concatenate(parts) if parts else np.zeros(0))], ["doc_id", "score"])
 
@@ -297,7 +311,7 @@ def clean_documents(docs: DataFrame, model: dict) -> DataFrame:
             parts = [row_scores(*text_bytes(batch.column(1), a, b), weights, model["bias"])
                      for a, b in row_groups(batch.column(1), 1 << 20)]
             logit = np.concatenate(parts) if parts else np.zeros(0)
-            clean = _sigmoid(model["slope"] * logit + model["intercept"]) < 0.5
+            clean = scored(logit, model) < 0.5
             rows = batch.column(0).filter(pa.array(clean))
             yield pa.RecordBatch.from_arrays([rows], ["row"])
 
