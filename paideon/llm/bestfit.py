@@ -4,7 +4,8 @@ Whole texts become token pieces of at most `capacity`; full pieces are sequences
 their own. The rest is dealt into bounded partitions and packed by best-fit decreasing.
 Dual-feasible functions bound each partition's bin count from below. Partitions whose
 count meets the bound are certified; the others exchange the pieces of their unfilled
-bins, deal them anew and pack again, as long as that saves bins.
+bins, deal them anew and pack again, as long as that saves bins. A certified partition has
+rounded up once, so its emptiest bin takes part too.
 
 Only lengths move: ids are counted and hashed where the text is read.
 
@@ -113,9 +114,10 @@ def _pack(capacity: int):
         bins, offsets = best_fit_decreasing(lengths, capacity)
         used = np.bincount(bins, weights=lengths).astype(np.int64)
         gap = len(used) - lower_bound(lengths, capacity)
+        spare = (bins == used.argmin()) if len(used) else np.zeros(0, bool)
         return pa.table({
             "row_no": table["row_no"], "length": table["length"], "part": table["part"], "bin": pa.array(bins),
-            "offset": pa.array(offsets), "open": pa.array((used[bins] < capacity) & (gap > 0))})
+            "offset": pa.array(offsets), "open": pa.array((used[bins] < capacity) & ((gap > 0) | spare))})
 
     return pack
 
