@@ -1,18 +1,28 @@
 """Registered queries against their SQL on the smallest driver tables."""
 
+import functools
 import os
 
 import pytest
 
 from check_oracle import compare, connect
-from paideon.plans import all_queries
+from paideon.plans import all_queries, layout_documents
+from paideon.session import tune
+from paideon.sources.model_tables import ModelTables
 
 FOLDER = "/root/testdata/sf0.001"
-# The whole structuring chain takes a while per query; these stand for the rest.
-CHAIN = {"overline_merge", "content_blocks", "heading_levels", "section_tree", "section_paths", "section_block_totals",
-         "document_anomalies", "stored_blocks", "document_preview", "import_outcome", "heading_scores", "layout_paragraphs",
-         "margin_report", "stream_mastery", "stream_certificates", "accepted_tables"}
-NAMES = [n for n in all_queries() if os.environ.get("ALL_QUERIES") or n not in CHAIN]
+NAMES = list(all_queries())
+
+
+@pytest.fixture(scope="module", autouse=True)
+def one_chain(spark):
+    """The structuring chain runs once here; its queries read the same stage tables."""
+    kept = {name: functools.cache(getattr(layout_documents, name)) for name in ("_marked", "_structure")}
+    shared = ModelTables(tune(spark), FOLDER)
+    with pytest.MonkeyPatch.context() as patch:
+        for name, function in kept.items():
+            patch.setattr(layout_documents, name, lambda t, f=function: f(shared))
+        yield
 
 
 @pytest.fixture(scope="module")
