@@ -1,4 +1,8 @@
-"""Connected components by large-star and small-star steps over stage tables."""
+"""Connected components by large-star and small-star steps over stage tables.
+
+The smallest neighbours are aggregated map-side and written before they are joined, so both
+sides of the join are plain shuffles and Spark splits the rows of a node with very many edges.
+"""
 
 from __future__ import annotations
 
@@ -17,14 +21,14 @@ def _state(edges: DataFrame) -> tuple:
 def _large_star(edges: DataFrame) -> DataFrame:
     """Larger neighbours of a node move to its smallest neighbour."""
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    least = stage(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
     larger = both.filter("v > u")
     return larger.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """Smaller neighbours of a node, and the node, move to the smallest of them."""
-    least = edges.groupBy("u").agg(F.min("v").alias("m"))
+    least = stage(edges.groupBy("u").agg(F.min("v").alias("m")), "least")
     moved = edges.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 
