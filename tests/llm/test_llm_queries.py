@@ -25,7 +25,7 @@ def test_query(spark, name):
 
 
 def test_stages(spark):
-    from test_operators import ITEMS, plain_groups, plain_report  # noqa: F401
+    from test_llm_operators import ITEMS, plain_groups, plain_report  # noqa: F401
 
     names = [n for n, _ in corpus_pipeline.STAGES]
     assert names == ["toxicity", "exact_dedup", "near_dedup", "decontamination", "packing"]
