@@ -46,3 +46,16 @@ def test_stages(spark):
     assert ids("near_dedup", docs) == {i for i, (_, c) in plain_groups(plain, 5).items() if i == c}
     assert ids("decontamination", docs) == {r[0] for r in plain_report(plain, bench) if not r[5]}
     assert ids("toxicity", docs) <= set(rows)
+
+
+def test_stages_take_odd_and_no_rows(spark):
+    from test_llm_operators import documents
+
+    rows = [(*r, 1) for r in documents()] + [(None, "lost id " * 20, None, None, None, 1), (None, None, None, None, None, 1)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, kept int"
+    odd, none = spark.createDataFrame(rows, schema), spark.createDataFrame([], schema)
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, odd, FOLDER)
+        assert out.count() > 0 and stage(spark, none, FOLDER).count() == 0
+        if name != "packing":
+            assert out.columns == odd.columns
