@@ -12,7 +12,7 @@ import struct
 
 import numpy as np
 
-REMEMBERED = 900_000  # pieces per worker process; only speed and memory depend on it
+REMEMBERED = 250_000  # pieces per worker process, beside those of one call; only speed and memory depend on it
 
 
 # Byte-level vocabularies write each byte as one letter: printable ones as themselves, the rest from U+0100 on.
@@ -60,12 +60,12 @@ class PieceEncoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        memory = self.memory
-        if len(memory) > REMEMBERED:
-            memory.clear()
-            memory[""] = b""
         split = [self.pieces(text) for text in texts]
-        missing = set().union(*split).difference(memory)
+        wanted = set().union(*split)
+        if len(self.memory) > REMEMBERED:  # the pieces of now are the likeliest to come again
+            self.memory = {p: self.memory[p] for p in wanted.intersection(self.memory)}
+        memory = self.memory
+        missing = wanted.difference(memory)
         if missing:
             self._learn(missing)
         get = memory.__getitem__
@@ -83,7 +83,7 @@ class PieceEncoder:
                 alone.add(piece)
         plain, model = [], self.tokenizer.model
         for p in alone.difference(memory):
-            if self.direct and p.isalpha() and p.islower() and p[-1] < "\u0100" and max(p) < "\u0100":
+            if self.direct and p.isalpha() and p.islower() and max(p) < "\u0100":
                 if not p.isascii():
                     p_bytes = p.encode().decode("latin-1").translate(_BYTE_LETTERS)
                     memory[p] = _pack([t.id for t in model.tokenize(p_bytes)])
