@@ -33,6 +33,7 @@ SAMPLE_CHARS = 20_000  # longer texts are not in the sample; they are scored who
 BUCKETS = 1 << 18
 DIMENSIONS = 8
 SEGMENT_WORDS = 8
+LEAST_ROWS = 3  # rows of the sample that an n-gram must be in; a small sample would learn texts by heart
 EPOCHS = 14
 LEARNED_MODS = (1, 2, 3, 4)  # crc32(id) mod 5 of rows that may be learned from
 
@@ -116,34 +117,39 @@ class _Sample:
 
     def __init__(self, texts: list[str]):
         column = pa.array(texts, pa.string())
-        bucket, word, per_word, segment, per_segment, row = [], [], [], [], [], []
-        words = segments = 0
-        for a, b in row_groups(column, 1 << 20):
+        bucket, per_word, segment, per_segment, row = [], [], [], [], []
+        segments, rows_with = 0, np.zeros(BUCKETS, np.int32)
+        for a, b in row_groups(column, 1 << 18):
             grams = Grams(*text_bytes(column, a, b))
             parts = list(grams.sizes())
-            of = np.concatenate([w for _, w in parts]) if parts else np.zeros(0, np.int64)
-            order = np.argsort(of, kind="stable")
-            word.append((of[order] + words).astype(np.int32))
             if parts:
+                word = np.concatenate([w for _, w in parts])
+                order = np.argsort(word, kind="stable")
                 bucket.append(np.concatenate([x for x, _ in parts])[order].astype(np.int32))
-            per_word.append(np.maximum(grams.gram_counts(), 1))
-            segment.append(grams.segment_of_word + segments)
+                row_of_word = np.repeat(np.arange(b - a), grams.words_of_row)
+                pairs = np.unique(row_of_word[word[order]] * BUCKETS + bucket[-1])
+                rows_with += np.bincount(pairs % BUCKETS, minlength=BUCKETS).astype(np.int32)
+            per_word.append(grams.gram_counts().astype(np.int32))
+            segment.append((grams.segment_of_word + segments).astype(np.int32))
             per_segment.append(grams.words_in_segment)
             row.append(np.repeat(np.arange(a, b), grams.segments_of_row))
-            words += len(grams.begin)
             segments += len(grams.words_in_segment)
-        self.words, self.segments = words, segments
-        self.bucket = np.concatenate(bucket)
-        self.word = np.concatenate(word)
+        self.known = rows_with >= LEAST_ROWS
+        self.bucket = np.concatenate(bucket) if bucket else np.zeros(0, np.int32)
         self.per_word = np.concatenate(per_word)
+        self.word_first = np.concatenate([[0], np.cumsum(self.per_word, dtype=np.int64)])
         self.segment_of_word = np.concatenate(segment)
         self.per_segment = np.concatenate(per_segment)
         self.row = np.concatenate(row)
-        self.word_first = np.searchsorted(self.word, np.arange(words + 1, dtype=np.int32))
-        self.segment_first = np.searchsorted(self.segment_of_word, np.arange(segments + 1))
+        self.segments = segments
+        self.segment_first = np.searchsorted(self.segment_of_word, np.arange(segments + 1, dtype=np.int32))
 
     def logits(self, weights: np.ndarray) -> np.ndarray:
-        score = np.bincount(self.word, weights[self.bucket], self.words) / self.per_word
+        score = np.zeros(len(self.per_word))
+        for a in range(0, len(score), 1 << 16):  # a slice of words at a time keeps the driver small
+            size = self.per_word[a:a + (1 << 16)]
+            values = weights[self.bucket[self.word_first[a]:self.word_first[a + len(size)]]]
+            score[a:a + len(size)] = np.bincount(np.repeat(np.arange(len(size)), size), values, len(size)) / np.maximum(size, 1)
         return np.bincount(self.segment_of_word, score, self.segments) / np.maximum(self.per_segment, 1)
 
     def items(self, segments: np.ndarray):
@@ -152,7 +158,7 @@ class _Sample:
         position = np.repeat(np.arange(len(segments)), self.segment_first[segments + 1] - self.segment_first[segments])
         grams = _ranges(self.word_first[words], self.word_first[words + 1])
         of = np.repeat(np.arange(len(words)), self.word_first[words + 1] - self.word_first[words])
-        share = 1 / (self.per_word[words] * self.per_segment[segments][position])
+        share = 1 / (np.maximum(self.per_word[words], 1) * self.per_segment[segments][position])
         return self.bucket[grams], share[of], position[of]
 
 
@@ -169,7 +175,8 @@ def train(texts: list[str], labels: np.ndarray, epochs: int = EPOCHS, seed: int
     """
     rng = np.random.default_rng(seed)
     sample, labels = _Sample(texts), np.asarray(labels)
-    table = rng.normal(0, 0.1, (BUCKETS, DIMENSIONS)).astype(np.float32)
+    # Unknown n-grams stay at zero: they say nothing.
+    table = np.zeros((BUCKETS, DIMENSIONS), np.float32)
     top = rng.normal(0, 0.5, (DIMENSIONS, 2)).astype(np.float32)
     bias = np.zeros(2, np.float32)
     table_sq, top_sq = np.full(BUCKETS, 1e-6, np.float32), np.full((DIMENSIONS, 2), 1e-6, np.float32)
@@ -192,12 +199,15 @@ def train(texts: list[str], labels: np.ndarray, epochs: int = EPOCHS, seed: int
         for at in range(0, len(chosen), 512):
             part = chosen[at:at + 512]
             bucket, share, position = sample.items(part)
+            told = sample.known[bucket]
+            bucket, share, position = bucket[told], share[told], position[told]
             near, inverse = np.unique(bucket, return_inverse=True)
             mean = np.zeros((len(part), DIMENSIONS), np.float32)
             rows = table[bucket] * share[:, None].astype(np.float32)
             first = np.searchsorted(position, np.arange(len(part)))
             filled = np.diff(np.append(first, len(position))) > 0
-            mean[filled] = np.add.reduceat(rows, first[filled])
+            if filled.any():
+                mean[filled] = np.add.reduceat(rows, first[filled])
             z = mean @ top + bias
             p = np.exp(z - z.max(1, keepdims=True))
             p /= p.sum(1, keepdims=True)
