@@ -34,8 +34,11 @@ def crc_of_id() -> Column:
 
 
 def without(docs: DataFrame, gone: DataFrame, by_text: bool = True) -> DataFrame:
-    """Rows of `docs` that no row (gone_id, gone_hash) names; null ids match null ids."""
+    """Rows of `docs` that no row (gone_id, gone_hash) names; null ids match null ids.
+
+    The ids grow with the documents, so they are shuffled at every size.
+    """
     same = F.col("doc_id").eqNullSafe(F.col("gone_id"))
     if by_text:
         same = same & (F.xxhash64(whole_text()) == F.col("gone_hash"))
-    return docs.join(gone, same, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return docs.join(gone.hint("merge"), same, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -102,4 +102,4 @@ def _with_digest(docs: DataFrame) -> DataFrame:
 
 def _without_digests(docs: DataFrame, gone: DataFrame) -> DataFrame:
     same = (F.col("__digest") == F.col("gone_digest")) & F.col("doc_id").eqNullSafe(F.col("gone_id"))
-    return _with_digest(docs).join(gone, same, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return _with_digest(docs).join(gone.hint("merge"), same, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -279,4 +279,4 @@ def groups(docs: DataFrame, size: int = 2, threshold=THRESHOLD) -> DataFrame:
 def first_of_groups(docs: DataFrame, size: int = 5, threshold=THRESHOLD) -> DataFrame:
     """The documents that are the smallest id of their group."""
     gone = stage(groups(docs, size, threshold).filter("not kept").select(F.col("doc_id").alias("gone_id")), "near")
-    return docs.join(gone, F.col("doc_id") == F.col("gone_id"), "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return docs.join(gone.hint("merge"), F.col("doc_id") == F.col("gone_id"), "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
