@@ -59,6 +59,7 @@ def _cut(path: str, capacity: int, end_id: int):
                     [ids.take(pa.array(rows, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()),
                      pa.array(length, pa.int64()), pa.array(crc, pa.int64())],
                     ["doc_id", "piece", "start", "length", "ids_crc32"])
+        encoder(path).rest()
 
     return cut
 

@@ -190,6 +190,7 @@ def _write(path: str, end_id: int, id_type: pa.DataType):
                         yield close()
         if ids:
             yield close()
+        encoder(path).rest()
 
     return write
 

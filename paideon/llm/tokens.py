@@ -7,13 +7,14 @@ and then looked up.
 
 from __future__ import annotations
 
+import itertools
 import os
 import struct
 
 import numpy as np
 
 REMEMBERED = 250_000  # pieces per worker process, beside those of one call; only speed and memory depend on it
-
+RESTING = 50_000  # and while a worker waits for its next task
 
 # Byte-level vocabularies write each byte as one letter: printable ones as themselves, the rest from U+0100 on.
 _printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -42,6 +43,7 @@ class PieceEncoder:
             _pack([t.id for t in self.tokenizer.model.tokenize(w.encode().decode("latin-1").translate(_BYTE_LETTERS))])
             == self._plain(w) for w in probe)
         self.memory: dict[str, bytes] = {"": b""}
+        self.again: set[str] = set()
 
     def _same(self, a: str, b: str) -> bool:
         return self._plain(a) == self._plain(b)
@@ -62,15 +64,24 @@ class PieceEncoder:
         """Little-endian unsigned 32-bit ids of each text."""
         split = [self.pieces(text) for text in texts]
         wanted = set().union(*split)
-        if len(self.memory) > REMEMBERED:  # the pieces of now are the likeliest to come again
-            self.memory = {p: self.memory[p] for p in wanted.intersection(self.memory)}
         memory = self.memory
+        self.again.update(wanted.intersection(memory))
+        if len(memory) > REMEMBERED:  # pieces met in several calls stay, those met once go
+            keep = self.again if len(self.again) <= REMEMBERED // 2 else wanted.intersection(memory)
+            memory = self.memory = {p: memory[p] for p in keep}
+            self.again = set()
         missing = wanted.difference(memory)
         if missing:
             self._learn(missing)
         get = memory.__getitem__
         return [b"".join(map(get, pieces)) for pieces in split]
 
+    def rest(self) -> None:
+        """Between tasks only pieces met in several calls are held: workers stay while other stages run."""
+        if len(self.memory) > RESTING:
+            self.memory = {p: self.memory[p] for p in itertools.islice(self.again.intersection(self.memory), RESTING)}
+            self.again = set()
+
     def _learn(self, missing: set[str]) -> None:
         memory, ends, alone = self.memory, {}, set()
         for piece in missing:
