@@ -5,9 +5,9 @@ edges of a document with the same minimizer (the smallest hash among the m-word
 window) are compacted into a path at once, where the text is read; equal windows have equal
 minimizers, so only minimizers met in several places can hold repeated edges, and all other
 paths drop out after one count. Equal paths are joined to their first source coordinate
-(smallest document and position). A minimizer with several paths branches: the first
-occurrence of each of its paths is opened into single edges, which are joined to the first
-source of the edge. All later occurrences of a path repeat all its edges.
+(smallest document and position). A minimizer with several paths branches: every occurrence
+of its paths inside the source document of the path is opened into single edges, which are
+joined to the first source of the edge. In later documents a path repeats all its edges.
 
 Neighbouring repeated paths with neighbouring sources are compacted into spans. Both ends of
 a span, the copy and the source coordinates, are read again and their digests compared;
@@ -144,11 +144,13 @@ def repeats(docs: DataFrame, size: int = WINDOW_WORDS, piece: int = MINIMIZER_WO
     distinct = stage(_source(paths.groupBy("minimizer", "path").agg(_first(), F.min("windows").alias("windows"))), "distinct-paths")
     later = paths.join(distinct.select("minimizer", "path", "source_doc", "source_at"), ["minimizer", "path"]).filter("doc > source_doc")
     branching = distinct.groupBy("minimizer").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("minimizer")
-    opened = (distinct.join(branching, "minimizer").groupBy(F.col("source_doc").alias("doc_id"))
-              .agg(F.collect_list(F.struct(F.col("source_at").alias("at"), "windows")).alias("spans")))
+    forks = distinct.join(branching, "minimizer").select("minimizer", "path", "source_doc")
+    # Every place in the source document: the places after the first are no later repeats of it.
+    places = paths.join(forks, ["minimizer", "path"]).filter("doc = source_doc").select("doc", "at", "windows").distinct()
+    opened = places.groupBy(F.col("doc").alias("doc_id")).agg(F.collect_list(F.struct("at", "windows")).alias("spans"))
     texts = docs.join(opened, "doc_id").select("doc_id", "text", "spans")
     edges = stage(map_batches(texts, _open(size), [("edge", T.LongType()), ("doc", T.LongType()), ("at", T.IntegerType())]), "edges")
-    first = _source(edges.groupBy("edge").agg(_first(), F.count(F.lit(1)).alias("n"))).filter("n > 1").drop("n")
+    first = _source(edges.groupBy("edge").agg(_first(), F.max("doc").alias("last"))).filter("last > source_doc").drop("last")
     single = edges.join(stage(first, "first-edges"), "edge").filter("doc > source_doc").withColumn("windows", F.lit(1))
     return later.select(*_REPEAT).unionByName(single.select(*_REPEAT))
 

@@ -305,6 +305,16 @@ def test_repeats(docs, empty):
     assert debruijn.without_repeats(empty).count() == 0
 
 
+def test_repeats_of_a_passage_held_twice(spark):
+    passage, before, after = salad(21, 20), salad(22, 15, 9000), salad(23, 15, 9000)
+    held = " ".join([before, passage, after])
+    rows = [(1, " ".join([salad(24, 30, 9000), passage, salad(25, 30, 9000)])), (2, " ".join([held, salad(26, 30, 9000), held])),
+            (3, held), (4, " ".join([held] * 3))]
+    got = rows_of(debruijn.without_repeats(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert got == plain_repeats(rows)
+    assert [r[2] for r in got[:2]] == [0, 40]
+
+
 def test_several_texts_under_one_id(spark):
     rows = [(1, salad(2, 40)), (2, salad(2, 40)), (2, salad(11, 50)), (None, salad(2, 40))]
     got = rows_of(debruijn.without_repeats(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "n_words"))
