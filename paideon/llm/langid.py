@@ -4,7 +4,9 @@ Character n-grams (as bytes, 1 to 4, of the lower-cased text) fall into hashed f
 Document frequencies come from all rows that may be learned from. The regression is fitted
 on a bounded sample of them by follow-the-regularised-leader with L1 and L2 penalties, which
 leaves most weights exactly zero; a softmax temperature is then fitted on sample rows that
-took no part. The score is the calibrated probability of the predicted language.
+took no part. The score is the calibrated probability of the predicted language. Every
+language of a learnable row is a class: the bound is on the rows of each language, and a
+language with few texts up to SAMPLE_CHARS also gives whole longer ones.
 
 Defined cases: a null text and one without any letter is `und` with score 1; null languages
 are not learned from; without any language to learn every text is `und` with score 0;
@@ -14,6 +16,9 @@ columns are not read.
 
 from __future__ import annotations
 
+import math
+from collections import Counter
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -28,8 +33,11 @@ from paideon.session import stage
 FEATURES = 1 << 14
 SIZES = (1, 2, 3, 4)
 SAMPLE_ROWS = 1500  # rows of each language that the weights are fitted on, at most
-SAMPLE_CHARS = 20_000  # longer texts are not in the sample; they are counted and predicted whole
-LANGUAGES = 64  # languages that are told apart, the most frequent ones
+SAMPLE_CHARS = 20_000  # longer texts come into the sample only where a language has too few shorter ones
+LONG_ROWS = 100  # of these, whole texts of each language, at most
+FITTED_ROWS = 96_000  # rows of all languages together: with more than 64 languages each gives fewer
+LEAST_ROWS = 20  # rows of each language, however many languages there are
+SHARES = 1 << 40
 EPOCHS = 2
 L1, L2, ALPHA, BETA = 0.02, 0.1, 0.5, 1.0
 UNDETERMINED = "und"
@@ -126,7 +134,11 @@ def ftrl(examples: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, clas
             g = x[:, None] * p
             z[at] += g - (np.sqrt(n[at] + g * g) - np.sqrt(n[at])) / ALPHA * w
             n[at] += g * g
-    return weights(np.arange(FEATURES + 1))
+    out = np.empty_like(z)
+    for a in range(0, FEATURES + 1, 1024):
+        at = np.arange(a, min(a + 1024, FEATURES + 1))
+        out[at] = weights(at)
+    return out
 
 
 def temperature(scores: np.ndarray, labels: np.ndarray) -> float:
@@ -146,39 +158,89 @@ def temperature(scores: np.ndarray, labels: np.ndarray) -> float:
     return float(np.exp((low + high) / 2))
 
 
+def _bags(batches):
+    """Feature counts of whole texts, packed, so that their length does not reach the driver."""
+    for batch in batches:
+        at, n = [], []
+        for a, b in _groups(batch.column(2)):
+            row, feature, count = feature_counts(batch.column(2), a, b)
+            cuts = np.searchsorted(row, np.arange(b - a + 1))
+            at += [feature[i:j].astype(np.int16).tobytes() for i, j in zip(cuts, cuts[1:])]
+            n += [count[i:j].astype(np.int32).tobytes() for i, j in zip(cuts, cuts[1:])]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(at, pa.binary()), pa.array(n, pa.binary())],
+                                         ["lang", "key", "features", "counts"])
+
+
+def _sample(learned: DataFrame, sizes: dict, wanted: dict) -> DataFrame:
+    """lang, long, key, text, n of the rows with the smallest keys; equal rows are one with their number n."""
+    spark, lang = learned.sparkSession, learned.schema["lang"].dataType
+    kinds = [T.StructField("lang", lang), T.StructField("long", T.BooleanType())]
+    # Thin by hash to about twice the bound, then cut to it: the margin makes it next to impossible to fall short.
+    shares = [(*k, min(SHARES, math.ceil((2 * n + 50) / sizes[k] * SHARES))) for k, n in wanted.items() if n > 0]
+    shares = spark.createDataFrame(shares, T.StructType([*kinds, T.StructField("share", T.LongType())]))
+    thin = learned.join(F.broadcast(shares), ["lang", "long"]).filter(F.pmod(F.xxhash64("key", F.lit(5)), F.lit(SHARES)) < F.col("share"))
+    thin = stage(thin.groupBy("lang", "long", "key").agg(F.min("text").alias("text"), F.count(F.lit(1)).alias("n")), "language-sample")
+    keys = {}
+    for r in thin.select("lang", "long", "key", "n").collect():
+        keys.setdefault((r[0], r[1]), []).append((r[2], r[3]))
+    last = []
+    for kind, listed in keys.items():
+        listed.sort()
+        rows = np.cumsum([n for _, n in listed])
+        last.append((*kind, listed[min(int(np.searchsorted(rows, wanted[kind])), len(listed) - 1)][0]))
+    last = spark.createDataFrame(last, T.StructType([*kinds, T.StructField("last", T.LongType())]))
+    return thin.join(F.broadcast(last), ["lang", "long"]).filter("key <= last").drop("last")
+
+
 def fit(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, sample_chars: int = SAMPLE_CHARS) -> dict:
     """Model from the rows with a language whose crc32(id) mod 3 is not 1."""
     learned = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.pmod(crc_of_id(), F.lit(3)) != 1))
-    counts = learned.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
-    names = sorted(r[0] for r in counts)
+    keyed = learned.select("lang", "text", F.xxhash64("doc_id", "text").alias("key"), (F.length("text") > sample_chars).alias("long"))
+    # Different rows: a row that is repeated counts once where the sample is thinned.
+    sizes = {(r[0], r[1]): max(r[2], 1) for r in keyed.groupBy("lang", "long").agg(F.approx_count_distinct("key")).collect()}
+    names = sorted({lang for lang, _ in sizes})
     if not names:
         return {"names": [], "idf": np.zeros(FEATURES), "weights": np.zeros((FEATURES + 1, 0)), "temperature": 1.0}
     idf = inverse_frequencies(learned)
-    key = F.xxhash64("doc_id", "text")
-    sized = {r[0]: r[1] for r in counts}
-    # Thin by hash to about twice the bound, then cut to it: languages are few.
-    share = F.lit(1.0)
-    for name in names:
-        share = F.when(F.col("lang") == name, F.lit(min(1.0, 2.0 * sample_rows / sized[name]))).otherwise(share)
-    thin = stage(learned.filter(F.col("lang").isin(names) & (F.length("text") <= sample_chars)
-                                & (F.pmod(F.xxhash64(key, F.lit(5)), F.lit(1 << 20)) < share * (1 << 20)))
-                 .select("lang", "text", key.alias("key")), "language-sample")
-    rows = [r for name in names for r in
-            thin.filter(F.col("lang") == name).orderBy("key", "text").limit(sample_rows).select("lang", "text").collect()]
-    labels = np.array([names.index(r[0]) for r in rows], np.int64)
-    column = pa.array([r[1] for r in rows], pa.string())
+    rows = min(sample_rows, max(LEAST_ROWS, FITTED_ROWS // len(names)))
+    wanted = {(lang, long): min(LONG_ROWS, max(rows - sizes.get((lang, False), 0), 0)) if long else rows for lang, long in sizes}
+    sample = _sample(keyed, sizes, wanted)
+    texts = sample.filter("not long").select("lang", "key", "text", "n").collect()
+    texts.sort(key=lambda r: (names.index(r[0]), r[1]))
+    # Equal rows come as one; each is an example until the bound of its language is met.
+    labels, column, met = [], [], Counter()
+    for lang, _, text, n in texts:
+        n = min(n, rows - met[lang])
+        met[lang] += n
+        labels += [names.index(lang)] * n
+        column += [text] * n
+    column = pa.array(column, pa.string())
     examples = []
-    for a, b in _groups(column):
-        row, feature, count = feature_counts(column, a, b)
-        value = tf_idf(row, feature, count, idf, b - a)
-        cuts = np.searchsorted(row, np.arange(b - a + 1))
-        for i in range(b - a):
+
+    def add(row, feature, count, n):
+        value = tf_idf(row, feature, count, idf, n)
+        cuts = np.searchsorted(row, np.arange(n + 1))
+        for i in range(n):
             part = slice(cuts[i], cuts[i + 1])
             examples.append((np.append(feature[part], FEATURES), np.append(value[part], 1.0)))
-    kept = np.arange(len(examples)) % 5 == 0
-    fitted = np.flatnonzero(~kept) if (~kept).any() else np.arange(len(examples))
-    weights = ftrl([examples[i] for i in fitted], labels[fitted], len(names)) if len(fitted) else np.zeros((FEATURES + 1, len(names)))
-    judge = np.flatnonzero(kept)
+
+    for a, b in _groups(column):
+        add(*feature_counts(column, a, b), b - a)
+    if any(long and n for (_, long), n in wanted.items()):
+        bags = map_batches(sample.filter("long").select("lang", "key", "text"), _bags, [
+            ("lang", type_of(docs, "lang")), ("key", T.LongType()), ("features", T.BinaryType()), ("counts", T.BinaryType())])
+        for lang, _, feature, count in sorted(bags.collect(), key=lambda r: (names.index(r[0]), r[1])):
+            feature = np.frombuffer(feature, np.int16).astype(np.int64)
+            labels.append(names.index(lang))
+            add(np.zeros(len(feature), np.int64), feature, np.frombuffer(count, np.int32), 1)
+    labels = np.array(labels, np.int64)
+    # Every fifth row of a language, never its first: a language of few rows is fitted too.
+    met, kept = Counter(), np.zeros(len(labels), bool)
+    for i, label in enumerate(labels.tolist()):
+        met[label] += 1
+        kept[i] = met[label] % 5 == 0
+    fitted, judge = np.flatnonzero(~kept), np.flatnonzero(kept)
+    weights = ftrl([examples[i] for i in fitted], labels[fitted], len(names))
     scores = np.array([examples[i][1] @ weights[examples[i][0]] for i in judge]).reshape(len(judge), len(names))
     return {"names": names, "idf": idf, "weights": weights, "temperature": temperature(scores, labels[judge])}
 

@@ -353,6 +353,37 @@ def test_language(spark, empty):
     assert {r.lang_pred for r in langid.predictions(frame.withColumn("lang", frame.lang.substr(9, 1)).filter("lang is null")).collect()} <= {"und", ""}
 
 
+def test_many_languages(spark):
+    # 70 languages; the last three are rare, only long, and one row.
+    rng = np.random.default_rng(5)
+    vocabulary = [["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 6)) for _ in range(6)] for _ in range(70)]
+    ids = [i for i in range(2000) if zlib.crc32(str(i).encode()) % 3 != 1]
+    rows, expected = [], {}
+    for k, words in enumerate(vocabulary):
+        for _ in range({69: 1, 67: 2}.get(k, 8)):
+            text = " ".join(rng.choice(words, 4000 if k == 68 else 40))
+            rows.append((ids.pop(), text, f"l{k:02}"))
+        rows.append((5000 + k, " ".join(rng.choice(words, 40)), None))
+        if k != 69:  # one row makes a class, but is too little to tell it by
+            expected[5000 + k] = f"l{k:02}"
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(frame)
+    assert model["names"] == sorted({f"l{k:02}" for k in range(70)})
+    assert all(len(t) > langid.SAMPLE_CHARS for _, t, lang in rows if lang == "l68")
+    assert np.abs(model["weights"]).sum(0).min() > 0
+    got = {r.doc_id: r.lang_pred for r in langid.predict(frame, model).collect()}
+    assert {i: got[i] for i in expected} == expected
+
+
+def test_sample_counts_texts_it_can_take(spark):
+    # Ten short texts beside many long ones: all of the ten are learned from, and long ones beside them.
+    rows = [(i, f"kort {i}" if i < 10 else f"lang {i} " * 12, "nl") for i in range(400)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string").selectExpr("*", "xxhash64(doc_id, text) as key", "length(text) > 20 as long")
+    sizes = {("nl", False): 10, ("nl", True): 390}
+    taken = [(r.long, r.n) for r in langid._sample(frame, sizes, {("nl", False): 40, ("nl", True): 30}).collect()]
+    assert taken.count((False, 1)) == 10 and taken.count((True, 1)) == 30
+
+
 def test_toxicity(spark, empty):
     rng = np.random.default_rng(3)
     clean = [f"{a}{b}" for a in ("lo", "ti", "ra", "men") for b in ("sta", "ren", "dor", "vi", "qua")]
