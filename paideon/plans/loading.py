@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from paideon.operators import merge
 from paideon.operators.slugs import assign_slugs
 from paideon.plans.registry import query
+from paideon.session import stage
 from paideon.sources import catalogue as src
 
 # Catalogue documents with one lesson and one question per part, as JSON text.
@@ -204,28 +205,31 @@ def slugs(t):
     return assign_slugs(stored, titles).select("seq", "id")
 
 
-# One catalogue over the given tables with every kind of root array.
+# Catalogue documents with every kind of root array, one per row of the given tables: no
+# array grows with a table, and parsing and loading run over the partitions of the texts.
 _WHOLE = """
   select to_json(named_struct(
-    'schools', (select collect_list(named_struct('id', cast(r_regionkey as string), 'name', r_name)) from region),
-    'skills', (select collect_list(named_struct('id', cast(n_nationkey as string), 'schoolId', cast(n_regionkey as string),
-       'name', n_name)) from nation),
-    'pathways', (select collect_list(named_struct('id', cast(r_regionkey as string), 'title', r_name,
-       'courses', array('rag', cast(r_regionkey as string), 'ml'))) from region),
-    'courses', (select collect_list(named_struct('id', case when s_suppkey % 10 = 3 then 'rag' else cast(s_suppkey as string) end,
-       'schoolId', cast(s_nationkey % 5 as string), 'title', s_name, 'lessons', array(cast(s_suppkey as string)))) from supplier),
-    'labs', (select collect_list(named_struct('id', cast(n_nationkey as string), 'title', n_name,
-       'skills', array(cast(n_nationkey as string)), 'modes', array('LIBRE', 'LIBRE'))) from nation),
-    'goals', (select collect_list(named_struct('id', cast(r_regionkey as string), 'label', r_name)) from region),
-    'certifications', (select collect_list(named_struct('id', cast(n_nationkey as string), 'title', n_name,
-       'requirements', array('Quiz ' || n_nationkey || ' %', 'Projet'))) from nation),
-    'knowledgeGraph', (select collect_list(named_struct('id', cast(n_nationkey as string), 'title', n_name,
+    'schools', array(named_struct('id', cast(r_regionkey as string), 'name', r_name)),
+    'pathways', array(named_struct('id', cast(r_regionkey as string), 'title', r_name,
+       'courses', array('rag', cast(r_regionkey as string), 'ml'))),
+    'goals', array(named_struct('id', cast(r_regionkey as string), 'label', r_name)))) as doc from region
+  union all select to_json(named_struct(
+    'skills', array(named_struct('id', cast(n_nationkey as string), 'schoolId', cast(n_regionkey as string), 'name', n_name)),
+    'labs', array(named_struct('id', cast(n_nationkey as string), 'title', n_name,
+       'skills', array(cast(n_nationkey as string)), 'modes', array('LIBRE', 'LIBRE'))),
+    'certifications', array(named_struct('id', cast(n_nationkey as string), 'title', n_name,
+       'requirements', array('Quiz ' || n_nationkey || ' %', 'Projet'))),
+    'knowledgeGraph', array(named_struct('id', cast(n_nationkey as string), 'title', n_name,
        'dependsOn', array(cast(n_regionkey as string)), 'usedIn', array(cast(n_nationkey as string), 'gone'),
-       'applications', array(n_name, n_name))) from nation),
-    'lessons', (select collect_list(named_struct('id', cast(p_partkey as string), 'courseId', cast(p_partkey % 5 as string),
-       'title', p_name, 'objectives', array(p_type), 'sections', array(named_struct('title', p_brand, 'body', p_name)))) from part),
-    'questions', (select collect_list(named_struct('id', cast(p_partkey as string), 'skillId', cast(p_partkey % 25 as string),
-       'question', p_name, 'options', array(p_type, p_brand), 'correct', 1)) from part))) as doc"""
+       'applications', array(n_name, n_name))))) from nation
+  union all select to_json(named_struct(
+    'courses', array(named_struct('id', case when s_suppkey % 10 = 3 then 'rag' else cast(s_suppkey as string) end,
+       'schoolId', cast(s_nationkey % 5 as string), 'title', s_name, 'lessons', array(cast(s_suppkey as string)))))) from supplier
+  union all select to_json(named_struct(
+    'lessons', array(named_struct('id', cast(p_partkey as string), 'courseId', cast(p_partkey % 5 as string),
+       'title', p_name, 'objectives', array(p_type), 'sections', array(named_struct('title', p_brand, 'body', p_name)))),
+    'questions', array(named_struct('id', cast(p_partkey as string), 'skillId', cast(p_partkey % 25 as string),
+       'question', p_name, 'options', array(p_type, p_brand), 'correct', 1)))) from part"""
 
 
 @query("catalogue_load", """
@@ -252,7 +256,9 @@ _WHOLE = """
   union all select 'quiz_questions', cast(p_partkey % 25 as varchar), cast(p_partkey as varchar) from (select p_partkey,
     row_number() over (partition by p_partkey % 25 order by cast(p_partkey as varchar)) as r from part) q where r <= 10""")
 def catalogue_load(t):
-    out = src.load_all({}, src.parse_catalogue(t.sql(_WHOLE), "doc"))
+    # Parsed once: every part reads its array from the stage table.
+    parsed = t.sql(_WHOLE).select(F.from_json("doc", src.CATALOGUE_SCHEMA).alias("d")).select("d.*")
+    out = src.load_all({}, src.explode_catalogue(stage(parsed, "catalogue")))
 
     def rows(name, key, *columns):
         return out[name].select(F.lit(name).alias("part"), F.col(key).alias("key"),

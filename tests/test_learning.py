@@ -140,6 +140,26 @@ def test_catalogue_file(spark, tmp_path):
     assert "analytics" not in tables
 
 
+def test_catalogue_documents_do_not_grow_with_the_tables(spark):
+    from paideon.plans import loading
+
+    spark = spark.newSession()  # the views stay out of the other tests
+    for name, sql in {
+        "region": "select id as r_regionkey, 'r' as r_name from range(5)",
+        "nation": "select id as n_nationkey, id % 5 as n_regionkey, 'n' as n_name from range(25)",
+        "supplier": "select id as s_suppkey, id % 25 as s_nationkey, 's' as s_name from range(300)",
+        "part": "select id as p_partkey, 'p' as p_name, 't' as p_type, 'b' as p_brand from range(2000)",
+    }.items():
+        spark.sql(sql).createOrReplaceTempView(name)
+    documents = spark.sql(loading._WHOLE)
+    assert documents.count() == 5 + 25 + 300 + 2000 and max(len(r.doc) for r in documents.collect()) < 1000
+    tables = src.parse_catalogue(documents, "doc")
+    sizes = {"regions": 5, "nations": 25, "suppliers": 300, "parts": 2000}
+    held = {"schools": "regions", "pathways": "regions", "goals": "regions", "skills": "nations", "labs": "nations",
+            "certifications": "nations", "knowledgeGraph": "nations", "courses": "suppliers", "lessons": "parts", "questions": "parts"}
+    assert {name: tables[name].count() for name in held} == {name: sizes[of] for name, of in held.items()}
+
+
 def test_a_second_load_changes_nothing(spark):
     doc = """{"schools": [{"id": "s", "name": "S"}], "skills": [{"id": "k", "schoolId": "s", "name": "K"}],
       "courses": [{"id": "c", "schoolId": "s", "title": "T", "lessons": ["l"]}, {"id": "rag", "title": "R"}],
