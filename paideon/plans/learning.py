@@ -305,6 +305,21 @@ def learner_detail(t):
                        joined("quizzes", "attempt_id").alias("quizzes"), joined("labs", "result_id").alias("labs"))
 
 
+@query("learner_histories", """
+  with h as (
+    select p.user_id, 'lesson' as kind, -epoch_us(p.updated_at) as newest, cast(p.lesson_id as varchar) as item_id, l.title
+      from user_lesson_progress p join lessons l on l.lesson_id = p.lesson_id
+    union all select a.user_id, 'quiz', -epoch_us(a.started_at), cast(a.attempt_id as varchar), z.title
+      from quiz_attempts a join quizzes z on z.quiz_id = a.quiz_id
+    union all select r.user_id, 'lab', -epoch_us(r.submitted_at), cast(r.result_id as varchar), l.title
+      from lab_results r join labs l on l.lab_id = r.lab_id)
+  select h.* from h where user_id in (select user_id from users where role = 'LEARNER')""")
+def learner_histories(t):
+    rows = prog.learner_histories(t.users, t.user_lesson_progress, t.quiz_attempts, t.lab_results, t.lessons,
+                                  t.quizzes, t.labs)
+    return rows.select("user_id", "kind", "newest", F.col("item_id").cast("string").alias("item_id"), "title")
+
+
 # --- per-user measures -----------------------------------------------------------
 
 

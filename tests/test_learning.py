@@ -140,6 +140,25 @@ def test_catalogue_file(spark, tmp_path):
     assert "analytics" not in tables
 
 
+def test_learner_histories_stay_rows(spark):
+    from paideon.operators.progress import learner_histories
+
+    users = spark.sql("select id as user_id, if(id = 1, 'LEARNER', 'ADMIN') as role, 'f' as first_name, 'l' as last_name, 'e' as email, "
+                      "now() as created_at from range(1, 3)")
+    progress = spark.sql("select 1 + id % 2 as user_id, id as lesson_id, 'COMPLETED' as status, timestamp_seconds(id) as updated_at from range(200)")
+    lessons = spark.sql("select id as lesson_id, 'T' as title, 1 as course_id from range(200)")
+    attempts = spark.sql("select 1 as user_id, id as attempt_id, 1 as quiz_id, 50 as score, true as passed, timestamp_seconds(id) as started_at "
+                         "from range(300)")
+    quizzes = spark.sql("select 1 as quiz_id, 'Q' as title")
+    results = spark.sql("select 1 as user_id, 1 as result_id, 1 as lab_id, true as completed, cast(null as timestamp) as submitted_at")
+    labs = spark.sql("select 1 as lab_id, 'L' as title")
+    got = learner_histories(users, progress, attempts, results, lessons, quizzes, labs)
+    assert {(r.user_id, r.kind): r["count"] for r in got.groupBy("user_id", "kind").count().collect()} == {
+        (1, "lesson"): 100, (1, "quiz"): 300, (1, "lab"): 1}
+    assert not any(f.dataType.typeName() == "array" for f in got.schema)
+    assert "collect_list" not in got._jdf.queryExecution().toString()
+
+
 def test_catalogue_documents_do_not_grow_with_the_tables(spark):
     from paideon.plans import loading
 
