@@ -33,12 +33,24 @@ def crc_of_id() -> Column:
     return F.crc32(F.col("doc_id").cast("string").cast("binary"))
 
 
-def without(docs: DataFrame, gone: DataFrame, by_text: bool = True) -> DataFrame:
-    """Rows of `docs` that no row (gone_id, gone_hash) names; null ids match null ids.
+def row_key() -> list[Column]:
+    """key_id, key_hash of rows that carry doc_id and text_hash."""
+    return [F.col("doc_id").alias("key_id"), F.col("text_hash").alias("key_hash")]
 
-    The ids grow with the documents, so they are shuffled at every size.
+
+def with_keys(docs: DataFrame, keys: DataFrame, how: str) -> DataFrame:
+    """Rows of `docs` that (left_semi) or that no (left_anti) row (key_id, key_hash) of `keys` names.
+
+    A row is named by its id and the hash of its text; null ids match null ids. The row travels as
+    one struct, so its columns may have any names. The keys grow with the documents, so they
+    are shuffled at every size.
     """
-    same = F.col("doc_id").eqNullSafe(F.col("gone_id"))
-    if by_text:
-        same = same & (F.xxhash64(whole_text()) == F.col("gone_hash"))
-    return docs.join(gone.hint("merge"), same, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
+                       F.col("doc_id").alias("row_id"), F.xxhash64(whole_text()).alias("row_hash"))
+    same = F.col("row_id").eqNullSafe(F.col("key_id")) & (F.col("row_hash") == F.col("key_hash"))
+    return rows.join(keys.hint("merge"), same, how).select("row.*")
+
+
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """Rows of `docs` that no row (key_id, key_hash) names."""
+    return with_keys(docs, gone, "left_anti")

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from paideon.llm.common import whole_text, without
+from paideon.llm.common import row_key, whole_text, without
 from paideon.session import stage
 
 WINDOW_WORDS = 13
@@ -156,8 +156,7 @@ def report(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW_WORDS,
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Documents of which less than a twentieth of the words is benchmark text."""
-    gone = report(docs, benchmark).filter("contaminated").select(
-        F.col("doc_id").alias("gone_id"), F.col("text_hash").alias("gone_hash")).distinct()
+    gone = report(docs, benchmark).filter("contaminated").select(*row_key()).distinct()
     return without(docs, stage(gone, "contaminated"))
 
 

@@ -81,25 +81,25 @@ def flags(docs: DataFrame, counters: int = COUNTERS) -> DataFrame:
 
 
 def distinct_documents(docs: DataFrame, counters: int = COUNTERS) -> DataFrame:
-    """The documents that stay, with all their columns."""
+    """The documents that stay, with all their columns, whatever their names."""
     rows = stage(resolved(docs, counters).filter("group_size > 1"), "copies")
-    gone = rows.filter(~F.col("doc_id").eqNullSafe(F.col("keep_id")))
-    left = _without_digests(docs, gone.select(F.col("doc_id").alias("gone_id"), F.col("digest").alias("gone_digest")).distinct())
-    repeated = stage(rows.groupBy("digest", "doc_id", "keep_id").count()
-                     .filter((F.col("count") > 1) & F.col("doc_id").eqNullSafe(F.col("keep_id")))
-                     .select(F.col("digest").alias("gone_digest"), F.col("doc_id").alias("gone_id")), "repeated")
+    stays = F.col("doc_id").eqNullSafe(F.col("keep_id"))
+    key = [F.col("digest").alias("key_digest"), F.col("doc_id").alias("key_id")]
+    gone = rows.filter(~stays).select(*key).distinct()
+    left = _by_digest(_with_digest(docs), gone, "left_anti")
+    repeated = stage(rows.filter(stays).groupBy("digest", "doc_id").count().filter("count > 1").select(*key), "repeated")
     if repeated.isEmpty():
-        return left
-    once = _without_digests(left, repeated)
-    again = _with_digest(left).join(
-        repeated, (F.col("__digest") == F.col("gone_digest")) & F.col("doc_id").eqNullSafe(F.col("gone_id")), "left_semi")
-    return once.unionByName(again.dropDuplicates(["__digest"]).select(*[F.col(f"`{c}`") for c in docs.columns]))
+        return left.select("row.*")
+    again = _by_digest(left, repeated, "left_semi").dropDuplicates(["row_digest"])
+    return _by_digest(left, repeated, "left_anti").unionByName(again).select("row.*")
 
 
 def _with_digest(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("__digest", F.unhex(F.sha2(whole_text(), 256)))
+    """Each row as one struct, so that its columns may have any names, beside its id and digest."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").alias("row_id"),
+                       F.unhex(F.sha2(whole_text(), 256)).alias("row_digest"))
 
 
-def _without_digests(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    same = (F.col("__digest") == F.col("gone_digest")) & F.col("doc_id").eqNullSafe(F.col("gone_id"))
-    return _with_digest(docs).join(gone.hint("merge"), same, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+def _by_digest(rows: DataFrame, keys: DataFrame, how: str) -> DataFrame:
+    same = (F.col("row_digest") == F.col("key_digest")) & F.col("row_id").eqNullSafe(F.col("key_id"))
+    return rows.join(keys.hint("merge"), same, how)
