@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from paideon.llm import bestfit, debruijn, decontaminate, exact_dedup, hyperminhash, langid, licenses, quotes, simple8b, toxicity
+from paideon.llm import (
+    bestfit, debruijn, decontaminate, exact_dedup, hyperminhash, importance, langid, licenses, quotes, simple8b, toxicity,
+)
 from paideon.session import tune
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -178,3 +180,8 @@ def _license_sql() -> str:
 @query("op9_license_scan", _license_sql())
 def op9_license_scan(spark, folder):
     return licenses.report(table(spark, folder, "documents"))
+
+
+@query("op13_importance")
+def op13_importance(spark, folder):
+    return importance.ranked(table(spark, folder, "documents"), table(spark, folder, "benchmark")).drop("text_hash")
