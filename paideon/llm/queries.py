@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from paideon.llm import (
-    bestfit, debruijn, decontaminate, exact_dedup, hyperminhash, importance, langid, licenses, quotes, simple8b, toxicity,
+    bestfit, debruijn, decontaminate, exact_dedup, hyperminhash, importance, langid, licenses, quality,
+    quotes, simple8b, toxicity,
 )
 from paideon.session import tune
 
@@ -185,3 +186,40 @@ def op9_license_scan(spark, folder):
 @query("op13_importance")
 def op13_importance(spark, folder):
     return importance.ranked(table(spark, folder, "documents"), table(spark, folder, "benchmark")).drop("text_hash")
+
+
+def _quality_sql() -> str:
+    m = quality.BUCKETS
+    return rf"""
+    with d as (select row_number() over () as k, doc_id, coalesce(text, '') as text,
+        list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w from documents),
+    h as materialized (select k, doc_id, list_transform(w, lambda x: ('0x' || md5(x)[1:8])::bigint) as h from d),
+    g as materialized (select k, doc_id, unnest(list_concat(list_transform(h, lambda x: x % {m}),
+        list_transform(range(1, len(h)), lambda i: (h[i] * {quality.PAIR_FACTOR} + h[i + 1]) % {m}))) as bucket from h),
+    good as (select doc_id from labels where doc_id is not null group by 1 having min(quality) = 1 and max(quality) = 1),
+    s as (select bucket, count(*) as s from g group by 1),
+    t as (select bucket, count(*) as t from g where doc_id in (select doc_id from good) group by 1),
+    n as (select (select sum(s) from s) as s_all, (select coalesce(sum(t), 0) from t) as t_all),
+    gain as (select bucket, case when t_all = 0 then 0 else
+        floor(1000 * ln((coalesce(t, 0) + 1) * cast(s_all + {m} as double) / ((s + 1) * cast(t_all + {m} as double)))) end as gain
+      from s left join t using (bucket) cross join n),
+    y as (select k, cast(sum(gain) as bigint) as weight, count(*) as n_grams from g join gain using (bucket) group by 1),
+    p as (select k, len(w) as n, unnest(range(1, len(w) - 6)) as i, w from d where len(w) >= 8),
+    q as (select k, i, md5(array_to_string(w[i:i + 7], ' ')) as e from p),
+    r as (select k, unnest(range(i, i + 8)) as j from (select k, i, count(*) over (partition by k, e) as c from q) x where c > 1),
+    u as (select k, count(distinct j) as n_repeat from r group by 1),
+    l as (select k, count(*) - count(distinct line) as n_dup from (
+        select k, unnest(string_split(text, chr(10))) as line from d) x where regexp_matches(line, '[^\x20\x09-\x0D]') group by 1),
+    a as (select d.k, d.doc_id, len(w) as n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::bigint as word_chars,
+        length(text) - length(translate(text, '{quality.SYMBOLS}', '')) as n_symbols, coalesce(n_dup, 0) as n_dup_lines,
+        coalesce(n_repeat, 0) as n_repeat_words, coalesce(n_grams, 0) as n_grams, coalesce(weight, 0) as weight
+      from d left join u using (k) left join l using (k) left join y using (k)),
+    b as (select *, n_words < {quality.LEAST_WORDS} or 100 * n_repeat_words > {quality.REPEAT_PERCENT} * n_words as base_failed from a)
+    select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_grams, weight, base_failed,
+      not base_failed and weight >= {quality.LEAST_MEAN_GAIN} * n_grams as kept from b"""
+
+
+@query("op12_quality", _quality_sql())
+def op12_quality(spark, folder):
+    docs = table(spark, folder, "documents")
+    return quality.report(docs, quality.trusted_documents(docs, table(spark, folder, "labels"))).drop("text_hash")

@@ -15,7 +15,7 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="driver tables
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_query(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "benchmark", "conversations"):
+    for t in ("documents", "benchmark", "labels", "conversations"):
         con.execute(f"create view {t} as select * from '{FOLDER}/{t}.parquet'")
     df = queries.QUERIES[name](spark, FOLDER)
     columns = sorted(df.columns)
