@@ -40,25 +40,25 @@ def words(text: Column) -> Column:
 
 
 def word_hashes(w: str) -> Column:
-    """32 bits of each word."""
-    return F.transform(w, lambda x: F.conv(F.substring(F.md5(x), 1, 8), 16, 10).cast("long"))
+    """crc32 of each word."""
+    return F.transform(w, lambda x: F.crc32(x.cast("binary")))
 
 
-def pair_hash(h: str, i: Column) -> Column:
-    return F.get(h, i) * PAIR_FACTOR + F.get(h, i + 1)
+def after(h: str) -> Column:
+    """The hash of the next word at the place of each word, null at the last."""
+    return F.slice(h, F.lit(2), F.size(h))
 
 
-def buckets(h: str, count: int) -> Column:
-    """Bucket of every word and every pair of neighbours."""
-    single = F.transform(h, lambda x: (x % count).cast("int"))
-    pairs = F.transform(F.sequence(F.lit(0), F.size(h) - 2), lambda i: (pair_hash(h, i) % count).cast("int"))
-    return F.when(F.size(h) > 1, F.concat(single, pairs)).otherwise(single)
+def pair_hash(a: Column, b: Column) -> Column:
+    return a * PAIR_FACTOR + b
 
 
 def bucket_counts(docs: DataFrame, count: int = BUCKETS) -> DataFrame:
     """bucket, n over all n-grams of whole texts."""
     hashed = docs.select(words(whole_text()).alias("w")).select(word_hashes("w").alias("h"))
-    return hashed.select(F.explode(buckets("h", count)).alias("bucket")).groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
+    gram = F.explode(F.concat("h", F.zip_with("h", after("h"), pair_hash))).alias("gram")
+    return (hashed.select(gram).filter("gram is not null")
+            .groupBy((F.col("gram") % count).cast("int").alias("bucket")).agg(F.count(F.lit(1)).alias("n")))
 
 
 def trusted_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -89,10 +89,6 @@ def gains(docs: DataFrame, trusted: DataFrame, count: int = BUCKETS) -> list[int
     return found
 
 
-def _plus(a: Column, b: Column) -> Column:
-    return a + b
-
-
 def repeated_words(w: str) -> tuple[Column, Column, Column, Column]:
     """Steps to the number of words inside windows that occur twice or more in the text.
 
@@ -109,7 +105,7 @@ def repeated_words(w: str) -> tuple[Column, Column, Column, Column]:
         F.coalesce(F.get("placed", j - 1)["k"] == x["k"], F.lit(False)) | F.coalesce(F.get("placed", j + 1)["k"] == x["k"], F.lit(False))))
     at = F.sort_array(F.transform(twice, lambda x: x["i"]))
     fresh = F.transform("at", lambda i, j: F.least(F.lit(size), F.coalesce(F.get("at", j + 1) - i, F.lit(size))).cast("long"))
-    return keys, sorted_keys, at, F.aggregate(fresh, F.lit(0).cast("long"), _plus)
+    return keys, sorted_keys, at, F.aggregate(fresh, F.lit(0).cast("long"), lambda a, b: a + b)
 
 
 def report(docs: DataFrame, trusted: DataFrame, least_gain: int = LEAST_MEAN_GAIN, count: int = BUCKETS) -> DataFrame:
@@ -129,10 +125,12 @@ def report(docs: DataFrame, trusted: DataFrame, least_gain: int = LEAST_MEAN_GAI
         word_hashes("w").alias("h"), keys.alias("keys"))
     near = hashed.select("*", placed.alias("placed"))
     covered = near.select("*", at.alias("at"))
+    gained = F.zip_with("h", after("h"), lambda a, b: F.get(gain, (a % count).cast("int")) + F.coalesce(
+        F.get(gain, (pair_hash(a, b) % count).cast("int")), F.lit(0)))
     scored = covered.select(
         "doc_id", "text_hash", "n_words", "word_chars", "n_symbols", "n_dup_lines", repeats.alias("n_repeat_words"),
         F.greatest(2 * F.col("n_words") - 1, zero).alias("n_grams"),
-        F.aggregate(buckets("h", count), zero, lambda a, b: a + F.get(gain, b)).alias("weight"))
+        F.aggregate(gained, zero, lambda a, b: a + b).alias("weight"))
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))
     # Written, as a filter of the caller would else be pushed down into every lambda above.
     return stage(scored, "quality").withColumn("base_failed", failed).withColumn(

@@ -188,12 +188,26 @@ def op13_importance(spark, folder):
     return importance.ranked(table(spark, folder, "documents"), table(spark, folder, "benchmark")).drop("text_hash")
 
 
+_CRC_TABLE = """select list_transform(range(256), lambda t: list_reduce(list_prepend(t, range(8)),
+        lambda c, s: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end)) as crc_of"""
+
+
+def _crc32(text: str) -> str:
+    """SQL of the unsigned crc32 of a text, byte by byte, beside one row of _CRC_TABLE."""
+    data = f"list_transform(range(strlen({text})), lambda j: ('0x' || hex({text})[2 * j + 1:2 * j + 2])::bigint)"
+    step = "xor(crc_of[(xor(c, b) & 255) + 1], c >> 8)"
+    return f"xor(list_reduce(list_prepend(4294967295::bigint, {data}), lambda c, b: {step}), 4294967295)"
+
+
 def _quality_sql() -> str:
     m = quality.BUCKETS
     return rf"""
     with d as (select row_number() over () as k, doc_id, coalesce(text, '') as text,
         list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w from documents),
-    h as materialized (select k, doc_id, list_transform(w, lambda x: ('0x' || md5(x)[1:8])::bigint) as h from d),
+    v as (select x, {_crc32('x')} as c from (select distinct unnest(w) as x from d) y, ({_CRC_TABLE}) z),
+    o as (select k, i, c from (select k, unnest(w) as x, unnest(range(1, len(w) + 1)) as i from d) y join v using (x)),
+    h as materialized (select k, doc_id, coalesce(list(c order by i) filter (c is not null), []) as h
+      from d left join o using (k) group by 1, 2),
     g as materialized (select k, doc_id, unnest(list_concat(list_transform(h, lambda x: x % {m}),
         list_transform(range(1, len(h)), lambda i: (h[i] * {quality.PAIR_FACTOR} + h[i + 1]) % {m}))) as bucket from h),
     good as (select doc_id from labels where doc_id is not null group by 1 having min(quality) = 1 and max(quality) = 1),
