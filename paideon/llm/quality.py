@@ -89,40 +89,47 @@ def gains(docs: DataFrame, trusted: DataFrame, count: int = BUCKETS) -> list[int
     return found
 
 
-def repeated_words(w: str) -> tuple[Column, Column, Column, Column]:
+def repeated_words(w: str, h: str) -> tuple[Column, Column, Column]:
     """Steps to the number of words inside windows that occur twice or more in the text.
 
-    Keys of all windows; these with their places, sorted; places of the repeated ones; words that these cover.
+    Windows with their places, sorted, of texts in which two windows agree in their word hashes;
+    places of the windows that occur twice; words that these cover.
     """
     size = WINDOW_WORDS
-    keys = F.when(F.size(w) >= size, F.transform(
-        F.sequence(F.lit(0), F.size(w) - size), lambda i: F.xxhash64(F.slice(w, i + 1, size)))).otherwise(
-        F.array().cast("array<bigint>"))
-    placed = F.sort_array(F.transform("keys", lambda k, i: F.struct(k.alias("k"), i.alias("i"))))
-    sorted_keys = F.when(F.size(F.array_distinct("keys")) < F.size("keys"), placed).otherwise(
+    starts = F.sequence(F.lit(0), F.size(w) - size)
+    screen = F.transform(starts, lambda i: F.xxhash64(*[F.get(h, i + j) for j in range(size)]))
+    placed = F.sort_array(F.transform(starts, lambda i: F.struct(F.xxhash64(F.slice(w, i + 1, size)).alias("k"), i.alias("i"))))
+    found = F.when(F.when(F.size(w) >= size, F.size(F.array_distinct(screen)) < F.size(w) - size + 1), placed).otherwise(
         F.array().cast("array<struct<k:bigint,i:int>>"))
     twice = F.filter("placed", lambda x, j: (
         F.coalesce(F.get("placed", j - 1)["k"] == x["k"], F.lit(False)) | F.coalesce(F.get("placed", j + 1)["k"] == x["k"], F.lit(False))))
     at = F.sort_array(F.transform(twice, lambda x: x["i"]))
     fresh = F.transform("at", lambda i, j: F.least(F.lit(size), F.coalesce(F.get("at", j + 1) - i, F.lit(size))).cast("long"))
-    return keys, sorted_keys, at, F.aggregate(fresh, F.lit(0).cast("long"), lambda a, b: a + b)
+    return found, at, F.aggregate(fresh, F.lit(0).cast("long"), lambda a, b: a + b)
+
+
+def symbols(text: Column) -> Column:
+    rest = text
+    for c in SYMBOLS:
+        rest = F.replace(rest, F.lit(c), F.lit(""))
+    return (F.octet_length(text) - F.octet_length(rest)).cast("long")
 
 
 def report(docs: DataFrame, trusted: DataFrame, least_gain: int = LEAST_MEAN_GAIN, count: int = BUCKETS) -> DataFrame:
     """doc_id, n_words, base features, base_failed, n_grams, weight, kept, text_hash of every row."""
     # A literal that Spark folds into one array on the driver: 65,536 ints at any size of the corpus.
     gain = F.split(F.lit(",".join(map(str, gains(docs, trusted, count)))), ",").cast(_GAINS)
-    keys, placed, at, repeats = repeated_words("w")
+    placed, at, repeats = repeated_words("w", "h")
     text = whole_text()
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     zero = F.lit(0).cast("long")
     read = docs.select("doc_id", F.xxhash64(text).alias("text_hash"), words(text).alias("w"), lines.alias("lines"),
-                       (F.char_length(text) - F.char_length(F.translate(text, SYMBOLS, ""))).cast("long").alias("n_symbols"))
+                       symbols(text).alias("n_symbols"))
     hashed = read.select(
         "doc_id", "text_hash", "n_symbols", F.size("w").cast("long").alias("n_words"),
         F.char_length(F.array_join("w", "")).cast("long").alias("word_chars"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
-        word_hashes("w").alias("h"), keys.alias("keys"))
+        "w", word_hashes("w").alias("h"))
     near = hashed.select("*", placed.alias("placed"))
     covered = near.select("*", at.alias("at"))
     gained = F.zip_with("h", after("h"), lambda a, b: F.get(gain, (a % count).cast("int")) + F.coalesce(
