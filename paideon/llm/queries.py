@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from paideon.llm import (
-    bestfit, debruijn, decontaminate, exact_dedup, hyperminhash, importance, langid, licenses, quality,
+    bestfit, debruijn, decontaminate, exact_dedup, hyperminhash, importance, langid, licenses, prefix_trie, quality,
     quotes, simple8b, toxicity,
 )
 from paideon.session import tune
@@ -237,3 +237,29 @@ def _quality_sql() -> str:
 def op12_quality(spark, folder):
     docs = table(spark, folder, "documents")
     return quality.report(docs, quality.trusted_documents(docs, table(spark, folder, "labels"))).drop("text_hash")
+
+
+@query("op11_prefix_trie", rf"""
+    with recursive t as (select conv_id, row_number() over (partition by conv_id order by turn nulls first, coalesce(role, ''), coalesce(text, '')) - 1 as pos,
+        md5(coalesce(role, '')) || md5(coalesce(text, '')) as v, length(coalesce(text, '')) as size from conversations where conv_id is not null),
+    c as (select conv_id, conv_id - conv_id % 100 as base, {_crc32('s')} % 6 as h
+      from (select distinct conv_id, cast(conv_id as varchar) as s from t) x, ({_CRC_TABLE}) y),
+    o as (select c.conv_id, t.pos, t.v, t.size from c join t on t.conv_id = c.base and t.pos < c.h),
+    n as (select conv_id, count(*) as n from o group by 1),
+    r as (select * from o union all select t.conv_id, t.pos - h + coalesce(n, 0), v, size
+      from t join c using (conv_id) left join n using (conv_id) where t.pos >= h),
+    p as materialized (select c.conv_id, 0 as depth, '' as id, 0::bigint as size from c union all
+      select p.conv_id, depth + 1, md5(id || v), r.size from p join r on r.conv_id = p.conv_id and r.pos = p.depth),
+    e as (select conv_id, max(depth) as depth from p group by 1),
+    w as (select p.*, lag(id) over (partition by conv_id order by depth) as up, p.depth = e.depth as ends from p join e using (conv_id)),
+    d as materialized (select depth, id, any_value(up) as up, any_value(size) as size, min(conv_id) as low, count(*) as n,
+        string_agg(cast(conv_id as varchar), ',' order by conv_id) filter (ends) as ends from w group by 1, 2),
+    k as (select depth - 1 as depth, up as id, count(*) as kids from d where depth > 0 group by 1, 2),
+    f as (select d.*, coalesce(kids, 0) as kids from d left join k on k.depth = d.depth and k.id = d.id),
+    a as (select p.depth, p.id, sum((f.kids = 0)::int) as leaves, sum((f.n - 1) * f.size) as saved
+      from f join p on p.conv_id = f.low and p.depth <= f.depth group by 1, 2)
+    select f.low as conv_id, f.depth, u.low as parent_conv_id, f.n as n_convs, f.kids as n_children, a.leaves::bigint as n_leaves,
+      a.saved::bigint as saved_tokens, sha256(coalesce(f.ends, '')) as ends_sha256
+    from f join a on a.depth = f.depth and a.id = f.id left join d u on u.depth = f.depth - 1 and u.id = f.up""")
+def op11_prefix_trie(spark, folder):
+    return prefix_trie.rebuilt_trie(table(spark, folder, "conversations"))
