@@ -251,7 +251,7 @@ def op12_quality(spark, folder):
     p as materialized (select c.conv_id, 0 as depth, '' as id, 0::bigint as size from c union all
       select p.conv_id, depth + 1, md5(id || v), r.size from p join r on r.conv_id = p.conv_id and r.pos = p.depth),
     e as (select conv_id, max(depth) as depth from p group by 1),
-    w as (select p.*, lag(id) over (partition by conv_id order by depth) as up, p.depth = e.depth as ends from p join e using (conv_id)),
+    w as (select p.*, lag(id) over (partition by conv_id order by p.depth) as up, p.depth = e.depth as ends from p join e using (conv_id)),
     d as materialized (select depth, id, any_value(up) as up, any_value(size) as size, min(conv_id) as low, count(*) as n,
         string_agg(cast(conv_id as varchar), ',' order by conv_id) filter (ends) as ends from w group by 1, 2),
     k as (select depth - 1 as depth, up as id, count(*) as kids from d where depth > 0 group by 1, 2),
