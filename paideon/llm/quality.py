@@ -65,7 +65,8 @@ def trusted_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Rows whose id is labelled good and nowhere labelled otherwise."""
     ids = labels.groupBy("doc_id").agg(F.min("quality").alias("least"), F.max("quality").alias("most")).filter(
         "doc_id is not null and least = 1 and most = 1").select(F.col("doc_id").alias("trusted_id"))
-    return docs.select("doc_id", whole_text().alias("text")).join(ids, F.col("doc_id") == F.col("trusted_id"), "left_semi")
+    # The ids grow with the documents, so they are shuffled at every size.
+    return docs.select("doc_id", whole_text().alias("text")).join(ids.hint("merge"), F.col("doc_id") == F.col("trusted_id"), "left_semi")
 
 
 def gains(docs: DataFrame, trusted: DataFrame, count: int = BUCKETS) -> list[int]:
