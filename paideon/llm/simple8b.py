@@ -47,26 +47,29 @@ def _reach(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     place = np.arange(n, dtype=np.int32)
     left = np.minimum(BLOCK_IDS - place % BLOCK_IDS, n - place)  # a word ends with its block
     selector, taken = np.full(n, ESCAPE, np.int8), np.ones(n, np.int32)
+    largest, fit, wide = int(ids.max()), place, np.zeros(n + 1, np.int32)
+    if largest < 1 << 31:
+        ids = ids.astype(np.int32)
     for s, (count, bits) in sorted(SELECTORS.items(), reverse=True):
-        run = _run_lengths(ids < (1 << bits))
-        # A word need not be full at the end of a block: zeros fill it.
-        most = np.minimum(count, left)
-        fits = run >= most
-        if not fits.any():
-            break  # narrower words take more ids and fit nowhere either
-        selector[fits] = s
-        taken[fits] = most[fits]
+        # Narrower words take more ids, so they fit only where wider ones do. A word need not be full at the
+        # end of a block: zeros fill it.
+        most = np.minimum(np.int32(count), left[fit])
+        if largest >= 1 << bits:
+            if 4 * len(fit) > n:
+                np.cumsum(ids >= 1 << bits, out=wide[1:])
+                ok = wide.take(fit + most) == wide.take(fit)
+                fit, most = fit[ok], most[ok]
+            else:
+                for j in range(count):
+                    ok = (ids[np.minimum(fit + j, n - 1)] < 1 << bits) | (most <= j)
+                    fit, most = fit[ok], most[ok]
+        if not len(fit):
+            break
+        selector[fit] = s
+        taken[fit] = most
     return selector, taken
 
 
-def _run_lengths(ok: np.ndarray) -> np.ndarray:
-    """At every position the number of consecutive true values from it on."""
-    n = len(ok)
-    place = np.arange(n, dtype=np.int32)
-    at = np.where(ok, np.int32(n), place)
-    return np.minimum.accumulate(at[::-1])[::-1] - place
-
-
 def encode(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Words, words before each block, and escapes of the ids."""
     ids = np.asarray(ids, np.uint64)
