@@ -16,6 +16,7 @@ an empty result; further columns are not read.
 
 from __future__ import annotations
 
+import itertools
 import zlib
 from bisect import bisect_left, insort
 
@@ -32,7 +33,6 @@ from paideon.session import stage
 CAPACITY = 2048
 END_ID = 0
 PARTITION_PIECES = 8192  # pieces packed together; the number of partitions grows with the input
-ROUNDS = 4
 
 
 def _cut(path: str, capacity: int, end_id: int):
@@ -132,17 +132,17 @@ def _deal(rows: DataFrame, salt: int, partition_pieces: int, capacity: int, coun
     return dealt.groupBy("part").applyInArrow(_pack(capacity), _PACKED)
 
 
-def _places(rest: DataFrame, capacity: int, partition_pieces: int, rounds: int) -> DataFrame:
+def _places(rest: DataFrame, capacity: int, partition_pieces: int) -> DataFrame:
     """row_no, sequence_id, offset of every piece shorter than the capacity."""
 
     def settle(df: DataFrame, salt: int) -> DataFrame:
-        # Round, partition and bin in one number; partitions stay far below 2**32.
-        number = F.lit(salt << 56) + F.shiftleft("part", 20) + F.col("bin")
+        # Round, partition and bin in one number; partitions stay below 2**30.
+        number = F.lit(salt << 50) + F.shiftleft("part", 20) + F.col("bin")
         return stage(df.withColumn("sequence_id", number), "packed")
 
     packed = settle(_deal(rest, 0, partition_pieces, capacity, rest.count()), 0)
     done = []
-    for salt in range(1, rounds + 1):
+    for salt in itertools.count(1):  # every round has fewer bins than the one before
         pool = packed.filter("open")
         count, before = pool.agg(F.count(F.lit(1)), F.count_distinct("sequence_id")).first()
         if before < 2:
@@ -159,12 +159,12 @@ def _places(rest: DataFrame, capacity: int, partition_pieces: int, rounds: int)
 
 
 def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END_ID,
-         partition_pieces: int = PARTITION_PIECES, rounds: int = ROUNDS) -> DataFrame:
+         partition_pieces: int = PARTITION_PIECES) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
     pieces = stage(token_pieces(docs, path, capacity, end_id)
                    .withColumn("row_no", F.monotonically_increasing_id()), "pieces")
     rest = pieces.filter(F.col("length") < capacity).select("row_no", "length")
-    places = _places(rest, capacity, partition_pieces, rounds)
+    places = _places(rest, capacity, partition_pieces)
     columns = ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
     full = pieces.filter(F.col("length") == capacity).withColumn(
         "sequence_id", F.col("row_no").bitwiseOR(F.lit(1 << 62))).withColumn("offset", F.lit(0).cast("long"))
