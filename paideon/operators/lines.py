@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from paideon.functions.fold import fold_values
 from paideon.functions.text import strip
 from paideon.functions.values import round_tenth
 from paideon.operators.columns import column_layout, reading_order
@@ -26,21 +27,24 @@ def row_numbers(sorted_fragments: Column) -> Column:
     """
     start = F.struct(
         F.lit(-1).cast("long").alias("zone"), F.lit(-1).alias("rank"), F.lit(0.0).alias("y"), F.lit(0.0).alias("size"),
-        F.lit(-1).alias("row"), F.array().cast("array<int>").alias("rows"),
-    )
+        F.lit(-1).alias("row"))
 
-    def step(acc: Column, f: Column) -> Column:
+    def same(acc: Column, f: Column) -> Column:
         reach = F.greatest(acc["size"], f["font_size"], F.lit(1.0)) * SAME_LINE
-        same = (acc["zone"] == f["zone"]) & (acc["rank"] == f["rank"]) & (F.abs(f["y"] - acc["y"]) <= reach)
-        row = F.when(same, acc["row"]).otherwise(acc["row"] + 1)
+        return (acc["zone"] == f["zone"]) & (acc["rank"] == f["rank"]) & (F.abs(f["y"] - acc["y"]) <= reach)
+
+    def row(acc: Column, f: Column) -> Column:
+        return F.when(same(acc, f), acc["row"]).otherwise(acc["row"] + 1)
+
+    def step(acc: Column, f: Column) -> Column:
+        stays = same(acc, f)
         return F.struct(
             f["zone"].alias("zone"), f["rank"].alias("rank"),
-            F.when(same, acc["y"]).otherwise(f["y"]).alias("y"),
-            F.when(same, acc["size"]).otherwise(f["font_size"]).alias("size"),
-            row.alias("row"), F.array_append(acc["rows"], row).alias("rows"),
-        )
+            F.when(stays, acc["y"]).otherwise(f["y"]).alias("y"),
+            F.when(stays, acc["size"]).otherwise(f["font_size"]).alias("size"),
+            row(acc, f).alias("row"))
 
-    return F.aggregate(sorted_fragments, start, step, lambda acc: acc["rows"])
+    return fold_values(sorted_fragments, start, step, "int", row)
 
 
 def group_rows(ordered: DataFrame) -> DataFrame:
@@ -70,20 +74,19 @@ def line_text(parts: Column) -> Column:
 def split_cells(parts: Column, size: Column) -> Column:
     """Cells (x, text) of a line: a wide gap opens the next one, empty ones go."""
     wide = F.greatest(size * CELL_GAP_FACTOR, F.lit(CELL_GAP_POINTS))
-    start = F.struct(F.lit(None).cast("double").alias("end"), F.array().cast("array<struct<x:double,text:string>>").alias("cells"))
 
-    def step(acc: Column, f: Column) -> Column:
-        fresh = acc["end"].isNull() | (f["x"] - acc["end"] >= wide)
-        last = F.element_at(acc["cells"], -1)
-        grown = F.struct(last["x"].alias("x"), F.concat(last["text"], F.lit(" "), strip(f["text"])).alias("text"))
-        opened = F.struct(f["x"].alias("x"), strip(f["text"]).alias("text"))
-        cells = F.when(fresh, F.array_append(acc["cells"], opened)).otherwise(
-            F.array_append(F.slice(acc["cells"], 1, F.greatest(F.size(acc["cells"]) - 1, F.lit(0))), grown))
-        return F.struct((f["x"] + f["width"]).alias("end"), cells.alias("cells"))
-
-    folded = F.aggregate(parts, start, step, lambda acc: acc["cells"])
-    trimmed = F.transform(folded, lambda c: F.struct(c["x"].alias("x"), strip(c["text"]).alias("text")))
-    return F.filter(trimmed, lambda c: c["text"] != "")
+    def fresh(f: Column, i: Column) -> Column:
+        prev = F.get(parts, i - 1)
+        return F.when((i == 0) | (f["x"] - (prev["x"] + prev["width"]) >= wide), i)
+
+    starts = F.filter(F.transform(parts, fresh), lambda i: i.isNotNull())
+    ends = F.concat(F.slice(starts, 2, F.greatest(F.size(starts), F.lit(1))), F.array(F.size(parts)))
+
+    def cell(s: Column) -> Column:
+        text = F.array_join(F.transform(F.slice(parts, s["from"] + 1, s["to"] - s["from"]), lambda f: strip(f["text"])), " ")
+        return F.struct(F.get(parts, s["from"])["x"].alias("x"), strip(text).alias("text"))
+
+    return F.filter(F.transform(F.arrays_zip(starts.alias("from"), ends.alias("to")), cell), lambda c: c["text"] != "")
 
 
 def build_lines(rows: DataFrame) -> DataFrame:

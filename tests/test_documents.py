@@ -181,13 +181,95 @@ def test_heading_places_equal_a_stack(spark, monkeypatch):
     assert got == want
 
 
+def plain_starts(lines):
+    """First lines of the paragraphs of one document: (x, flow, is_item, reference, hard) in order."""
+    out, left, item = [], 0.0, False
+    for i, (x, flow, is_item, reference, hard) in enumerate(lines):
+        shift = reference * par.INDENT
+        if hard or flow and (left < x - shift or item and left > x + shift):
+            out.append(i)
+            left, item = x, is_item
+        else:
+            left = min(left, x)
+    return out
+
+
+def run_frame(spark, lines, chunk):
+    """One document of the lines, `chunk` of them in a chunk."""
+    start, rows = 0, []
+    for i, (x, flow, is_item, reference, hard) in enumerate(lines):
+        start = i if hard else start
+        rows.append((1, i // chunk, i, x, flow, is_item, reference, (start // chunk, start),
+                     (lines[i + 1][4], (i + 1) // chunk) if i + 1 < len(lines) else None))
+    df = spark.createDataFrame(rows, "doc_id int, page_no int, line_no int, x double, flow boolean, is_item boolean, reference double, "
+                                     "_run struct<page_no:int,line_no:int>, _next struct<hard:boolean,chunk:int>")
+    return df.withColumn("chunk", F.col("page_no"))
+
+
+def starts_of(runs):
+    item = F.struct("page_no", "line_no", "x", "flow", "is_item", "reference")
+    found = par.paragraph_lines(runs, item).select(F.transform("lines", lambda l: l["line_no"]).alias("n")).collect()
+    numbers = sorted(r.n for r in found)
+    assert [i for n in numbers for i in n] == list(range(runs.count()))  # every line once, in order
+    return [n[0] for n in numbers]
+
+
 def test_paragraph_starts_follow_the_left_edge(spark):
-    lines = [(72.0, True, False, 11.0), (72.0, True, False, 11.0), (90.0, True, False, 11.0), (72.0, True, False, 11.0),
-             (79.0, True, False, 11.0), (95.0, False, False, 11.0)]
-    row = spark.createDataFrame([(lines,)], "l array<struct<x:double,flow:boolean,is_item:boolean,reference:double>>").select(
-        par.paragraph_starts(F.col("l")).alias("s")).first()
-    assert row.s == [0, 2]
-    item = [(90.0, True, True, 11.0), (90.0, True, False, 11.0), (72.0, True, False, 11.0)]
-    row = spark.createDataFrame([(item,)], "l array<struct<x:double,flow:boolean,is_item:boolean,reference:double>>").select(
-        par.paragraph_starts(F.col("l")).alias("s")).first()
-    assert row.s == [0, 2]
+    text = [(72.0, True, False, 11.0, True), (72.0, True, False, 11.0, False), (90.0, True, False, 11.0, False), (72.0, True, False, 11.0, False),
+            (79.0, True, False, 11.0, False), (95.0, False, False, 11.0, False)]
+    assert starts_of(run_frame(spark, text, 100)) == [0, 2]
+    item = [(90.0, True, True, 11.0, True), (90.0, True, False, 11.0, False), (72.0, True, False, 11.0, False)]
+    assert starts_of(run_frame(spark, item, 100)) == [0, 2]
+
+
+@pytest.mark.parametrize("seed,chunk", [(0, 1), (2, 3), (4, 25)])
+def test_paragraphs_of_cut_runs_are_those_of_the_plain_fold(spark, seed, chunk):
+    rng = random.Random(seed)
+    lines = []
+    for i in range(700):
+        hard = i == 0 or rng.random() < 0.02
+        lines.append((rng.choice([60.0, 66.5, 72.0, 72.0, 72.0, 75.0, 80.8, 84.0, 90.0]), rng.random() < 0.9, hard and rng.random() < 0.5,
+                      rng.choice([8.0, 11.0, 16.0]), hard))
+    assert starts_of(run_frame(spark, lines, chunk)) == plain_starts(lines)
+
+
+def test_a_run_of_200000_lines_is_spread(spark):
+    """No task holds the run: pieces are folded apart and paragraphs, not runs, are gathered."""
+    n, chunk = 200_000, 500
+    at = F.col("id")
+    runs = spark.range(n).select(
+        F.lit(1).alias("doc_id"), F.floor(at / chunk).cast("int").alias("page_no"), at.cast("int").alias("line_no"),
+        F.when(at % 1777 == 0, 90.0).when(at % 5 == 0, 75.0).otherwise(72.0).alias("x"), F.lit(True).alias("flow"), F.lit(False).alias("is_item"),
+        F.lit(11.0).alias("reference"), F.expr("struct(0 as page_no, 0 as line_no)").alias("_run"),
+        F.when(at < n - 1, F.struct(F.lit(False).alias("hard"), F.floor((at + 1) / chunk).cast("int").alias("chunk"))).alias("_next"),
+    ).withColumn("chunk", F.col("page_no"))
+    item = F.struct("page_no", "line_no", "x", "flow", "is_item", "reference")
+    got = par.paragraph_lines(runs, item).select(F.get("lines", F.lit(0))["line_no"].alias("first"), F.size("lines").alias("n")).collect()
+    lines = [(90.0 if i % 1777 == 0 else 75.0 if i % 5 == 0 else 72.0, True, False, 11.0, i == 0) for i in range(n)]
+    want = plain_starts(lines)
+    assert sorted((r.first, r.n) for r in got) == list(zip(want, [b - a for a, b in zip(want, [*want[1:], n])]))
+
+
+def test_lines_are_joined_as_by_a_plain_loop(spark):
+    import re
+
+    from paideon.functions import text as tx
+
+    def plain(texts):
+        out = ""
+        for t in texts:
+            if not t:
+                continue
+            soft = out.endswith(tx.SOFT_HYPHEN)
+            if out and (soft or re.search(rf"\w\w[{tx.HYPHENS}]$", out) and re.match(r"[a-zéà]", t)):
+                out = re.sub(f"[{tx.HYPHENS}]+$", "", re.sub(f"{tx.SOFT_HYPHEN}+$", "", out)) + t
+            else:
+                out += (" " if out else "") + t
+        return out
+
+    rng = random.Random(2)
+    parts = ["mot", "cou-", "pure", "Éta-", "a", "b-", "-", "x" + tx.SOFT_HYPHEN, "", "fin.", "été", "ab-"]
+    data = [[rng.choice(parts) for _ in range(rng.choice([1, 3, 12, 600]))] for _ in range(60)] + [["long", "ligne-", "s"] * 20_000]
+    df = spark.createDataFrame([(i, d) for i, d in enumerate(data)], "i int, t array<string>")
+    got = {r.i: r.text for r in df.select("i", par.join_lines(F.col("t")).alias("text")).collect()}
+    assert got == {i: plain(d) for i, d in enumerate(data)}
