@@ -1,9 +1,9 @@
 """Benchmark decontamination with DataFrame functions only.
 
-Benchmark texts become normalised word windows. Their set is broadcast when its counted
-size is below a bound, and joined by shuffle otherwise. Every position of a document is
-screened by the hash of its first words against a bit table of the windows' first words
-(no window can fail the screen); positions that pass are compared in full, word for word.
+Benchmark texts become normalised word windows. A bit table of the hashes of their first words, of
+at most TABLE_BITS whatever their number, goes to all tasks; every position of a document is screened against it
+(no window can fail the screen), and positions that pass are joined with the windows in full, word for word.
+The join is broadcast only where Spark finds the windows small.
 Hit positions become covered spans, counts and, by the rule of the caller, documents that go.
 
 Defined cases: a null text has no words; an item without words has no windows and one with
@@ -22,7 +22,7 @@ from paideon.session import stage
 
 WINDOW_WORDS = 13
 SCREEN_WORDS = 3
-BROADCAST_WINDOWS = 200_000  # about 100 bytes each
+TABLE_BITS = 1 << 25  # 4 MB; 64 bits for each start of a window until then, fewer beyond
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -62,40 +62,37 @@ def benchmark_windows(benchmark: DataFrame, size: int = WINDOW_WORDS) -> DataFra
     return items.select("item_id", F.inline(F.transform(starts, one))).distinct()
 
 
-def _bit_table(hashes: list[int]) -> tuple[bytes, int]:
-    slots = 1 << 16
-    while slots < 64 * len(hashes) and slots < 1 << 22:
-        slots *= 2
-    table = bytearray(slots)
-    for h in hashes:
-        table[h % slots] = 1
-    return bytes(table), slots
-
-
-def _screen(windows: DataFrame) -> dict[int, list[int]]:
-    """First-word hashes by their number of words; the caller has counted the windows."""
-    found: dict[int, list[int]] = {}
-    for n, h in windows.select(F.least("n", F.lit(SCREEN_WORDS)), "screen").distinct().collect():
-        found.setdefault(n, []).append(h)
-    return found
-
-
-def _passes(screen: dict[int, list[int]] | None):
-    tables = {q: _bit_table(h) for q, h in (screen or {}).items()}
-
+def _screen(windows: DataFrame, most_bits: int) -> dict[int, tuple[Column, int]]:
+    """Bit table (as 64-bit numbers) and its size by the number of first words; at most `most_bits` / 64 rows reach the driver."""
+    starts = windows.select(F.least("n", F.lit(SCREEN_WORDS)).alias("q"), "screen").distinct()
+    tables = {}
+    for q, count in starts.groupBy("q").count().collect():
+        bits = 1 << 12
+        while bits < 64 * count and bits < most_bits:
+            bits *= 2
+        slot = F.pmod("screen", F.lit(bits))
+        filled = starts.filter(F.col("q") == q).select(F.shiftright(slot, 6).alias("at"), slot.bitwiseAND(63).alias("bit")).distinct()
+        numbers = [0] * (bits >> 6)
+        for r in filled.groupBy("at").agg(F.bit_or(F.expr("shiftleft(1L, cast(bit as int))")).alias("number")).collect():
+            numbers[r["at"]] = r["number"]
+        # Spark folds this into one array on the driver.
+        tables[q] = F.split(F.lit(",".join(map(str, numbers))), ",").cast("array<bigint>"), bits
+    return tables
+
+
+def _passes(screen: dict[int, tuple[Column, int]]):
     def passes(i: Column) -> Column:
-        if screen is None:
-            return F.lit(True)
         ok = F.lit(False)
-        for q, (table, slots) in sorted(tables.items(), reverse=True):
-            slot = F.pmod(screen_hash("w", i, q), F.lit(slots)).cast("int")
-            ok = ok | ((i + q <= F.size("w")) & (F.substr(F.lit(table), slot + 1, F.lit(1)) == F.lit(b"\x01")))
+        for q, (table, bits) in sorted(screen.items(), reverse=True):
+            slot = F.pmod(screen_hash("w", i, q), F.lit(bits))
+            hit = F.getbit(F.get(table, F.shiftright(slot, 6).cast("int")), slot.bitwiseAND(63).cast("int")) == 1
+            ok = ok | ((i + q <= F.size("w")) & hit)
         return ok
 
     return passes
 
 
-def scan(docs: DataFrame, windows: DataFrame, sizes: list[int], screen: dict[int, list[int]] | None) -> DataFrame:
+def scan(docs: DataFrame, windows: DataFrame, sizes: list[int], screen: dict[int, tuple[Column, int]]) -> DataFrame:
     """row_no, doc_id, text_hash, n_words and the candidate windows (at, n, key) of every row."""
     listed = docs.select("doc_id", F.xxhash64(whole_text()).alias("text_hash"), words(whole_text()).alias("w"))
     # `w` is used many times below, which keeps it a column of its own.
@@ -112,16 +109,13 @@ def scan(docs: DataFrame, windows: DataFrame, sizes: list[int], screen: dict[int
 
 
 def hits(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW_WORDS,
-         broadcast_windows: int = BROADCAST_WINDOWS) -> tuple[DataFrame, DataFrame, DataFrame]:
+         most_bits: int = TABLE_BITS) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Scanned rows, hits (row_no, at, n, key) and windows by item."""
     windows = stage(benchmark_windows(benchmark, size), "windows")
-    small = windows.count() <= broadcast_windows
     sizes = sorted(r[0] for r in windows.select("n").distinct().collect())  # `size` values at most
-    scanned = stage(scan(docs, windows, sizes, _screen(windows) if small else None), "scanned")
-    keys = windows.select("key").distinct()
+    scanned = stage(scan(docs, windows, sizes, _screen(windows, most_bits)), "scanned")
     tried = scanned.filter(F.size("tried") > 0).select("row_no", F.inline("tried"))
-    hit = tried.join(F.broadcast(keys) if small else keys, "key", "left_semi")
-    return scanned, stage(hit, "hits"), windows
+    return scanned, stage(tried.join(windows.select("key").distinct(), "key", "left_semi"), "hits"), windows
 
 
 def covered(hit: DataFrame) -> DataFrame:
@@ -143,9 +137,9 @@ def hit_items(hit: DataFrame, windows: DataFrame) -> DataFrame:
 
 
 def report(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW_WORDS,
-           broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
+           most_bits: int = TABLE_BITS) -> DataFrame:
     """One row per document: n_words, n_hit, n_items, items_sha256, contaminated, text_hash."""
-    scanned, hit, windows = hits(docs, benchmark, size, broadcast_windows)
+    scanned, hit, windows = hits(docs, benchmark, size, most_bits)
     n_hit = F.coalesce("n_hit", F.lit(0))
     return (scanned.select("row_no", "doc_id", "text_hash", "n_words")
             .join(covered(hit), "row_no", "left").join(hit_items(hit, windows), "row_no", "left")
@@ -161,10 +155,15 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def without_spans(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """doc_id and the words outside every hit, for callers that cut spans instead of documents."""
-    _, hit, _ = hits(docs, benchmark)
-    spans = hit.groupBy("row_no").agg(F.collect_set(F.struct("at", "n")).alias("spans"))
-    scanned = docs.select("doc_id", words(whole_text()).alias("w"), F.monotonically_increasing_id().alias("row_no"))
+    """doc_id and the words outside every hit, for callers that cut spans instead of documents.
+
+    Spans are named by id and text: rows equal in both have the same spans.
+    """
+    scanned, hit, _ = hits(docs, benchmark)
+    of_row = scanned.select("row_no", *row_key())
+    spans = hit.join(of_row, "row_no").groupBy("key_id", "key_hash").agg(F.collect_set(F.struct("at", "n")).alias("spans"))
+    texts = docs.select("doc_id", F.xxhash64(whole_text()).alias("text_hash"), words(whole_text()).alias("w"))
+    same = F.col("doc_id").eqNullSafe(F.col("key_id")) & (F.col("text_hash") == F.col("key_hash"))
     left = F.filter(F.col("w"), lambda x, i: ~F.exists(
         F.coalesce("spans", F.array().cast("array<struct<at:int,n:int>>")), lambda s: (i >= s["at"]) & (i < s["at"] + s["n"])))
-    return scanned.join(spans, "row_no", "left").select("doc_id", F.array_join(left, " ").alias("text"))
+    return texts.join(spans, same, "left").select("doc_id", F.array_join(left, " ").alias("text"))

@@ -259,10 +259,10 @@ def plain_report(rows, items):
     return out
 
 
-@pytest.mark.parametrize("most", [200_000, 0])
+@pytest.mark.parametrize("most", [decontaminate.TABLE_BITS, 0])
 def test_decontamination(spark, docs, empty, most):
     bench = spark.createDataFrame(ITEMS, "item_id long, text string")
-    got = rows_of(decontaminate.report(docs, bench, broadcast_windows=most).drop("text_hash"))
+    got = rows_of(decontaminate.report(docs, bench, most_bits=most).drop("text_hash"))
     assert got == sorted(plain_report(documents(), ITEMS), key=repr)
     if most:
         none = spark.createDataFrame([], "item_id long, text string")
@@ -452,3 +452,48 @@ def test_licenses(spark, empty):
     share = len(shingle(gpl) & shingle(changed)) / len(shingle(gpl))
     assert ("gpl-notice" in got[5][0].licenses) == (share >= 0.8)
     assert licenses.report(empty).count() == 0
+
+
+# --- rows that share an id, clashing names, long labelled rows
+
+
+CLASH = "doc_id long, text string, gone_id string, gone_digest int, gone_hash int, __digest binary, key_id int, row int, row_id int, digest string"
+
+
+def clash_frame(spark, rows):
+    return spark.createDataFrame([(i, t, "g", 1, 2, b"kept", 3, 4, 5, "d") for i, t in rows], CLASH)
+
+
+def test_names_of_columns_never_clash(spark):
+    rows = [(1, salad(1, 60)), (2, salad(1, 60)), (3, salad(7, 50)), (3, salad(7, 50)), (4, salad(2, 40))]
+    df = clash_frame(spark, rows)
+    bench = spark.createDataFrame([(0, salad(2, 40))], "item_id long, text string")
+    for out, ids in ((exact_dedup.distinct_documents(df), [2, 3, 4]), (hyperminhash.first_of_groups(df), [1, 3, 3, 4]),
+                     (decontaminate.clean_documents(df, bench), [1, 2, 3, 3])):
+        got = out.collect()
+        assert out.columns == df.columns and sorted(r.doc_id for r in got) == ids
+        assert all(tuple(r)[2:] == ("g", 1, 2, b"kept", 3, 4, 5, "d") for r in got)
+
+
+def test_near_copies_of_rows_that_share_an_id(spark):
+    near, other = salad(3, 200), salad(8, 150)
+    rows = [(1, near), (5, near + " more"), (5, other), (9, other + " tail"), (5, other)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r.doc_id, r.component_id, r.kept) for r in hyperminhash.groups(df).collect()}
+    assert got == {(1, 1, True), (5, 1, False), (5, 5, True), (9, 5, False)}
+    assert sorted((r.doc_id, r.text) for r in hyperminhash.first_of_groups(df).collect()) == sorted([(1, near), (5, other), (5, other)])
+
+
+def test_long_labelled_rows_are_learned_from(spark):
+    rows, labels = [], []
+    for i in range(120):
+        toxic = i % 2
+        body = salad(i, 6_000 if toxic else 40)
+        rows.append((i, body[:len(body) // 2] + (" vile grumpf scum " if toxic else " ") + body[len(body) // 2:]))
+        labels.append((i, toxic))
+    docs, table = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    assert min(len(t) for i, t in rows if i % 2) > toxicity.SHORT_CHARS
+    model = toxicity.fit(docs, table)
+    probe = spark.createDataFrame([(1, "you vile grumpf scum"), (2, salad(500, 30))], "doc_id long, text string")
+    got = {r.doc_id: r.score for r in toxicity.scores(probe, model).collect()}
+    assert got[1] >= 0.5 > got[2]
