@@ -7,7 +7,7 @@ sets collide like large ones. Bands of registers propose pairs. The share of equ
 registers, less the collisions that equal-looking minima of different shingles make,
 estimates the Jaccard similarity, and what may reach the threshold is verified on full sets.
 
-Documents with the same shingle set are one class, represented by its smallest id, so exact
+Documents with the same shingle set are one class, represented by its row of the smallest id, so exact
 and shuffled copies cost nothing after the first pass. Buckets of up to `PAIR_LIMIT` classes
 propose all their pairs. Larger ones propose a star, which only says that their classes
 must be compared with each other: classes that hang together are cut into blocks, and all
@@ -15,8 +15,8 @@ pairs of blocks are compared inside tasks, so that no pair is lost and none is e
 unless it is a link that joins two so far separate parts of a block.
 
 Defined cases: null, empty or blank text has an empty set and links with nothing; a text
-with fewer words than a shingle is one shingle; rows that repeat an id are one node each
-under that id; null ids link with nothing and are their own (null) component; an empty
+with fewer words than a shingle is one shingle; rows that repeat an id are judged each
+by its own text; null ids link with nothing and are their own (null) component; an empty
 table gives an empty result; further columns of any name pass through `first_of_groups`.
 """
 
@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from paideon.llm.common import ids_and_texts, map_batches
+from paideon.llm.common import ids_and_texts, map_batches, row_key, without
 from paideon.llm.components import components
 from paideon.llm.textblocks import mix, row_groups, window_hashes, words_of
 from paideon.session import stage
@@ -124,7 +124,7 @@ def estimate(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.clip((share - chance) / (1 - chance), 0, 1)
 
 
-_CLASS = [("n_shingles", T.LongType()), ("set_hash", T.LongType()), ("set_check", T.LongType()), ("sketch", T.BinaryType())]
+_CLASS = [("text_hash", T.LongType()), ("n_shingles", T.LongType()), ("set_hash", T.LongType()), ("set_check", T.LongType()), ("sketch", T.BinaryType())]
 
 
 def _sketch(size: int):
@@ -136,9 +136,9 @@ def _sketch(size: int):
                 table = registers(hashes, first)
                 total, check = _sums(hashes, first), _sums(mix(hashes + np.uint64(7)), first)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(a, b - a), pa.array(n.astype(np.int64)), pa.array(total.view(np.int64)),
+                    [batch.column(0).slice(a, b - a), batch.column(2).slice(a, b - a), pa.array(n.astype(np.int64)), pa.array(total.view(np.int64)),
                      pa.array(check.view(np.int64)), pa.array([r.tobytes() if k else None for r, k in zip(table, n)], pa.binary())],
-                    ["doc_id", "n_shingles", "set_hash", "set_check", "sketch"])
+                    ["doc_id", "text_hash", "n_shingles", "set_hash", "set_check", "sketch"])
 
     return sketch
 
@@ -258,25 +258,34 @@ def verified_links(members: DataFrame, texts: DataFrame, size: int, threshold=TH
             .applyInArrow(_verify(size, threshold), "a long, b long"))
 
 
-def groups(docs: DataFrame, size: int = 2, threshold=THRESHOLD) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept of every document."""
-    rows = stage(map_batches(ids_and_texts(docs).withColumn("doc_id", F.col("doc_id").cast("long")), _sketch(size),
-                             [("doc_id", T.LongType()), *_CLASS]), "sketches")
+def memberships(docs: DataFrame, size: int = 2, threshold=THRESHOLD) -> DataFrame:
+    """doc_id, text_hash, n_shingles, component_id, kept of every row."""
+    read = ids_and_texts(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
+    rows = stage(map_batches(read, _sketch(size), [("doc_id", T.LongType()), *_CLASS]), "sketches")
     named = rows.filter("n_shingles > 0 and doc_id is not null")
     identity = ["n_shingles", "set_hash", "set_check"]
-    classes = stage(named.groupBy(*identity).agg(F.min("doc_id").alias("id"), F.min_by("sketch", "doc_id").alias("sketch")), "classes")
-    loose = components(proposals(classes.select("id", "sketch"))).join(classes.select("id", "n_shingles"), "id")
-    texts = ids_and_texts(docs).select(F.col("doc_id").cast("long").alias("id"), "text")
-    found = components(verified_links(loose, texts, size, threshold))
-    of_class = classes.select(*identity, "id").join(found, "id", "left").select(
-        *identity, F.coalesce("component", "id").alias("component"))
-    joined = rows.join(of_class, identity, "left")
-    component = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("component")).otherwise(F.col("doc_id"))
-    return joined.select("doc_id", "n_shingles", component.alias("component_id")).withColumn(
+    # A class has a number of its own: ids may repeat.
+    classes = stage(named.groupBy(*identity).agg(F.min(F.struct("doc_id", "text_hash", "sketch")).alias("least")).select(
+        F.monotonically_increasing_id().alias("id"), *identity, "least.*"), "classes")
+    loose = stage(components(proposals(classes.select("id", "sketch"))).join(
+        classes.select("id", "n_shingles", "doc_id", "text_hash"), "id"), "loose")
+    # Rows equal in id and text are one text.
+    texts = read.join(loose.select("id", "doc_id", "text_hash"), ["doc_id", "text_hash"]).groupBy("id").agg(F.first("text").alias("text"))
+    found = components(verified_links(loose.select("id", "component", "n_shingles"), texts, size, threshold))
+    of_class = classes.select(*identity, "id", "doc_id").join(found, "id", "left").select(
+        *identity, "doc_id", F.coalesce("component", "id").alias("component"))
+    least = of_class.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    joined = rows.join(of_class.join(least, "component").select(*identity, "component_id"), identity, "left")
+    component = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("component_id")).otherwise(F.col("doc_id"))
+    return joined.select("doc_id", "text_hash", "n_shingles", component.alias("component_id")).withColumn(
         "kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
+def groups(docs: DataFrame, size: int = 2, threshold=THRESHOLD) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept of every document."""
+    return memberships(docs, size, threshold).drop("text_hash")
+
+
 def first_of_groups(docs: DataFrame, size: int = 5, threshold=THRESHOLD) -> DataFrame:
     """The documents that are the smallest id of their group."""
-    gone = stage(groups(docs, size, threshold).filter("not kept").select(F.col("doc_id").alias("gone_id")), "near")
-    return docs.join(gone.hint("merge"), F.col("doc_id") == F.col("gone_id"), "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return without(docs, stage(memberships(docs, size, threshold).filter("not kept").select(*row_key()).distinct(), "near"))
