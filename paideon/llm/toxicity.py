@@ -13,7 +13,8 @@ is a lookup and three running sums over the bytes of a text.
 Defined cases: a null or empty text scores the share of toxic rows among the labels; a document without
 label is scored like any other; labels that are null, or that contradict each other for one
 id, are not learned from; repeated rows are scored one by one; without labels of both
-classes every score is 0.
+classes every score is the sigmoid of -30, about 1e-13; texts of any length are learned from and scored whole; rows equal in
+id and text are one row of the sample.
 """
 
 from __future__ import annotations
@@ -29,11 +30,11 @@ from paideon.llm.textblocks import LOWER_ASCII, NOT_ALPHANUMERIC, row_groups, te
 from paideon.session import stage
 
 SAMPLE_ROWS = 800  # labelled rows of either class that are learned from, at most
-SAMPLE_CHARS = 20_000  # longer texts are not in the sample; they are scored whole
+SAMPLE_CHARS = 6_000_000  # and their characters; rows are taken whole, short ones first, the first one in any case
+SHORT_CHARS = 20_000
 BUCKETS = 1 << 18
 DIMENSIONS = 8
 SEGMENT_WORDS = 8
-LEAST_ROWS = 3  # rows of the sample that an n-gram must be in; a small sample would learn texts by heart
 EPOCHS = 14
 LEARNED_MODS = (1, 2, 3, 4)  # crc32(id) mod 5 of rows that may be learned from
 
@@ -118,7 +119,7 @@ class _Sample:
     def __init__(self, texts: list[str]):
         column = pa.array(texts, pa.string())
         bucket, per_word, segment, per_segment, row = [], [], [], [], []
-        segments, rows_with = 0, np.zeros(BUCKETS, np.int32)
+        segments = 0
         for a, b in row_groups(column, 1 << 18):
             grams = Grams(*text_bytes(column, a, b))
             parts = list(grams.sizes())
@@ -126,15 +127,11 @@ class _Sample:
                 word = np.concatenate([w for _, w in parts])
                 order = np.argsort(word, kind="stable")
                 bucket.append(np.concatenate([x for x, _ in parts])[order].astype(np.int32))
-                row_of_word = np.repeat(np.arange(b - a), grams.words_of_row)
-                pairs = np.unique(row_of_word[word[order]] * BUCKETS + bucket[-1])
-                rows_with += np.bincount(pairs % BUCKETS, minlength=BUCKETS).astype(np.int32)
             per_word.append(grams.gram_counts().astype(np.int32))
             segment.append((grams.segment_of_word + segments).astype(np.int32))
             per_segment.append(grams.words_in_segment)
             row.append(np.repeat(np.arange(a, b), grams.segments_of_row))
             segments += len(grams.words_in_segment)
-        self.known = rows_with >= LEAST_ROWS
         self.bucket = np.concatenate(bucket) if bucket else np.zeros(0, np.int32)
         self.per_word = np.concatenate(per_word)
         self.word_first = np.concatenate([[0], np.cumsum(self.per_word, dtype=np.int64)])
@@ -175,7 +172,6 @@ def train(texts: list[str], labels: np.ndarray, epochs: int = EPOCHS, seed: int
     """
     rng = np.random.default_rng(seed)
     sample, labels = _Sample(texts), np.asarray(labels)
-    # Unknown n-grams stay at zero: they say nothing.
     table = np.zeros((BUCKETS, DIMENSIONS), np.float32)
     top = rng.normal(0, 0.5, (DIMENSIONS, 2)).astype(np.float32)
     bias = np.zeros(2, np.float32)
@@ -199,8 +195,6 @@ def train(texts: list[str], labels: np.ndarray, epochs: int = EPOCHS, seed: int
         for at in range(0, len(chosen), 512):
             part = chosen[at:at + 512]
             bucket, share, position = sample.items(part)
-            told = sample.known[bucket]
-            bucket, share, position = bucket[told], share[told], position[told]
             near, inverse = np.unique(bucket, return_inverse=True)
             mean = np.zeros((len(part), DIMENSIONS), np.float32)
             rows = table[bucket] * share[:, None].astype(np.float32)
@@ -257,19 +251,37 @@ def calibrate(logit: np.ndarray, label: np.ndarray, prior: float) -> tuple[float
     return slope, float(w[1] - slope * centre)
 
 
-def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> dict:
-    """Model from at most `rows` toxic and 2 x `rows` other rows that may be learned from."""
+def sampled(docs: DataFrame, labels: DataFrame, rows: int, chars: int) -> tuple[DataFrame, float]:
+    """text, toxic of the rows that are learned from, and the share of toxic rows among the labels."""
     known = (labels.filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()
                            & F.pmod(crc_of_id(), F.lit(5)).isin(*LEARNED_MODS))
              .groupBy("doc_id").agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("other"))
-             .filter("toxic = other").select("doc_id", "toxic"))
+             .filter("toxic = other").select(F.col("doc_id").alias("label_id"), "toxic"))
     prior = float(known.agg(F.avg("toxic")).first()[0] or 0.0)
-    order = [F.xxhash64("doc_id"), "doc_id"]
-    wanted = stage(known.filter("toxic = 1").orderBy(*order).limit(rows)
-                   .unionByName(known.filter("toxic = 0").orderBy(*order).limit(2 * rows)), "labelled")
+    # Only ids, hashes and lengths of the labelled rows move, and only rows that exist are counted.
+    sizes = docs.select("doc_id", F.xxhash64(whole_text()).alias("text_hash"), F.char_length(whole_text()).alias("size")).distinct()
+    there = stage(sizes.join(known, F.col("doc_id") == F.col("label_id")).select("doc_id", "text_hash", "size", "toxic"), "labelled")
+    order = [F.col("size") > SHORT_CHARS, F.xxhash64("doc_id"), F.col("doc_id"), F.col("text_hash")]
+    wanted = []
+    for label, most in ((1, rows), (0, 2 * rows)):
+        total = 0
+        for r in there.filter(F.col("toxic") == label).orderBy(*order).limit(most).collect():
+            if total and total + r["size"] > chars:
+                continue
+            total += r["size"]
+            wanted.append((r["doc_id"], r["text_hash"], label))
+    kind = T.StructType([T.StructField("key_id", type_of(docs, "doc_id")), T.StructField("key_hash", T.LongType()), T.StructField("toxic", T.IntegerType())])
     # 3 x rows ids at most, so the broadcast side is bounded by the parameter.
-    found = (ids_and_texts(docs).filter(F.length("text") <= chars).join(F.broadcast(wanted), "doc_id")
-             .orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(3 * rows).select("text", "toxic").collect())
+    keys = F.broadcast(docs.sparkSession.createDataFrame(wanted, kind))
+    texts = docs.select("doc_id", whole_text().alias("text")).join(
+        keys, (F.col("doc_id") == F.col("key_id")) & (F.xxhash64("text") == F.col("key_hash")))
+    return texts.groupBy("key_id", "key_hash").agg(F.first("text").alias("text"), F.first("toxic").alias("toxic")), prior
+
+
+def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> dict:
+    """Model from at most `rows` toxic and 2 x `rows` other rows that may be learned from, of `chars` characters each."""
+    sample, prior = sampled(docs, labels, rows, chars)
+    found = sample.orderBy(F.xxhash64("key_id"), "key_id", "key_hash").select("text", "toxic").collect()
     texts, toxic = [r[0] for r in found], np.array([r[1] for r in found], np.int64)
     if len(set(toxic.tolist())) < 2:
         return {"weights": np.zeros(BUCKETS, np.float32), "bias": 0.0, "slope": 1.0, "intercept": -30.0, "prior": 0.0}
