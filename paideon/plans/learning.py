@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from paideon.functions.nesting import page
+from paideon.functions.nesting import all_pages, page
 from paideon.operators import audits, catalogue as cat, eligibility as elig, grading, progress as prog
+from paideon.operators.search import search_many
 from paideon.plans.registry import joined, micros, query
 
 # --- flagship ----------------------------------------------------------------
@@ -38,6 +39,14 @@ def learner_summary_page(t):
     return page(found, [F.col("created_at").desc_nulls_first(), "user_id"], 20, 20).select("user_id", "email")
 
 
+@query("learner_listing_pages", """
+  select user_id, (n - 1) // 20 as page_no, (n - 1) % 20 as place_on_page from (
+    select user_id, row_number() over (order by created_at desc nulls first, user_id) as n from users where role = 'LEARNER') x""")
+def learner_listing_pages(t):
+    listed = all_pages(cat.learners(t.users), [F.col("created_at").desc_nulls_first(), F.col("user_id")], 20)
+    return listed.select("user_id", "page_no", "place_on_page")
+
+
 # --- catalogue reads -----------------------------------------------------------
 
 
@@ -54,6 +63,19 @@ def people_search(t):
     return cat.search_people(t.users, "ER#0000_1").select("user_id", "email")
 
 
+_SEARCHES = """(select distinct substr(n_name, 1, 4) as pattern from nation union select substr(s_name, 14, 5) from supplier
+  union select lower(substr(c_mktsegment, 1, 2)) from customer)"""
+
+
+@query("people_search_many", f"""
+  select distinct s.pattern, u.user_id from users u join {_SEARCHES} s on s.pattern <> '' and (
+    contains(lower(u.email), lower(s.pattern)) or contains(lower(u.first_name), lower(s.pattern))
+    or contains(lower(u.last_name), lower(s.pattern)))""")
+def people_search_many(t):
+    searches = t.sql(f"select pattern from {_SEARCHES} s")
+    return search_many(t.users, "user_id", ["email", "first_name", "last_name"], searches)
+
+
 @query("people_by_email", """
   select u.user_id, u.email from users u join customer c on lower(c.c_name || '@X.TEST') = lower(u.email)""")
 def people_by_email(t):
@@ -645,6 +667,29 @@ def certificate_refusals(t):
     return elig.certificate_refusals(rows, wanted, t.quiz_attempts).select("user_id", "course_id", "reason")
 
 
+# Only the final quiz of a course counts here, so certificates are reached and refused on their average.
+_FINAL_QUIZZES = f"select * from ({_COURSE_QUIZZES}) f where quiz_id in (select quiz_id from quizzes where kind = 'FINAL')"
+
+
+@query("issue_final_certificates", f"""
+  select e.user_id, e.course_id, cast(round_even(average_score, 0) as bigint) as average_score
+  from {_ELIGIBILITY.format(w=_FINAL_QUIZZES)} left join {_CERTIFICATES} c
+    on c.user_id = e.user_id and c.course_id = e.course_id
+  where all_attempted and average_score >= 80 and c.user_id is null""")
+def issue_final_certificates(t):
+    rows = elig.course_certificate_eligibility(t.courses, t.lessons, t.final_quizzes, t.quiz_attempts)
+    return elig.issue_certificates(t.sql(f"select * from {_CERTIFICATES} c"), rows)
+
+
+@query("final_certificate_refusals", f"""
+  select e.user_id, e.course_id, 'Moyenne actuelle : ' || cast(average_score as varchar) || ' (seuil requis : 80).' as reason
+  from {_ELIGIBILITY.format(w=_FINAL_QUIZZES)} where average_score < 80""")
+def final_certificate_refusals(t):
+    rows = elig.course_certificate_eligibility(t.courses, t.lessons, t.final_quizzes, t.quiz_attempts)
+    wanted = cat.course_quizzes(t.courses, t.lessons, t.final_quizzes)
+    return elig.certificate_refusals(rows, wanted, t.quiz_attempts).select("user_id", "course_id", "reason")
+
+
 _SIGNALS = """
   (select p.user_id, r.certification_id, r.requirement_id, p.done = p.total as satisfied, cast(null as bigint) as measure
    from (select p.user_id, l.course_id, count(*) as done, max(n.total) as total from user_lesson_progress p

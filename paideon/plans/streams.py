@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from paideon.operators import eligibility as elig
-from paideon.plans.learning import _CHECKED, _COURSE_QUIZZES, _ELIGIBILITY
+from paideon.plans.learning import _CERTIFICATES, _CHECKED, _COURSE_QUIZZES, _ELIGIBILITY, _FINAL_QUIZZES
 from paideon.plans.registry import micros, query
-from paideon.session import stage_root
+from paideon.session import stage, stage_root
 from paideon.streaming import learner_streams as ls
 
 
@@ -83,10 +83,20 @@ def stream_progress(t):
   from {_ELIGIBILITY.format(w=_COURSE_QUIZZES)} where all_attempted and average_score >= 80""")
 def stream_certificates(t):
     rows = elig.course_certificate_eligibility(t.courses, t.lessons, t.quizzes, t.quiz_attempts)
+    return _issued_by_stream(rows, rows.select("user_id", "course_id").limit(0))
+
+
+def _issued_by_stream(rows: DataFrame, issued: DataFrame) -> DataFrame:
     # Every eligible pair arrives twice, in different batches.
-    twice = rows.unionByName(rows)
-    spark = t.spark
-    base = f"{stage_root(spark)}/certificates-{uuid.uuid4().hex}"
-    schema = "user_id bigint, course_id bigint, average_score bigint"
-    run(ls.certificate_writer(as_stream(twice), f"{base}/data", f"{base}/checkpoint", schema), spark)
-    return spark.read.schema(schema).parquet(f"{base}/data").select("user_id", "course_id", "average_score")
+    events = as_stream(rows.unionByName(rows), 1)
+    return collect_stream(ls.stream_certificates(events, issued)).select("user_id", "course_id", "average_score")
+
+
+@query("stream_final_certificates", f"""
+  select e.user_id, e.course_id, cast(round_even(average_score, 0) as bigint) as average_score
+  from {_ELIGIBILITY.format(w=_FINAL_QUIZZES)} left join {_CERTIFICATES} c
+    on c.user_id = e.user_id and c.course_id = e.course_id
+  where all_attempted and average_score >= 80 and c.user_id is null""")
+def stream_final_certificates(t):
+    rows = elig.course_certificate_eligibility(t.courses, t.lessons, t.final_quizzes, t.quiz_attempts)
+    return _issued_by_stream(rows, stage(t.sql(f"select * from {_CERTIFICATES} c"), "issued"))

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
+from paideon.functions.fold import let
 from paideon.operators.catalogue import published
 from paideon.operators.eligibility import issue_certificates
 from paideon.operators.grading import complete_lessons, marked, quiz_sheets
@@ -18,13 +19,18 @@ from paideon.operators.progress import MAX_MASTERY
 
 
 def _counting(answers: Column) -> Column:
-    """The last answer of each question in an event's answer list, NULL when there is none."""
-    def last(question: Column) -> Column:
-        own = F.filter(answers, lambda a: a["question_no"] == question)
-        return F.struct(question.alias("question_no"), F.element_at(own, -1)["selected_option_id"].alias("selected_option_id"))
+    """The last answer of each question in an event's answer list, NULL when there is none.
 
-    asked = F.array_distinct(F.transform(answers, lambda a: a["question_no"]))
-    return F.when(F.size(answers) > 0, F.transform(asked, last))
+    Sorted by question, an answer is the last one if the next belongs to another question.
+    """
+    placed = F.sort_array(F.transform(answers, lambda a, i: F.struct(
+        a["question_no"].alias("question_no"), i.alias("i"), a["selected_option_id"].alias("selected_option_id"))))
+
+    def last_ones(given: Column) -> Column:
+        last = F.filter(given, lambda a, i: ~F.coalesce(F.get(given, i + 1)["question_no"].eqNullSafe(a["question_no"]) & (i + 1 < F.size(given)), F.lit(False)))
+        return F.transform(last, lambda a: F.struct(a["question_no"].alias("question_no"), a["selected_option_id"].alias("selected_option_id")))
+
+    return F.when(F.size(answers) > 0, let(placed, last_ones))
 
 
 def stream_grade(events: DataFrame, sheets: DataFrame) -> DataFrame:
@@ -76,16 +82,10 @@ def merged_progress(progress: DataFrame, updates: DataFrame, lessons: DataFrame)
     return complete_lessons(progress, ends, lessons)
 
 
-def certificate_writer(stream: DataFrame, path: str, checkpoint: str, schema: str) -> DataStreamWriter:
-    """Issue each eligible (user, course) once, over all batches so far.
+def stream_certificates(eligible: DataFrame, issued: DataFrame) -> DataFrame:
+    """Each newly eligible (user, course) once, over all batches. For append mode.
 
-    A retried batch ignores its own folder when it looks for issued certificates.
+    `issued` holds the certificates at the start of the stream; pairs met since are keyed state of the
+    query, so no batch reads what earlier batches wrote and a repeated event changes nothing.
     """
-    def save(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        spark.createDataFrame([], schema).write.mode("append").parquet(f"{path}/batch_id=-1")
-        issued = spark.read.parquet(path).filter(F.col("batch_id") != batch_id).select("user_id", "course_id")
-        once = batch.dropDuplicates(["user_id", "course_id"])
-        issue_certificates(issued, once).write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
-
-    return stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(save)
+    return issue_certificates(issued, eligible).dropDuplicates(["user_id", "course_id"])
