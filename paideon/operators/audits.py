@@ -7,6 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from paideon.session import stage
+
 # --- Fixed values: the enumerations of the schema ----------------------------
 ENUMS = {
     "role": ("LEARNER", "ADMIN", "SUPER_ADMIN"),
@@ -100,26 +102,52 @@ def self_edges(edges: DataFrame, left: str, right: str) -> DataFrame:
     return edges.filter(F.col(left) == F.col(right))
 
 
+def _descendants(rows: DataFrame, fk: str, own: str, gone: DataFrame) -> DataFrame:
+    """`gone` keys (column `own`) and the keys of all rows below them, whatever the depth.
+
+    Every round follows one level of references with a semi join and writes the keys it found.
+    """
+    dead = fresh = stage(gone.select(own).distinct(), "gone")
+    while True:
+        below = rows.join(fresh.select(F.col(own).alias(fk)), fk, "left_semi").select(own)
+        fresh = stage(below.join(dead, own, "left_anti").distinct(), "gone")
+        if fresh.isEmpty():
+            return dead
+        dead = dead.unionByName(fresh)
+
+
 def purge(
     tables: Mapping[str, DataFrame], root: str, gone: DataFrame, key: str,
     cascades: Sequence[tuple[str, str, str, str]], set_null: Sequence[tuple[str, str, str]] = (),
 ) -> dict[str, DataFrame]:
     """Remove `gone` keys from `root` and everything that depends on them.
 
-    cascades: (child table, foreign key, child's own key, parent table), parents first.
+    cascades: (child table, foreign key, child's own key, parent table), parents first; a table
+    that refers to itself (child and parent are the same) goes with all rows below, to any depth.
     set_null: (table, foreign key, parent table) references that are cleared instead.
     """
     from paideon.operators.merge import set_null_where_gone
 
+    own_fk = {child: fk for child, fk, _, parent in cascades if child == parent}
+    between = [c for c in cascades if c[0] != c[3]]
+
+    def closed(name: str, own: str, keys: DataFrame) -> DataFrame:
+        return _descendants(tables[name], own_fk[name], own, keys) if name in own_fk else keys
+
     out = dict(tables)
-    dead = {root: gone.select(key).distinct()}
+    dead = {root: closed(root, key, gone.select(key).distinct())}
     dead_key = {root: key}
     out[root] = tables[root].join(dead[root], key, "left_anti")
-    for child, fk, own, parent in cascades:
-        lost = dead[parent].select(F.col(dead_key[parent]).alias(fk))
-        dead[child] = tables[child].join(lost, fk, "left_semi").select(own).distinct()
+    for i, (child, fk, own, parent) in enumerate(between):
+        gone_parents = dead[parent].select(F.col(dead_key[parent]).alias(fk))
+        lost = tables[child].join(gone_parents, fk, "left_semi").select(own)
+        out[child] = out[child].join(gone_parents, fk, "left_anti")
+        dead[child] = (dead[child].unionByName(lost) if child in dead else lost).distinct()
         dead_key[child] = own
-        out[child] = out[child].join(lost, fk, "left_anti")
+        if child not in [c[0] for c in between[i + 1:]]:  # all its parents have been seen
+            dead[child] = closed(child, own, dead[child])
+            if child in own_fk:
+                out[child] = out[child].join(dead[child], own, "left_anti")
     for child, fk, parent in set_null:
         out[child] = set_null_where_gone(out[child], fk, dead[parent], dead_key[parent])
     return out

@@ -873,6 +873,37 @@ def purge_lessons(t):
     return kept["documents"].select("document_id", "lesson_id")
 
 
+# A deep tree of sections (each under the section of a fifth of its number), blocks in sections, notes on blocks and pointers to sections.
+_TREE = {
+    "sections": "select p_partkey as section_id, case when p_partkey > 7 then cast(floor(p_partkey / 5) as bigint) end as parent_id from part",
+    "blocks": "select l_orderkey * 10 + l_linenumber as block_id, l_partkey as section_id from lineitem",
+    "notes": """select l_orderkey * 10 + l_linenumber as note_id, l_orderkey * 10 + case when l_linenumber > 1 then l_linenumber - 1 else 1 end
+      as block_id from lineitem where l_returnflag = 'R'""",
+    "pointers": "select o_orderkey as pointer_id, o_orderkey % 97 + 1 as section_id from orders",
+}
+
+
+@query("purge_section_trees", f"""
+  with recursive sections as ({_TREE["sections"]}), blocks as ({_TREE["blocks"]}), notes as ({_TREE["notes"]}), pointers as ({_TREE["pointers"]}),
+  gone as (select section_id from sections where section_id % 13 = 5
+    union select s.section_id from sections s join gone g on s.parent_id = g.section_id)
+  select 'section' as kind, section_id as id, parent_id as ref from sections where section_id not in (select section_id from gone)
+  union all select 'block', block_id, section_id from blocks where section_id not in (select section_id from gone)
+  union all select 'note', note_id, block_id from notes where block_id not in (
+    select block_id from blocks where section_id in (select section_id from gone))
+  union all select 'pointer', pointer_id, case when section_id in (select section_id from gone) then null else section_id end from pointers""")
+def purge_section_trees(t):
+    tables = {name: t.sql(sql) for name, sql in _TREE.items()}
+    kept = audits.purge(
+        tables, "sections", tables["sections"].filter("section_id % 13 = 5"), "section_id",
+        [("sections", "parent_id", "section_id", "sections"), ("blocks", "section_id", "block_id", "sections"),
+         ("notes", "block_id", "note_id", "blocks")], [("pointers", "section_id", "sections")])
+    return (kept["sections"].selectExpr("'section' as kind", "section_id as id", "parent_id as ref")
+            .unionByName(kept["blocks"].selectExpr("'block' as kind", "block_id as id", "section_id as ref"))
+            .unionByName(kept["notes"].selectExpr("'note' as kind", "note_id as id", "block_id as ref"))
+            .unionByName(kept["pointers"].selectExpr("'pointer' as kind", "pointer_id as id", "section_id as ref")))
+
+
 @query("restricted_schools", """
   select distinct school_id from schools where school_id in (select school_id from courses)""")
 def restricted_schools(t):

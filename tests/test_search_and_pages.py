@@ -66,3 +66,16 @@ def test_last_answer_of_each_question(spark):
     for row, answers in zip(got, data):
         want = {q: s for _, q, s in answers}
         assert row.g is None if not answers else {(g.question_no, g.selected_option_id) for g in row.g} == set(want.items())
+
+
+def test_purge_takes_all_rows_below(spark):
+    """A chain of 40 levels, and children of the removed rows."""
+    from paideon.operators import audits
+
+    tree = spark.createDataFrame([(i, i - 1 if i % 41 else None) for i in range(123)], "id int, up int")
+    leaves = spark.createDataFrame([(i, i % 123) for i in range(300)], "leaf int, id int")
+    gone = tree.filter("id in (20, 60, 999)")
+    kept = audits.purge({"tree": tree, "leaves": leaves}, "tree", gone, "id", [("tree", "up", "id", "tree"), ("leaves", "id", "leaf", "tree")])
+    dead = set(range(20, 41)) | set(range(60, 82))
+    assert {r.id for r in kept["tree"].collect()} == set(range(123)) - dead
+    assert {r.leaf for r in kept["leaves"].collect()} == {i for i in range(300) if i % 123 not in dead}
