@@ -11,7 +11,7 @@ Only lengths move: ids are counted and hashed where the text is read.
 
 Defined cases: a null or empty text is one piece that holds the end id alone; repeated
 rows are packed one by one; equal lengths are packed in any order; an empty table gives
-an empty result; further columns are not read.
+an empty result; texts of any length are cut into pieces whole; further columns are not read.
 """
 
 from __future__ import annotations

@@ -16,7 +16,8 @@ spans that fail go back to text.
 Defined cases: a null text has no words; texts shorter than a window are kept; null ids
 neither give nor lose words; rows that repeat an id with its text have equal results, and
 different texts under one id keep what is not at the same place in each; an empty table gives
-an empty result; further columns are not read.
+an empty result; texts of any length are read whole; of equal windows the smallest id keeps its own, further
+places in that document stay; further columns are not read.
 """
 
 from __future__ import annotations

@@ -9,7 +9,7 @@ Hit positions become covered spans, counts and, by the rule of the caller, docum
 Defined cases: a null text has no words; an item without words has no windows and one with
 fewer words than a window is one window; a null item_id counts as no item but its windows
 hit; equal items are all named; repeated rows are judged one by one; an empty benchmark
-hits nothing; further columns of any name pass through `clean_documents` unchanged.
+hits nothing; texts of any length are scanned whole; exactly a twentieth of the words is contaminated; further columns of any name pass through `clean_documents` unchanged.
 """
 
 from __future__ import annotations

@@ -8,7 +8,8 @@ grouped by an ordinary shuffle in which no group is larger than n/(k+1) rows.
 Defined cases: a null text counts as the empty text. Ids may be null: a null id stays
 only in a group without any other id. Rows that repeat id and text are one document;
 `flags` gives each of them the same result, `distinct_documents` leaves one. An
-empty table gives an empty result. Further columns of any name pass through
+empty table gives an empty result. Texts of any length are hashed whole; frequent digests that tie for the
+last counters go by the digest, which decides only how they are resolved. Further columns of any name pass through
 `distinct_documents` unchanged.
 """
 

@@ -17,7 +17,8 @@ unless it is a link that joins two so far separate parts of a block.
 Defined cases: null, empty or blank text has an empty set and links with nothing; a text
 with fewer words than a shingle is one shingle; rows that repeat an id are judged each
 by its own text; null ids link with nothing and are their own (null) component; an empty
-table gives an empty result; further columns of any name pass through `first_of_groups`.
+table gives an empty result; texts of any length are shingled whole; a pair exactly at the threshold is a link;
+further columns of any name pass through `first_of_groups`.
 """
 
 from __future__ import annotations

@@ -10,7 +10,8 @@ language with few texts up to SAMPLE_CHARS also gives whole longer ones.
 
 Defined cases: a null text and one without any letter is `und` with score 1; null languages
 are not learned from; without any language to learn every text is `und` with score 0;
-repeated rows are predicted one by one; an empty table gives an empty result; further
+repeated rows are predicted one by one; an empty table gives an empty result; texts of any length are
+scored whole; of languages with equal scores the first in order is given; further
 columns are not read.
 """
 

@@ -13,7 +13,7 @@ one, so this leaves nothing out.
 
 Defined cases: a null text has no words; texts and templates under five words have no
 shingles and match nothing; repeated rows are judged one by one; an empty table gives an empty
-result; further columns are not read.
+result; texts of any length are scanned whole; of windows with equal containment any stands for the template; further columns are not read.
 """
 
 from __future__ import annotations

@@ -14,7 +14,8 @@ followed by pointer doubling, so no conversation meets in one task.
 Defined cases: a null text is empty; messages with null conv_id or turn keep their body and
 have no links; rows that repeat conv_id and turn are separate messages that link to the same
 origins; of several origins at one turn none is preferred, reply_to is the turn; an empty table
-gives an empty result; further columns are not read.
+gives an empty result; texts of any length are read whole; a quote of only a part of a passage, or of
+several passages run together, is no link; further columns are not read.
 """
 
 from __future__ import annotations

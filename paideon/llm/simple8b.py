@@ -11,7 +11,8 @@ selector. Segments are the rows of Parquet files that Spark commits, in ascendin
 doc_id over all files, so lost executors leave no partial file and any file system serves.
 
 Defined cases: a null or empty text is one end id; rows that repeat an id follow each other;
-rows with null id come first; an empty table gives files without segments; further columns
+rows with null id come first; an empty table gives files without segments; a text of any length is one
+document of one segment; further columns
 are not read.
 """
 

@@ -12,7 +12,7 @@ is a lookup and three running sums over the bytes of a text.
 
 Defined cases: a null or empty text scores the share of toxic rows among the labels; a document without
 label is scored like any other; labels that are null, or that contradict each other for one
-id, are not learned from; repeated rows are scored one by one; without labels of both
+id, are not learned from; a score of exactly one half is toxic; repeated rows are scored one by one; without labels of both
 classes every score is the sigmoid of -30, about 1e-13; texts of any length are learned from and scored whole; rows equal in
 id and text are one row of the sample.
 """
