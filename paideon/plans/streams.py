@@ -7,7 +7,8 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paideon.operators import eligibility as elig
+from paideon.operators import catalogue as cat, eligibility as elig
+from paideon.operators.progress import best_quiz_score
 from paideon.plans.learning import _CERTIFICATES, _CHECKED, _COURSE_QUIZZES, _ELIGIBILITY, _FINAL_QUIZZES
 from paideon.plans.registry import micros, query
 from paideon.session import stage, stage_root
@@ -82,14 +83,17 @@ def stream_progress(t):
   select user_id, course_id, cast(round_even(average_score, 0) as bigint) as average_score
   from {_ELIGIBILITY.format(w=_COURSE_QUIZZES)} where all_attempted and average_score >= 80""")
 def stream_certificates(t):
-    rows = elig.course_certificate_eligibility(t.courses, t.lessons, t.quizzes, t.quiz_attempts)
-    return _issued_by_stream(rows, rows.select("user_id", "course_id").limit(0))
+    none = t.quiz_attempts.select("user_id", F.col("quiz_id").alias("course_id")).limit(0)
+    return _issued_by_stream(t, t.quizzes, none)
 
 
-def _issued_by_stream(rows: DataFrame, issued: DataFrame) -> DataFrame:
-    # Every eligible pair arrives twice, in different batches.
-    events = as_stream(rows.unionByName(rows), 1)
-    return collect_stream(ls.stream_certificates(events, issued)).select("user_id", "course_id", "average_score")
+def _issued_by_stream(t, quizzes: DataFrame, issued: DataFrame) -> DataFrame:
+    groups = elig.course_groups(cat.course_quizzes(t.courses, t.lessons, quizzes), best_quiz_score(t.quiz_attempts))
+    scores = stage(elig.group_scores(t.quiz_attempts, groups), "scores")
+    # Every pair of a user and a group of courses arrives twice, in different batches; the stream makes its courses of it.
+    events = as_stream(scores.unionByName(scores), 1)
+    eligible = elig.group_eligibility(events, groups).drop("tried_quizzes")
+    return collect_stream(ls.stream_certificates(eligible, issued)).select("user_id", "course_id", "average_score")
 
 
 @query("stream_final_certificates", f"""
@@ -98,5 +102,4 @@ def _issued_by_stream(rows: DataFrame, issued: DataFrame) -> DataFrame:
     on c.user_id = e.user_id and c.course_id = e.course_id
   where all_attempted and average_score >= 80 and c.user_id is null""")
 def stream_final_certificates(t):
-    rows = elig.course_certificate_eligibility(t.courses, t.lessons, t.final_quizzes, t.quiz_attempts)
-    return _issued_by_stream(rows, stage(t.sql(f"select * from {_CERTIFICATES} c"), "issued"))
+    return _issued_by_stream(t, t.final_quizzes, stage(t.sql(f"select * from {_CERTIFICATES} c"), "issued"))

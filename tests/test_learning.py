@@ -7,6 +7,7 @@ import unicodedata
 import pytest
 from pyspark.sql import functions as F
 
+from paideon.operators.catalogue import course_quizzes
 from paideon.operators import eligibility as elig, grading, merge
 from paideon.operators.progress import course_completion
 from paideon.operators.slugs import assign_slugs
@@ -83,6 +84,33 @@ def test_certificate_eligibility(spark, scores, quizzes, eligible, average):
     assert elig.issue_certificates(rows.select("user_id", "course_id"), rows).count() == 0
 
 
+def test_courses_with_the_same_tried_quizzes_are_counted_once(spark):
+    courses = spark.createDataFrame([(c, "PUBLISHED") for c in (1, 2, 3)], "course_id int, status string")
+    lessons = spark.createDataFrame([(10 * c, c, 7, "PUBLISHED") for c in (1, 2, 3)],
+                                    "lesson_id int, course_id int, skill_id int, status string")
+    quiz = spark.createDataFrame(
+        [(70, "Z", "PRACTICE", None, None, 7, "PUBLISHED"), (71, "A", "PRACTICE", None, None, 7, "PUBLISHED"),
+         (31, "F", "FINAL", 3, None, None, "PUBLISHED"), (21, "G", "FINAL", 2, None, None, "PUBLISHED")],
+        "quiz_id int, title string, kind string, course_id int, lesson_id int, skill_id int, status string")
+    tries = spark.createDataFrame([(1, 70, 90), (1, 71, 80), (2, 70, 50), (2, 70, 90), (2, 31, 90), (None, 70, 99), (3, 99, 1)],
+                                  "user_id int, quiz_id int, score int")
+    wanted = course_quizzes(courses, lessons, quiz)
+    groups = elig.course_groups(wanted, elig.best_quiz_score(tries))
+    assert sorted((r.course_id, r.group_id, r.quizzes) for r in groups.collect()) == [
+        (1, 1, [70, 71]), (2, 1, [70, 71]), (3, 3, [31, 70, 71])]
+    assert elig.group_scores(tries, groups).count() == 6
+    rows = elig.course_certificate_eligibility(courses, lessons, quiz, tries, with_quizzes=True)
+    got = {(r.user_id, r.course_id): (r.tried, r.quiz_count, r.average_score, r.eligible) for r in rows.collect()}
+    assert got == {
+        (1, 1): (2, 2, 85.0, True), (1, 2): (2, 3, 85.0, False), (1, 3): (2, 3, 85.0, False),
+        (2, 1): (1, 2, 90.0, False), (2, 2): (1, 3, 90.0, False), (2, 3): (2, 3, 90.0, False),
+        (None, 1): (1, 2, 99.0, False), (None, 2): (1, 3, 99.0, False), (None, 3): (1, 3, 99.0, False)}
+    for pairs in (rows, rows.drop("tried_quizzes")):
+        refused = {(r.user_id, r.course_id): r.reason for r in elig.certificate_refusals(pairs, wanted, tries).collect()}
+        assert len(refused) == 8 and refused[2, 2] == elig.TEXT_REMAINING % "A, G" and refused[1, 3] == elig.TEXT_REMAINING % "F"
+        assert refused[2, 3] == elig.TEXT_REMAINING % "A"
+
+
 def test_certification_needs_every_requirement(spark):
     certs = spark.createDataFrame([(c, "PUBLISHED") for c in (1, 2, 3)], "certification_id int, status string")
     reqs = spark.createDataFrame(
