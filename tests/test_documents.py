@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from golden_documents import (CALL_SCHEMA, DOCUMENTS, FRAGMENT_SCHEMA, PAGE_SCHEMA, fragment_rows, page_rows, page_text_rows)
@@ -74,6 +75,15 @@ def test_invariants(result):
     assert {r.doc_id for r in result.sections.select("doc_id").distinct().collect()} == set(DOCUMENTS)
 
 
+@pytest.mark.parametrize("name", ["layout", "paragraphs", "elements"])
+def test_stage_tables_stay_dealt_by_chunk(result, name):
+    """Windows and groups inside a chunk move no rows, so texts are shuffled once for lines and once for blocks."""
+    rows = getattr(result, name).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy(*fr.DEALT).orderBy("page_no")))
+    counted = rows.groupBy(*fr.DEALT).agg(F.max("n").alias("n"))
+    assert "Exchange" not in counted._jdf.queryExecution().executedPlan().toString()
+    assert sum(r.n for r in counted.collect()) == getattr(result, name).count()
+
+
 def test_anomalies(result):
     kinds = {(r.doc_id, r.kind) for r in result.anomalies().collect()}
     assert ("only_text", "NO_HEADINGS") in kinds and ("columns", "MULTI_COLUMN") in kinds
