@@ -125,6 +125,38 @@ def test_certification_needs_every_requirement(spark):
     assert detail == {20: True, 21: True, 30: True, 31: None}
 
 
+def test_requirement_states_and_verdicts_from_facts_are_those_from_signals(spark):
+    """Facts are not repeated for requirements; repeated and null numbers, users and targets give the rows of the joins."""
+    from pyspark.sql import functions as F
+
+    certs = spark.createDataFrame([(1, "PUBLISHED"), (2, "PUBLISHED"), (2, "PUBLISHED"), (3, "ARCHIVED"), (None, "PUBLISHED")],
+                                  "certification_id int, status string")
+    reqs = spark.createDataFrame(
+        [(10, 1, "COURSE", 1, None, None, None), (11, 1, "COURSE", 2, None, None, None), (12, 1, "LAB", None, 5, None, None),
+         (13, 1, "SKILL", None, None, 7, None), (13, 1, "SKILL", None, None, 7, None), (14, 1, "MIN_SCORE", None, None, 7, 60),
+         (15, 1, "MIN_SCORE", None, None, 7, 90), (16, 1, "MIN_SCORE", None, None, 7, None), (17, 1, "EVIDENCE", None, None, None, None),
+         (20, 2, "SKILL", None, None, 7, None), (10, 2, "LAB", None, 6, None, None), (20, 3, "COURSE", 1, None, None, None),
+         (None, 2, "SKILL", None, None, 8, None), (21, None, "SKILL", None, None, 7, None), (22, 2, "FINAL_PROJECT", None, 5, None, None)],
+        "requirement_id int, certification_id int, requirement_type string, course_id int, lab_id int, skill_id int, min_score int")
+    lessons = spark.createDataFrame([(1, 1, "PUBLISHED"), (2, 2, "PUBLISHED"), (3, 2, "PUBLISHED")], "lesson_id int, course_id int, status string")
+    progress = spark.createDataFrame([(1, 1, "COMPLETED"), (1, 2, "COMPLETED"), (None, 1, "COMPLETED")], "user_id int, lesson_id int, status string")
+    results = spark.createDataFrame([(2, 5, True), (2, 6, True), (3, 6, True)], "user_id int, lab_id int, completed boolean")
+    mastery = spark.createDataFrame([(4, 7, 2), (4, 7, 1), (5, 8, 3), (6, 7, None), (None, 7, 4)], "user_id int, skill_id int, mastery_level int")
+    tries = spark.createDataFrame([(4, 70, 75), (7, 70, None)], "user_id int, quiz_id int, score int")
+    quiz = spark.createDataFrame([(70, 7)], "quiz_id int, skill_id int")
+    given = (progress, lessons, results, mastery, tries, quiz)
+    signals, facts = elig.requirement_signals(reqs, *given), elig.requirement_facts(*given)
+    # The facts of one user and target stay one row, however many requirements ask for it.
+    assert facts.filter("user_id = 4 and requirement_type = 'MIN_SCORE'").count() == 1 < signals.filter("user_id = 4 and measure = 75").count()
+    for old, new in ((elig.requirement_detail(certs, reqs, signals), elig.requirement_states(certs, reqs, facts)),
+                     (elig.certification_eligibility(certs, reqs, signals), elig.certification_verdicts(certs, reqs, facts))):
+        assert new.columns == old.columns and new.count() > 5
+        assert sorted(map(repr, new.collect())) == sorted(map(repr, old.collect()))
+    plan = elig.requirement_states(certs, reqs, facts)._jdf.queryExecution().executedPlan().toString()
+    opened = plan[:plan.index("inline")]
+    assert "Exchange" not in opened and "requirement_id" in opened
+
+
 def test_course_without_published_lessons_is_not_completed(spark):
     lessons = spark.createDataFrame([(1, 1, "DRAFT"), (2, 2, "PUBLISHED")], "lesson_id int, course_id int, status string")
     progress = spark.createDataFrame([(5, 1, "COMPLETED"), (5, 2, "COMPLETED")], "user_id int, lesson_id int, status string")
