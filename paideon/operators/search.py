@@ -1,8 +1,8 @@
-"""Many search texts against many rows through an index of short character runs.
+"""Many search texts against many rows through an index of character runs.
 
-A text that contains a search text contains all its runs of GRAM characters, so it is enough to
-compare a search text with the rows that hold its rarest run. Runs of one and two characters are indexed too, for
-search texts that are no longer.
+A search text of up to GRAM characters is itself a run, so only rows that hold it are looked at; of a longer one all runs
+of GRAM characters are in a row that holds it, and it is compared with the rows that hold its rarest run. Runs are
+indexed in the lengths the search texts have, and only those that a search text asks for are written.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from paideon.session import stage
 
-GRAM = 3
+GRAM = 8
 
 
 def _runs(text: Column, size: int) -> Column:
@@ -24,10 +24,11 @@ def _runs(text: Column, size: int) -> Column:
         F.array().cast("array<string>"))
 
 
-def gram_index(rows: DataFrame, key: str, fields: Sequence[str]) -> DataFrame:
-    """(gram, key) of every run of 1 to GRAM characters in any of the fields, in lower case."""
+def gram_index(rows: DataFrame, key: str, fields: Sequence[str], sizes: Sequence[int]) -> DataFrame:
+    """(gram, key) of every run of the given lengths in any of the fields, in lower case."""
     texts = F.array(*[F.lower(F.coalesce(F.col(f), F.lit(""))) for f in fields])
-    grams = F.flatten(F.transform(texts, lambda t: F.concat(*[_runs(t, n) for n in range(1, GRAM + 1)])))
+    none = F.array().cast("array<string>")
+    grams = F.flatten(F.transform(texts, lambda t: F.concat(none, *[_runs(t, n) for n in sizes])))
     return rows.select(F.explode(F.array_distinct(grams)).alias("gram"), F.col(key))
 
 
@@ -36,12 +37,14 @@ def search_many(rows: DataFrame, key: str, fields: Sequence[str], searches: Data
 
     `searches` has one column, pattern; null and empty patterns find nothing. Patterns are plain text.
     """
-    index = stage(gram_index(rows, key, fields), "grams")
     wanted = searches.filter("pattern <> ''").distinct()
     low = F.lower("pattern")
-    own = wanted.select("pattern", F.explode(_runs(low, GRAM)).alias("gram")).unionByName(
-        wanted.filter(F.char_length(low) < GRAM).select("pattern", low.alias("gram")))
-    counts = index.join(own.select("gram").distinct(), "gram", "left_semi").groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    own = stage(wanted.select("pattern", F.explode(_runs(low, GRAM)).alias("gram")).unionByName(
+        wanted.filter(F.char_length(low) < GRAM).select("pattern", low.alias("gram"))), "runs")
+    # At most GRAM numbers.
+    sizes = sorted(r[0] for r in own.select(F.char_length("gram")).distinct().collect())
+    index = stage(gram_index(rows, key, fields, sizes).join(own.select("gram").distinct(), "gram", "left_semi"), "grams")
+    counts = index.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
     # A run that no row has decides that there is nothing to find.
     rarest = own.join(counts, "gram", "left").groupBy("pattern").agg(
         F.min_by("gram", F.struct(F.coalesce("n", F.lit(0)), "gram")).alias("gram"))

@@ -79,3 +79,20 @@ def test_purge_takes_all_rows_below(spark):
     dead = set(range(20, 41)) | set(range(60, 82))
     assert {r.id for r in kept["tree"].collect()} == set(range(123)) - dead
     assert {r.leaf for r in kept["leaves"].collect()} == {i for i in range(300) if i % 123 not in dead}
+
+
+def test_search_index_holds_only_rows_with_the_pattern(spark, monkeypatch):
+    """Runs that every row has (customer#0000) must not bring every row to a search text of other characters."""
+    from paideon.operators import search
+
+    written = {}
+    monkeypatch.setattr(search, "stage", lambda df, label: written.setdefault(label, df))
+    people = spark.range(3000).selectExpr("id", "format_string('customer#%09d', id) as email")
+    searches = spark.createDataFrame([("00042",), ("#00000042",), ("omer#000002999",)], "pattern string")
+    found = {tuple(r) for r in search_many(people, "id", ["email"], searches).collect()}
+    names = {i: f"customer#{i:09d}" for i in range(3000)}
+    want = {(p, i) for i, n in names.items() for p in ("00042", "#00000042", "omer#000002999") if p in n}
+    assert found == want
+    grams = {(r.gram, r.id) for r in written["grams"].collect()}
+    assert {g for g, _ in grams if len(g) < search.GRAM} == {"00042"}
+    assert {i for g, i in grams if g == "00042"} == {i for p, i in want if p == "00042"}
