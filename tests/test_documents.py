@@ -285,3 +285,25 @@ def test_lines_are_joined_as_by_a_plain_loop(spark):
     df = spark.createDataFrame([(i, d) for i, d in enumerate(data)], "i int, t array<string>")
     got = {r.i: r.text for r in df.select("i", par.join_lines(F.col("t")).alias("text")).collect()}
     assert got == {i: plain(d) for i, d in enumerate(data)}
+
+
+def layout_fragments(spark):
+    """Pages of rows with one to three parts, a wide gap between cells, unequal sizes and parts that lie a little lower."""
+    rng = random.Random(12)
+    rows = []
+    for page in range(40):
+        for row in range(rng.randrange(1, 15)):
+            for part in range(rng.randrange(1, 4)):
+                rows.append((page // 8, page, len(rows), rng.choice(["Mot", "deux mots", "12", " x "]), 70.0 + 130 * part + rng.choice([0, 3]),
+                             700.0 - 20 * row - rng.choice([0, 0, 2.5]), rng.choice([9.0, 11.0]), rng.random() < 0.3))
+    return spark.createDataFrame(rows, "doc_id long, page_no int, seq int, text string, x double, y double, font_size double, bold boolean").selectExpr(
+        "*", "'Helvetica' as font_name", "false as italic", "false as mono")
+
+
+def test_gutters_sort_the_fragments_of_a_page_once(spark):
+    from paideon.operators import columns
+    from paideon.operators.fragments import with_width
+
+    rows = columns.gutters(with_width(layout_fragments(spark)))
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Sort [") == 1 and "Aggregate(" not in plan
