@@ -300,6 +300,36 @@ def layout_fragments(spark):
         "*", "'Helvetica' as font_name", "false as italic", "false as mono")
 
 
+def test_lines_equal_a_plain_loop_and_pages_are_grouped_once(spark):
+    import itertools
+    import statistics
+
+    from paideon.operators import lines as ln
+    from paideon.operators.fragments import with_width
+
+    measured = with_width(layout_fragments(spark)).selectExpr("*", "0L as zone", "0 as rank", "0 as column")
+    lines = ln.build_lines(ln.group_rows(measured))
+    want = set()
+    found = sorted(measured.collect(), key=lambda f: (f.page_no, -f.y, f.x, f.seq))
+    for page, own in itertools.groupby(found, key=lambda f: f.page_no):
+        rows = []
+        for f in own:
+            head = rows[-1][0] if rows else None
+            if head and abs(f.y - head.y) <= max(head.font_size, f.font_size, 1.0) * 0.45:
+                rows[-1].append(f)
+            else:
+                rows.append([f])
+        for n, row in enumerate(rows):
+            size = statistics.median([f.font_size for f in row for _ in range(max(f.chars, 1))])
+            chars = sum(f.chars for f in row)
+            want.add((page, n, min(f.x for f in row), statistics.median([f.y for f in row]), size,
+                      sum(f.chars for f in row if f.bold) / chars, len(row)))
+    got = lines.collect()
+    assert {(r.page_no, r.line_no, r.x, r.y, r.font_size, r.bold_ratio, r.fragments) for r in got} == want and len(got) == len(want)
+    plan = lines._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("ObjectHashAggregate(") == 2  # partial and final of the pages
+
+
 def test_gutters_sort_the_fragments_of_a_page_once(spark):
     from paideon.operators import columns
     from paideon.operators.fragments import with_width

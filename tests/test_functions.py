@@ -74,3 +74,21 @@ def test_normalize_text(spark):
     got = [r.t for r in spark.createDataFrame([(s,) for s in samples], "s string").select(
         tx.normalize_text(F.col("s")).alias("t")).collect()]
     assert got == ["a : b", "été", "fin ffi", "mc²", "xy z", unicodedata.normalize("NFC", "Ångstrom Å")]
+
+
+def test_weighted_median_counts_the_weights_once(spark):
+    import random
+    import statistics
+
+    from pyspark.sql import functions as F
+
+    from paideon.functions.values import weighted_median
+
+    rng = random.Random(3)
+    data = [[(rng.choice([8.0, 9.5, 11.0, 16.0]), rng.randrange(1, 9)) for _ in range(rng.randrange(0, 7))] for _ in range(60)]
+    df = spark.createDataFrame([(i, d) for i, d in enumerate(data)], "i int, a array<struct<v:double,w:bigint>>")
+    median = weighted_median(F.col("a"))
+    got = {r.i: r.m for r in df.select("i", median.alias("m")).collect()}
+    assert got == {i: statistics.median([v for v, w in d for _ in range(w)]) if d else None for i, d in enumerate(data)}
+    # One pass for the total, one for the middle; a total inside the second pass would be counted for every pair.
+    assert str(median).count("aggregate(") == 2
