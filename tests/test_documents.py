@@ -337,3 +337,37 @@ def test_gutters_sort_the_fragments_of_a_page_once(spark):
     rows = columns.gutters(with_width(layout_fragments(spark)))
     plan = rows._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Sort [") == 1 and "Aggregate(" not in plan
+
+
+def test_fragments_are_read_once_for_layout_and_lines(spark, monkeypatch):
+    """Only the job that deals the fragments reads the input; the others read the table it wrote."""
+    read, write = {}, st.stage
+
+    def watched(df, label, by=()):
+        read[label] = "Generate" in df._jdf.queryExecution().analyzed().toString()
+        return write(df, label, by)
+
+    monkeypatch.setattr(st, "stage", watched)
+    rows = layout_fragments(spark).withColumn("text", F.explode(F.array("text")))
+    pages = spark.createDataFrame([(0, 0, 612.0, 792.0)], "doc_id long, page_no int, width double, height double")
+    st.marked_lines(rows, pages)
+    assert read["fragments"] and not read["layout"]
+
+
+def test_table_fragments_number_the_rows_once(spark, tmp_path):
+    from paideon.sources.model_tables import ModelTables
+
+    lines = [(o, n, f"1995-01-0{1 + n % 3}", 10 * o + n, n % 2, 100.5 * n, 5.0 + n, "A", "F") for o in (1, 2) for n in range(1, 5)]
+    folder = str(tmp_path)
+    spark.createDataFrame(lines, "l_orderkey long, l_linenumber int, l_shipdate string, l_partkey long, l_suppkey long, l_extendedprice double,"
+                          "l_quantity double, l_returnflag string, l_linestatus string").write.parquet(f"{folder}/lineitem.parquet")
+    spark.createDataFrame([(1, "1-URGENT"), (2, "2-HIGH")], "o_orderkey long, o_orderpriority string").write.parquet(f"{folder}/orders.parquet")
+    tables = ModelTables(spark, folder)
+    found = tables.table_fragments
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Window [") == 1
+    want = set()
+    for r in tables.table_rows.collect():
+        want |= {(r.doc_id, 0, 3 * r.row_no + k, text, x, 700.0 - 20 * r.row_no, 11.0, r.bold)
+                 for k, (text, x) in enumerate(((r.c0, 72.0), (r.c1, 200.0), (r.c2, 330.0)))}
+    got = found.collect()
+    assert {(r.doc_id, r.page_no, r.seq, r.text, r.x, r.y, r.font_size, r.bold) for r in got} == want and len(got) == len(want) == 27
