@@ -371,3 +371,36 @@ def test_table_fragments_number_the_rows_once(spark, tmp_path):
                  for k, (text, x) in enumerate(((r.c0, 72.0), (r.c1, 200.0), (r.c2, 330.0)))}
     got = found.collect()
     assert {(r.doc_id, r.page_no, r.seq, r.text, r.x, r.y, r.font_size, r.bold) for r in got} == want and len(got) == len(want) == 27
+
+
+def plan_above(frame, column):
+    """Nodes of the first plan without broadcasts, from the scan that reads `column` up to the top."""
+    conf, key = frame.sparkSession.conf, "spark.sql.autoBroadcastJoinThreshold"
+    before = conf.get(key)
+    conf.set(key, "-1")
+    try:
+        lines = frame.select("*")._jdf.queryExecution().executedPlan().toString().splitlines()
+    finally:
+        conf.set(key, before)
+    depth = [len(line) - len(line.lstrip(" :+-")) for line in lines]
+    at = next(i for i, line in enumerate(lines) if "Scan " in line and f"{column}#" in line)
+    found, least = [], depth[at]
+    for i in range(at, -1, -1):
+        if i == at or depth[i] < least:
+            found.append(lines[i].strip(" :+-"))
+            least = depth[i]
+    return found
+
+
+def stored_structure(spark, tmp_path):
+    spark.sql("select 1L as doc_id, 0L as heading_no, 1L as element_no, 'TEXT' as kind, 'long text' as text, 0 as page_start, 0 as page_end").write.parquet(f"{tmp_path}/blocks")
+    spark.sql("select 1L as doc_id, 0L as heading_no, cast(null as long) as parent_no, 0L as position, 1 as level, 'T' as title").write.parquet(f"{tmp_path}/sections")
+    tables = [spark.read.parquet(f"{tmp_path}/{name}") for name in ("blocks", "sections")]
+    return st.Structure(*[None] * 7, *tables)
+
+
+def test_corpus_texts_are_shuffled_once(spark, tmp_path):
+    files = spark.createDataFrame([(1, "a.pdf")], "doc_id long, source_file string")
+    rows = st.corpus_blocks(files, stored_structure(spark, tmp_path))
+    assert sum(node.startswith("Exchange ") for node in plan_above(rows, "text")) == 1
+    assert [(r.source_file, r.section_title, r.text) for r in rows.collect()] == [("a.pdf", "T", "long text")]
