@@ -404,3 +404,11 @@ def test_corpus_texts_are_shuffled_once(spark, tmp_path):
     rows = st.corpus_blocks(files, stored_structure(spark, tmp_path))
     assert sum(node.startswith("Exchange ") for node in plan_above(rows, "text")) == 1
     assert [(r.source_file, r.section_title, r.text) for r in rows.collect()] == [("a.pdf", "T", "long text")]
+
+
+def test_preview_cuts_texts_before_they_are_shuffled(spark, tmp_path):
+    rows = st.preview(stored_structure(spark, tmp_path))
+    nodes = plan_above(rows, "text")
+    moved = next(i for i, node in enumerate(nodes) if node.startswith("Exchange "))
+    assert any("substring(text" in node for node in nodes[:moved])
+    assert [(r.path, r.title, r.text) for r in rows.collect()] == [([0], "T", "long text")]
