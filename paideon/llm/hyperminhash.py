@@ -270,8 +270,8 @@ def memberships(docs: DataFrame, size: int = 2, threshold=THRESHOLD) -> DataFram
         F.monotonically_increasing_id().alias("id"), *identity, "least.*"), "classes")
     loose = stage(components(proposals(classes.select("id", "sketch"))).join(
         classes.select("id", "n_shingles", "doc_id", "text_hash"), "id"), "loose")
-    # Rows equal in id and text are one text.
-    texts = read.join(loose.select("id", "doc_id", "text_hash"), ["doc_id", "text_hash"]).groupBy("id").agg(F.first("text").alias("text"))
+    # Rows equal in id and text are one text. The loose rows grow with the documents, so the join is shuffled at every size.
+    texts = read.join(loose.select("id", "doc_id", "text_hash").hint("merge"), ["doc_id", "text_hash"]).groupBy("id").agg(F.first("text").alias("text"))
     found = components(verified_links(loose.select("id", "component", "n_shingles"), texts, size, threshold))
     of_class = classes.select(*identity, "id", "doc_id").join(found, "id", "left").select(
         *identity, "doc_id", F.coalesce("component", "id").alias("component"))

@@ -497,3 +497,20 @@ def test_long_labelled_rows_are_learned_from(spark):
     probe = spark.createDataFrame([(1, "you vile grumpf scum"), (2, salad(500, 30))], "doc_id long, text string")
     got = {r.doc_id: r.score for r in toxicity.scores(probe, model).collect()}
     assert got[1] >= 0.5 > got[2]
+
+
+def test_texts_of_near_groups_are_shuffled_at_every_size(spark, monkeypatch):
+    """A join that is broadcast on small tables only makes the disk used grow faster than the tables."""
+    from paideon.llm import hyperminhash as hmh
+
+    plans, verify = [], hmh.verified_links
+
+    def watched(members, texts, size, threshold):
+        plans.append(texts._jdf.queryExecution().executedPlan().toString())
+        return verify(members, texts, size, threshold)
+
+    monkeypatch.setattr(hmh, "verified_links", watched)
+    words = " ".join(f"w{i}" for i in range(60))
+    rows = hmh.memberships(spark.createDataFrame([(1, words), (2, words + " x"), (3, "other")], "doc_id long, text string"))
+    assert {(r.doc_id, r.component_id) for r in rows.collect()} == {(1, 1), (2, 1), (3, 3)}
+    assert len(plans) == 1 and "SortMergeJoin" in plans[0] and "BroadcastHashJoin" not in plans[0]
