@@ -84,6 +84,20 @@ def test_stage_tables_stay_dealt_by_chunk(result, name):
     assert sum(r.n for r in counted.collect()) == getattr(result, name).count()
 
 
+@pytest.mark.parametrize("by", [(), fr.DEALT])
+def test_a_stage_table_is_broadcast_by_its_rows_not_by_its_files(spark, by):
+    """A million numbers compress to a few kB; their table of 32 MB must not go through the driver."""
+    from paideon.session import counted_stage
+
+    rows = spark.range(1 << 20).select(F.lit(1).cast("long").alias("doc_id"), F.lit(0).cast("long").alias("chunk"), F.floor(F.col("id") / 9).alias("no"))
+    big = counted_stage(rows.coalesce(1), "numbers", by)
+    other = counted_stage(rows.coalesce(1), "others", by)
+    plan = big.join(other, ["doc_id", "chunk", "no"])._jdf.queryExecution().sparkPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    few = counted_stage(rows.limit(10), "few", by)
+    assert "Broadcast" in big.join(few, ["doc_id", "chunk", "no"])._jdf.queryExecution().sparkPlan().toString()
+
+
 def test_anomalies(result):
     kinds = {(r.doc_id, r.kind) for r in result.anomalies().collect()}
     assert ("only_text", "NO_HEADINGS") in kinds and ("columns", "MULTI_COLUMN") in kinds
