@@ -353,6 +353,34 @@ def test_gutters_sort_the_fragments_of_a_page_once(spark):
     assert plan.count("Sort [") == 1 and "Aggregate(" not in plan
 
 
+def test_layout_takes_its_fragments_once_and_judges_every_band(spark):
+    from paideon.operators import columns
+    from paideon.operators.fragments import with_width
+
+    def column(page, x, rows, top=700.0, text="w" * 20):
+        return [(0, page, 1000 * int(x) + r, text, x, top - 17 * r, 11.0) for r in range(rows)]
+
+    rows = [
+        *column(0, 70.0, 8), *column(0, 350.0, 8),
+        *column(1, 70.0, 5), *column(1, 350.0, 5),
+        *column(2, 70.0, 8), *column(2, 350.0, 8, top=300.0),
+        *column(3, 70.0, 8), *column(3, 350.0, 2),
+        *column(4, 70.0, 30), *column(4, 350.0, 6, text="w"),
+        *column(5, 70.0, 8), *column(5, 350.0, 7, text="w" * 6), *column(5, 350.0, 1, top=500.0),
+        *column(6, 70.0, 3),
+        (None, 7, 0, "w", 70.0, 700.0, 11.0),
+    ]
+    pages = spark.createDataFrame(rows, "doc_id long, page_no int, seq int, text string, x double, y double, font_size double")
+    layout = columns.column_layout(with_width(pages))
+    plan = layout._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Scan ExistingRDD") == 1 and "Join" not in plan
+    got = {r.page_no: (r.column_count, r.reason) for r in layout.collect()}
+    assert got.pop(0) == (2, columns.REASON_COLUMNS % (2, columns.REASON_ONE_GUTTER % 170))
+    few = columns.REASON_FEW
+    assert got == {1: (1, columns.REASON_BAND[4]), 2: (1, columns.REASON_NOT_FACING), 3: (1, columns.REASON_BAND[1]),
+                   4: (1, columns.REASON_BAND[2]), 5: (1, columns.REASON_BAND[5]), 6: (1, few), 7: (1, few)}
+
+
 def test_fragments_are_read_once_for_layout_and_lines(spark, monkeypatch):
     """Only the job that deals the fragments reads the input; the others read the table it wrote."""
     read, write = {}, st.stage
